@@ -1,0 +1,9 @@
+"""Queries over the synthetic registry; filled in below."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
