@@ -126,28 +126,63 @@ def find_anchors(parts: int, width: int):
     return run
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def deal(keys: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows of values by part of their document's key: the keys, how many rows each has, and the rows."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    rows = []
+    for p, at in by_part((mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64), parts):
+        some, n = np.unique(keys[at], return_counts=True)
+        rows.append((p, some.tobytes(), n.astype(np.uint32).tobytes(), values[at].tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "keys", "counts", "rows"])
+
+
+DEALT = "part int, keys binary, counts binary, rows binary"
+
+
+def regroup(width: int, kind: str, some: int = 10_000):
+    """One row for each key, with all of its rows of `width` numbers, from what `deal` sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = [], []
+        for batch in batches:
+            for k, n, r in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "rows")), strict=True):
+                keys.append(np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.uint32)))
+                rows.append(np.frombuffer(r, kind).reshape(-1, width))
+        if not keys:
+            return
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[first[1:], len(key)]
+        for at in range(0, len(first), some):
+            spans = zip(first[at : at + some].tolist(), ends[at : at + some].tolist(), strict=True)
+            yield pa.record_batch([pa.array(key[first[at : at + some]]), pa.array([row[a:b].tobytes() for a, b in spans], pa.binary())], names=["key", "rows"])
+
+    return run
+
+
+def find_repeated(parts: int):
     """Step 2: the places of each document whose gram occurs more than once."""
-    hashed, keys, places = [], [], []
-    for batch in batches:
-        for h, k, p in zip(*(batch.column(c).to_pylist() for c in ("hashes", "keys", "places")), strict=True):
-            hashed.append(np.frombuffer(h, np.uint64))
-            keys.append(np.frombuffer(k, np.int64))
-            places.append(np.frombuffer(p, np.uint32))
-    if not hashed:
-        return
-    h, k, p = np.concatenate(hashed), np.concatenate(keys), np.concatenate(places)
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    often = order[np.r_[same, False] | np.r_[False, same]]
-    k, p = k[often], p[often]
-    order = np.argsort(k, kind="stable")
-    k, p = k[order], p[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
-    for at in range(0, len(first), 10_000):
-        part = first[at : at + 10_000]
-        ends = np.r_[first[at + 1 : at + 1 + len(part)], len(k)][: len(part)]
-        yield pa.record_batch([pa.array(k[part]), pa.array([p[a:b].tobytes() for a, b in zip(part.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["key", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, keys, places = [], [], []
+        for batch in batches:
+            for h, k, p in zip(*(batch.column(c).to_pylist() for c in ("hashes", "keys", "places")), strict=True):
+                hashed.append(np.frombuffer(h, np.uint64))
+                keys.append(np.frombuffer(k, np.int64))
+                places.append(np.frombuffer(p, np.uint32))
+        if not hashed:
+            return
+        h, k, p = np.concatenate(hashed), np.concatenate(keys), np.concatenate(places)
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        often = order[np.r_[same, False] | np.r_[False, same]]
+        yield deal(k[often], p[often], parts)
+
+    return run
 
 
 def shared_prefix(rows: np.ndarray) -> np.ndarray:
@@ -206,11 +241,11 @@ def sorted_runs(parts: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "key", "data", "places"))
-            for doc_id, key, data, blobs in zip(*columns, strict=True):
-                if not blobs:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "key", "data", "rows"))
+            for doc_id, key, data, found in zip(*columns, strict=True):
+                if not found:
                     continue
-                places = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in blobs])).astype(np.int64)
+                places = np.unique(np.frombuffer(found, np.uint32)).astype(np.int64)
                 for at in range(0, len(places), RUN):
                     some = places[at : at + RUN]
                     held.append((LAST if doc_id is None else doc_id, key, contexts(data, some, width), some))
@@ -379,28 +414,23 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.r_[new[1:], True]]
 
 
-def find_spans(width: int):
+def find_spans(parts: int, width: int):
     """Step 4: spans of each document, from the runs of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
             for p, *blob in zip(*(batch.column(c).to_pylist() for c in ("part", *RUN_COLUMNS)), strict=True):
-                parts.setdefault(p, []).append(tuple(blob))
-        while parts:
-            key, start, end = part_spans(parts.popitem()[1], width)
-            order = np.argsort(key, kind="stable")
-            key, start, end = key[order], start[order], end[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-            ends = np.r_[first[1:], len(key)]
-            blobs = [np.stack(merged(start[a:b], end[a:b]), axis=1).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)] if len(first) else []
-            yield pa.record_batch([pa.array(key[first], pa.int64()), pa.array(blobs, pa.binary())], names=["key", "spans"])
+                held.setdefault(p, []).append(tuple(blob))
+        while held:
+            key, start, end = part_spans(held.popitem()[1], width)
+            yield deal(key, np.stack([start, end], axis=1), parts)
 
     return run
 
 
-def gather(blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    spans = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs]) if blobs else np.empty((0, 2), np.int64)
+def spans_of(blob: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    spans = np.frombuffer(blob or b"", np.int64).reshape(-1, 2)
     return merged(spans[:, 0], spans[:, 1])
 
 
@@ -409,7 +439,7 @@ def kept_bytes(data: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
 
 
 def repeated_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Each row as (doc_id, data, spans): its bytes and the blobs of its repeated spans (see `gather`)."""
+    """Each row as (doc_id, data, spans): its bytes and a blob of its repeated spans (see `spans_of`)."""
     if not 2 * GRAM <= width <= 255:
         raise ValueError(f"width must be from {2 * GRAM} to 255")
     spark = documents.sparkSession
@@ -417,12 +447,12 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     found = rows.where(F.octet_length("data") >= width).select("key", "data").mapInArrow(find_anchors(parts, width), "part int, hashes binary, keys binary, places binary")
-    often = found.repartition("part").mapInArrow(repeated, "key long, places binary")
-    places = often.groupBy("key").agg(F.collect_list("places").alias("places"))
+    often = found.repartition("part").mapInArrow(find_repeated(parts), DEALT)
+    places = often.repartition("part").mapInArrow(regroup(1, "u4"), "key long, rows binary")
     runs = rows.join(places.hint("shuffle_hash"), "key", "left").mapInArrow(sorted_runs(parts, width), "part int, " + ", ".join(f"{c} binary" for c in RUN_COLUMNS))
-    spans = runs.repartition("part").mapInArrow(find_spans(width), "key long, spans binary")
-    gathered = spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    return rows.join(gathered.hint("shuffle_hash"), "key", "left").select("doc_id", "data", "spans")
+    spans = runs.repartition("part").mapInArrow(find_spans(parts, width), DEALT)
+    gathered = spans.repartition("part").mapInArrow(regroup(2, "i8"), "key long, rows binary")
+    return rows.join(gathered.hint("shuffle_hash"), "key", "left").select("doc_id", "data", F.col("rows").alias("spans"))
 
 
 def dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -431,8 +461,8 @@ def dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, data, blobs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "spans")), strict=True):
-                start, end = gather(blobs)
+            for doc_id, data, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "spans")), strict=True):
+                start, end = spans_of(blob)
                 kept = kept_bytes(data, start, end)
                 out.append((doc_id, len(data), len(data) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
