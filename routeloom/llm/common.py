@@ -61,3 +61,16 @@ def sample_texts(documents: DataFrame, labels: DataFrame, label: str, folds: int
     chosen = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     return [(r["text"], r["label"]) for r in texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * bound).collect()]
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers live on, and their peaks would add up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

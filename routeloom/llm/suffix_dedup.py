@@ -35,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 from .words import mix
 
 WIDTH = 100
 GRAM = 32
 #: Bytes that are hashed at once; places in it must fit in PLACE_BITS.
-PIECE, PLACE_BITS = 8_000_000, 24
+PIECE, PLACE_BITS = 1_000_000, 24
 #: Contexts in a run at most.
-RUN = 150_000
+RUN = 100_000
+PARTS_A_TASK = 4
 LAST = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -122,6 +123,7 @@ def find_anchors(parts: int, width: int):
                 held, size = [], 0
         if held:
             yield flush(held)
+        give_back()
 
     return run
 
@@ -255,6 +257,7 @@ def sorted_runs(parts: int, width: int):
                         held, size = [], 0
         if held:
             yield flush(held)
+        give_back()
 
     return run
 
@@ -381,7 +384,7 @@ def part_spans(blobs: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray,
             data += key
             prefix.append(shared if prefix else 0)
         number[base[r] + entry] = len(prefix) - 1
-    rows = np.frombuffer(bytes(data), np.uint8).reshape(-1, size)
+    rows = np.frombuffer(data, np.uint8).reshape(-1, size)
     context = np.repeat(number, np.concatenate(counts))
     ids, key, place = (np.concatenate(x) for x in zip(*occurrences, strict=True))
     order = np.lexsort((place, key, ids, context))
@@ -419,12 +422,16 @@ def find_spans(parts: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for p, *blob in zip(*(batch.column(c).to_pylist() for c in ("part", *RUN_COLUMNS)), strict=True):
                 held.setdefault(p, []).append(tuple(blob))
         while held:
             key, start, end = part_spans(held.popitem()[1], width)
-            yield deal(key, np.stack([start, end], axis=1), parts)
+            found.append((key, np.stack([start, end], axis=1)))
+            give_back()
+        if found:
+            yield deal(np.concatenate([k for k, _ in found]), np.concatenate([r for _, r in found]), parts)
 
     return run
 
@@ -444,13 +451,15 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError(f"width must be from {2 * GRAM} to 255")
     spark = documents.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # More parts than tasks: a task holds its parts front-coded, and unfolds one at a time.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS_A_TASK * tasks
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
-    found = rows.where(F.octet_length("data") >= width).select("key", "data").mapInArrow(find_anchors(parts, width), "part int, hashes binary, keys binary, places binary")
-    often = found.repartition("part").mapInArrow(find_repeated(parts), DEALT)
+    found = rows.where(F.octet_length("data") >= width).select("key", "data").mapInArrow(find_anchors(tasks, width), "part int, hashes binary, keys binary, places binary")
+    often = found.repartition("part").mapInArrow(find_repeated(tasks), DEALT)
     places = often.repartition("part").mapInArrow(regroup(1, "u4"), "key long, rows binary")
     runs = rows.join(places.hint("shuffle_hash"), "key", "left").mapInArrow(sorted_runs(parts, width), "part int, " + ", ".join(f"{c} binary" for c in RUN_COLUMNS))
-    spans = runs.repartition("part").mapInArrow(find_spans(parts, width), DEALT)
+    spans = runs.repartition("part").mapInArrow(find_spans(tasks, width), DEALT)
     gathered = spans.repartition("part").mapInArrow(regroup(2, "i8"), "key long, rows binary")
     return rows.join(gathered.hint("shuffle_hash"), "key", "left").select("doc_id", "data", F.col("rows").alias("spans"))
 
