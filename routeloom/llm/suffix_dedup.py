@@ -8,7 +8,7 @@ same. To sort all suffixes would move many times the corpus, so suffixes are sor
 2. Anchors whose gram occurs once in the corpus are dropped; grams are dealt by their hash and counted.
 3. Of each anchor left, the suffix from it (`width` bytes) and, reversed, the bytes before it that a window can reach are its context.
    Contexts are sorted into runs, one task's equal contexts as one entry, and runs are cut by a hash of the gram and front-coded: each
-   entry is the length of the prefix shared with the entry before and the rest. These runs are exchanged.
+   entry is the length of the prefix shared with the entry before and the rest, and the rests are compressed. These runs are exchanged.
 4. Each part's runs are combined by a loser tree that keeps, for each head, the prefix it shares with the last output: heads with
    different shared prefixes are ordered by these lengths alone, and others are compared from there on. What comes out is the
    sorted contexts with their shared prefixes. For each offset of a window before its anchor, contexts that agree on the bytes the
@@ -237,7 +237,7 @@ def sorted_runs(parts: int, width: int):
             entries, prefix = rows[at[first]], prefix[first]
             rest = entries[np.arange(rows.shape[1]) >= prefix[:, None]].tobytes()
             used, local = np.unique(document[at], return_inverse=True)
-            out.append((p, prefix.astype(np.uint8).tobytes(), rest, np.diff(np.r_[first, len(at)]).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), place[at].astype(np.uint32).tobytes(), np.stack([ids[used], keys[used]]).tobytes()))
+            out.append((p, prefix.astype(np.uint8).tobytes(), pa.Codec("zstd").compress(rest, asbytes=True), np.diff(np.r_[first, len(at)]).astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), place[at].astype(np.uint32).tobytes(), np.stack([ids[used], keys[used]]).tobytes()))
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["part", *RUN_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,9 @@ class Run:
     """A front-coded run; `entry` is the head's number, `key` its bytes, None behind the last."""
 
     def __init__(self, prefixes: bytes, rests: bytes, size: int) -> None:
-        self.prefixes, self.rests, self.size = prefixes, rests, size
+        unfolded = size * len(prefixes) - int(np.frombuffer(prefixes, np.uint8).sum(dtype=np.int64))
+        self.prefixes, self.size = prefixes, size
+        self.rests = pa.Codec("zstd").decompress(rests, unfolded, asbytes=True)
         self.entry, self.at, self.key = -1, 0, b""
 
     def step(self) -> int:
