@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prefix as px
-from ..operators import cover, expand, registry, space
+from ..operators import cover, expand, policy, registry, space
+from .scratch import written
 from ..sources.synthetic import OCTETS, SOURCES, with_views
 from ..sources.synthetic import registry as load
 
@@ -503,6 +504,101 @@ def aggregate_prefixes(spark, sf_dir):
     return cover.with_key(made).select("key")
 
 
+# ---- policies
+
+
+def policy_tables(spark, sf_dir):
+    policies, members, routes = load(spark, sf_dir, "policies", "range_members", "routes")
+    found = written(policy.terms(policies), "terms")
+    named = found.select(F.explode("conjuncts").alias("c")).select(F.explode(F.concat("c.positive", "c.negative")).alias("literal"))
+    ranges = expand.expand_ranges(members.select(F.col("set_name").alias("top")).distinct(), members)
+    literals = policy.resolved(named, ranges, routes)
+    return found, written(policy.term_spaces(found, literals), "spaces")
+
+
+@query("SELECT asn, attr, ord::INTEGER AS ord, CASE WHEN text = 'from accept' THEN NULL ELSE regexp_extract(text, '^(?:from|to) AS([0-9]+)', 1)::BIGINT END AS peer, nullif(regexp_extract(text, 'pref=([0-9]+)', 1), '') AS pref, nullif(regexp_extract(text, '(?:accept|announce) (.+)$', 1), '') AS filter, CASE WHEN text = 'from accept' THEN 'policy/syntax' END AS rule FROM policies", "policies")
+def policy_terms(spark, sf_dir):
+    (policies,) = load(spark, sf_dir, "policies")
+    pref = F.transform(F.filter("actions", lambda a: a["attribute"] == "pref"), lambda a: a["value"])
+    return policy.terms(policies).select("asn", "attr", "ord", "peer", F.try_element_at(pref, F.lit(1)).alias("pref"), "filter", "rule")
+
+
+#: The prefixes that each direction announces and accepts, listed up to length 28.
+DIRECTIONS = f"""{PATHS}, listed AS (SELECT DISTINCT top, n.l AS l, (addr >> (32 - n.l)) + i.i AS i FROM found, range(23, 29) n(l), range(0, 32) i(i) WHERE lo <= hi AND n.l BETWEEN lo AND hi AND i.i < (1 << (n.l - plen))),
+    nations AS (SELECT n_nationkey AS n, 200000 + n_nationkey AS from_as, 200000 + (n_nationkey * 3 + 1) % 25 AS to_as, 'RS-B' || (n_nationkey + 1) AS s FROM nation),
+    announced AS (SELECT n, from_as, to_as, l, i FROM nations JOIN listed ON top = s),
+    denied AS (SELECT n, l, i FROM announced WHERE l >= 17 AND (i >> (l - 17)) = ((10 << 24) + ((n % 8) << 16)) >> 15),
+    second AS (SELECT n, l, i FROM announced WHERE n % 2 = 0 AND CASE n % 3 WHEN 0 THEN l = 24 AND (i >> 6) = (10 << 24) >> 14 WHEN 1 THEN (i >> (l - 16)) = ((10 << 24) + (200 << 16)) >> 16 ELSE (i >> (l - 17)) = ((10 << 24) + ((n % 8) << 16) + (128 << 8)) >> 15 END)"""
+
+
+@query(after(DIRECTIONS, "SELECT from_as, to_as, count(*) AS n FROM announced WHERE (n, l, i) IN (SELECT (n, l, i) FROM denied) AND (n, l, i) NOT IN (SELECT (n, l, i) FROM second) GROUP BY ALL"), "range_members")
+def pair_consistency(spark, sf_dir):
+    """Prefixes up to length 28 that an AS announces and its neighbour doesn't accept."""
+    _, spaces = policy_tables(spark, sf_dir)
+    rest = policy.not_imported(spaces).where("plen <= 28")
+    return rest.groupBy("from_as", "to_as").agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
+
+
+@query(after(PATHS, """SELECT asn, attr, ord::INTEGER AS ord FROM policies WHERE ord BETWEEN 100 AND 199 AND ((ord + 2) % 3 = 2 AND EXISTS (SELECT 1 FROM found WHERE lo <= hi AND top = 'RS-B' || (ord - 99) AND (addr >> 15) = ((10 << 24) + (((ord + 4) % 8) << 16) + (128 << 8)) >> 15))"""), "range_members", "policies")
+def lint_shadowed(spark, sf_dir):
+    found, spaces = policy_tables(spark, sf_dir)
+    return policy.shadowed(found, spaces).select("asn", "attr", "ord")
+
+
+@query(
+    after(
+        PATHS,
+        """SELECT asn, attr, ord::INTEGER AS ord FROM policies WHERE text LIKE '%AS-MISSING9' OR (ord BETWEEN 100 AND 199 AND CASE (ord + 2) % 3 WHEN 0 THEN false
+        WHEN 1 THEN NOT EXISTS (SELECT 1 FROM found WHERE lo <= hi AND top = 'RS-B' || (ord - 99) AND (addr >> 16) = ((10 << 24) + (200 << 16)) >> 16)
+        ELSE NOT EXISTS (SELECT 1 FROM found WHERE lo <= hi AND top = 'RS-B' || (ord - 99) AND (addr >> 15) = ((10 << 24) + (((ord + 4) % 8) << 16) + (128 << 8)) >> 15) END)""",
+    ),
+    "range_members",
+    "policies",
+)
+def lint_empty(spark, sf_dir):
+    found, spaces = policy_tables(spark, sf_dir)
+    return policy.empty(found, spaces).select("asn", "attr", "ord")
+
+
+@query("SELECT DISTINCT asn, 999999::BIGINT AS peer FROM policies WHERE text LIKE '%AS999999%'", "policies")
+def lint_no_aut_num(spark, sf_dir):
+    (policies,) = load(spark, sf_dir, "policies")
+    return policy.without_aut_num(policy.terms(policies), policies.select("asn"))
+
+
+@query("SELECT coalesce(rule, 'ok') AS rule, count(*) AS n, count(DISTINCT asn) AS ases FROM (SELECT asn, CASE WHEN text = 'from accept' THEN 'policy/syntax' END AS rule FROM policies) GROUP BY 1", "policies")
+def sweep_totals(spark, sf_dir):
+    (policies,) = load(spark, sf_dir, "policies")
+    found = policy.terms(policies)
+    return found.groupBy(F.coalesce("rule", F.lit("ok")).alias("rule")).agg(F.count("*").alias("n"), F.countDistinct("asn").alias("ases"))
+
+
+@query("SELECT asn, n FROM (SELECT asn, count(*) AS n FROM policies WHERE text = 'from accept' OR text LIKE '%AS-MISSING9' GROUP BY asn) ORDER BY n DESC, asn LIMIT 5", "policies")
+def top_warnings(spark, sf_dir):
+    (policies,) = load(spark, sf_dir, "policies")
+    warned = policy.terms(policies).where("rule IS NOT NULL OR filter = 'AS-MISSING9'")
+    return warned.groupBy("asn").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "asn").limit(5)
+
+
+@query(
+    after(f"{ASNS}, sessions AS (SELECT asn AS local, 100000 + ord AS peer FROM (SELECT DISTINCT 300000 + n_nationkey AS asn FROM nation), range(0, 40) r(ord))", """SELECT local, peer, 'import' AS attr, k::INTEGER AS ord, 'match' AS verdict FROM sessions, range(0, 3) t(k)
+        WHERE CASE k WHEN 0 THEN peer IN (SELECT asn FROM asns WHERE top = 'AS-N' || (local - 300000)) WHEN 1 THEN peer IN (SELECT asn FROM asns WHERE top = 'AS-WORLD') AND peer NOT IN (SELECT asn FROM asns WHERE top = 'AS-R0') ELSE peer = 100007 END
+        UNION ALL SELECT local, peer, 'import', 3, 'undecided' FROM sessions"""),
+    "sets",
+    "members",
+)
+def evaluate_sessions(spark, sf_dir):
+    sets, members, nations = load(spark, sf_dir, "sets", "members", "policies")
+    ases = nations.select((F.col("asn") + 100000).alias("asn")).distinct()
+    texts = [F.concat(F.lit("from AS-N"), (F.col("asn") - 300000).cast("string"), F.lit(" accept ANY")), F.lit("from AS-WORLD EXCEPT AS-R0 action pref=1; accept ANY"), F.lit("from AS100007 accept ANY"), F.lit("from AS-NOWHERE accept ANY")]
+    made = ases.select("asn", F.lit("import").alias("attr"), F.posexplode(F.array(*texts)).alias("ord", "text"))
+    nodes, own = reached(spark, sf_dir)
+    membership = expand.expand_as(nodes, own)
+    sessions = ases.select(F.col("asn").alias("local"), F.explode(F.sequence(F.lit(100000).cast("long"), F.lit(100039).cast("long"))).alias("peer"))
+    told = policy.evaluate(sessions, policy.terms(made), membership, sets.select(F.col("set_name").alias("top")))
+    return told.select("local", "peer", "attr", "ord", "verdict")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

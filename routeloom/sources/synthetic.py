@@ -42,6 +42,13 @@ VIEWS = {
         UNION ALL SELECT concat('RS-B', CAST(CAST(substr(p_brand, 7) AS INT) % 25 + 1 AS STRING)), NULL, {PART_ADDRESS} - {PART_ADDRESS} % 512, 23, '^24-26' FROM {{part}} WHERE p_partkey % 7 = 0""",
     "aspas": "SELECT 100000 + s_suppkey AS customer, 100000 + (s_suppkey * 7 + 3) % 100 AS provider FROM {supplier} WHERE s_suppkey % 2 = 0 UNION SELECT 100000 + s_suppkey, 100000 + (s_suppkey * 5 + 1) % 100 FROM {supplier} WHERE s_suppkey % 4 = 0",
     "neighbours": "SELECT 100000 + s_suppkey AS asn, 100000 + (s_suppkey * 7 + 3) % 100 AS peer, CASE WHEN s_suppkey % 3 = 0 THEN 'provider' ELSE 'peer' END AS kind FROM {supplier} UNION ALL SELECT 100000 + s_suppkey, 100000 + (s_suppkey * 11 + 5) % 130, 'provider' FROM {supplier}",
+    # Each nation announces a brand's route-set to one other; that one takes most of it, in one or two terms, the second sometimes idle.
+    "policies": """
+        SELECT 200000 + n_nationkey AS asn, 'export' AS attr, 0 AS ord, concat('to AS', CAST(200000 + (n_nationkey * 3 + 1) % 25 AS STRING), ' announce RS-B', CAST(n_nationkey + 1 AS STRING)) AS text FROM {nation}
+        UNION ALL SELECT 200000 + (n_nationkey * 3 + 1) % 25, 'import', n_nationkey, concat('from AS', CAST(200000 + n_nationkey AS STRING), ' action pref=', CAST(10 + n_nationkey AS STRING), '; accept RS-B', CAST(n_nationkey + 1 AS STRING), ' AND NOT {{10.', CAST(n_nationkey % 8 AS STRING), '.0.0/17^+}}') FROM {nation}
+        UNION ALL SELECT 200000 + (n_nationkey * 3 + 1) % 25, 'import', 100 + n_nationkey, concat('from AS', CAST(200000 + n_nationkey AS STRING), ' accept ', CASE n_nationkey % 3 WHEN 0 THEN '{{10.0.0.0/18^24}}' WHEN 1 THEN concat('RS-B', CAST(n_nationkey + 1 AS STRING), ' AND {{10.200.0.0/16^+}}') ELSE concat('RS-B', CAST(n_nationkey + 1 AS STRING), ' AND {{10.', CAST(n_nationkey % 8 AS STRING), '.128.0/17^+}}') END) FROM {nation} WHERE n_nationkey % 2 = 0
+        UNION ALL SELECT 200000 + n_nationkey, 'import', 200, 'from AS999999 accept AS-MISSING9' FROM {nation} WHERE n_nationkey % 5 = 0
+        UNION ALL SELECT 200000 + n_nationkey, 'import', 300, 'from accept' FROM {nation} WHERE n_nationkey % 6 = 0""",
     "mutations": "SELECT CASE user_id % 2 WHEN 0 THEN 'aut-num' ELSE 'route' END AS class, concat('K', CAST(user_id AS STRING)) AS pk, CASE user_id % 3 WHEN 0 THEN 'RIPE' WHEN 1 THEN 'RADB' ELSE 'TEST' END AS source, CASE WHEN event_type = 'error' OR event_id % 9 = 0 THEN 'DEL' ELSE 'ADD' END AS operation, CAST(floor(value) AS BIGINT) AS payload, event_id AS seq FROM {events}",
     "attributes": """
         SELECT o_orderkey AS obj_id, 'route' AS class, 'route' AS name, CAST(o_orderkey AS STRING) AS value FROM {orders}
