@@ -31,8 +31,13 @@ def closure(tops: DataFrame, edges: DataFrame, state: list[str], max_depth: int
 
     edges has `parent` (matched with the first column of state) and what `step` makes the next state from; without a step,
     the next state is the column `child`. A set deeper than max_depth is an error, not cut off; so are more than max_visited states of
-    one top.
+    one top, looked for at the end and whenever levels are written as one.
     """
+
+    def check(found: DataFrame) -> None:
+        if not found.groupBy("top").count().where(F.col("count") > max_visited).isEmpty():
+            raise SetTooLarge(f"a set holds more than {max_visited} sets")
+
     key = ["top", *state]
     frontier = written(tops.select(*key).distinct().withColumn("depth", F.lit(0)), "level")
     levels, depth = [frontier], 0
@@ -50,9 +55,11 @@ def closure(tops: DataFrame, edges: DataFrame, state: list[str], max_depth: int
             levels = [written(reduce(DataFrame.unionByName, levels), "levels")]
         if depth > max_depth:
             raise SetTooLarge(f"sets nest deeper than {max_depth}")
-        if not reduce(DataFrame.unionByName, levels).groupBy("top").count().where(F.col("count") > max_visited).isEmpty():
-            raise SetTooLarge(f"a set holds more than {max_visited} sets")
-    return reduce(DataFrame.unionByName, levels)
+        if len(levels) == 1:
+            check(levels[0])
+    found = reduce(DataFrame.unionByName, levels)
+    check(found)
+    return found
 
 
 def nestable(parent: Column, child: Column) -> Column:

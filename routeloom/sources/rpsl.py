@@ -228,7 +228,7 @@ def values(name: str, attrs: str = "attrs") -> Column:
 def items(name: str, attrs: str = "attrs") -> Column:
     """List items of all values of an attribute, blank ones left out."""
     parts = F.flatten(F.transform(values(name, attrs), lambda v: F.split(v, "[,\n]")))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def as_number(text: Column) -> Column:
