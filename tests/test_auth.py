@@ -11,11 +11,11 @@ key = lambda a, n: f"{a:032b}"[:n]
 TEN = 10 << 24
 
 
-def verifier(scheme, value, credential):
-    return value == credential if scheme.upper() == "PASS" else None
-
-
 def test_route_creation(spark):
+    # Workers don't import this file, so the function is made here and goes along.
+    def verifier(scheme, value, credential):
+        return value == credential if scheme.upper() == "PASS" else None
+
     mntners = spark.createDataFrame([("M-OWN", ["PASS a"]), ("M-AS", ["PASS b", "X509 k"]), ("M-LOW", ["PASS c"]), ("M-TOP", ["X509 z"])], "mnt string, auth array<string>")
     updates = spark.createDataFrame([(n, key(TEN + (1 << 16), 16), 16, o, ["m-own"]) for n, o in ((1, 1), (2, 1), (3, 9))] + [(4, key(1 << 24, 8), 8, 1, ["M-OWN"])], "update_id int, key string, plen int, origin long, mnts array<string>")
     nums = spark.createDataFrame([(1, ["M-AS"], [])], "asn long, mnts array<string>, mnt_routes array<string>")
