@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prefix as px
-from ..operators import cover, expand, policy, registry, space
+from ..operators import auth, cover, expand, generate, model, policy, registry, space
+from ..operators import members as other_sets
 from .scratch import written
 from ..sources.synthetic import OCTETS, SOURCES, with_views
 from ..sources.synthetic import registry as load
@@ -599,6 +601,138 @@ def evaluate_sessions(spark, sf_dir):
     return told.select("local", "peer", "attr", "ord", "verdict")
 
 
+# ---- scan, members, other sets, generators, authorisation
+
+
+@query(
+    """SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_full_match(line, '[ \t]*\r*') THEN 'blank' WHEN line[1] = '#' THEN 'comment' WHEN line[1] IN (' ', chr(9), '+') THEN 'continuation' WHEN regexp_matches(line, '^([^ \t+#:][^#:]*)?:') THEN 'attribute' ELSE 'malformed' END AS kind
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY ALL""".replace("\\", "\\"),
+    "aut_nums",
+)
+def line_kinds(spark, sf_dir):
+    """Kinds of the lines of hostile texts; a line that begins with a blank counts as a continuation."""
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    kind = F.when(F.col("line").rlike(r"^[ \t]*\r*$"), "blank").when(F.col("line").startswith("#"), "comment").when(F.col("line").rlike(r"^[ \t+]"), "continuation").when(F.col("line").rlike(r"^([^ \t+#:][^#:]*)?:"), "attribute").otherwise("malformed")
+    return lines.groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+ITEMS = "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN concat('AS', CAST(p_partkey AS STRING)) WHEN 1 THEN concat('as1.', CAST(p_partkey % 1000 AS STRING)) WHEN 2 THEN concat('RIPE::AS', CAST(p_partkey AS STRING), ':AS-Foo') WHEN 3 THEN concat('10.', CAST(p_partkey % 200 AS STRING), '/16^', CAST(p_size AS STRING)) WHEN 4 THEN concat('rs-b', CAST(p_size AS STRING), '^+') ELSE 'junk item' END AS item FROM {part}"
+
+
+@query(
+    f"""SELECT id, CASE id % 6 WHEN 0 THEN id WHEN 1 THEN 65536 + id % 1000 END AS asn, CASE id % 6 WHEN 2 THEN 'AS' || id || ':AS-FOO' WHEN 4 THEN 'RS-B' || p_size END AS child, CASE id % 6 WHEN 2 THEN 'RIPE' END AS child_source,
+    CASE id % 6 WHEN 3 THEN 167772160 + (id % 200) * 65536 END AS addr, CASE id % 6 WHEN 3 THEN 16 END::INTEGER AS plen, CASE id % 6 WHEN 3 THEN '^' || p_size WHEN 4 THEN '^+' ELSE '' END AS op FROM (SELECT p_partkey AS id, p_size FROM part)""",
+    "aut_nums",
+)
+def member_parse(spark, sf_dir):
+    items = spark.sql(ITEMS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    told = items.withColumns(model.member_columns(F.col("item")))
+    return told.select("id", "asn", "child", "child_source", "addr", F.col("plen").cast("int").alias("plen"), "op")
+
+
+BLOCKS = "spans AS (SELECT c_custkey AS id, 167772160 + c_custkey * 977 AS lo, 167772160 + c_custkey * 977 + (c_custkey * 7919) % 5000 AS hi FROM customer)"
+
+
+@query(
+    after(
+        f"{BLOCKS}, walk AS (SELECT id, lo, hi, NULL::BIGINT AS addr, NULL::INTEGER AS plen FROM spans UNION ALL SELECT id, lo + size, hi, lo, 32 - log2(size)::INTEGER FROM (SELECT id, lo, hi, (SELECT max(1 << k) FROM range(0, 14) r(k) WHERE lo % (1 << k) = 0 AND lo + (1 << k) - 1 <= hi) AS size FROM walk WHERE lo <= hi))",
+        "SELECT id, addr, plen FROM walk WHERE addr IS NOT NULL",
+    ),
+    "aut_nums",
+)
+def range_prefixes(spark, sf_dir):
+    """Address ranges as the fewest prefixes."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), (167772160 + F.col("c_custkey") * 977).alias("lo"), (167772160 + F.col("c_custkey") * 977 + (F.col("c_custkey") * 7919) % 5000).alias("hi"))
+    return other_sets.range_prefixes(rows).select("id", "addr", F.col("plen").cast("int").alias("plen"))
+
+
+NESTED = "nested AS (SELECT 'RTRS-R' || r_regionkey AS set_name, NULL AS router, 'RTRS-N' || n_nationkey AS child FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'RTRS-N' || s_nationkey, 'rtr' || s_suppkey || '.example.net', NULL FROM supplier UNION ALL SELECT 'RTRS-N' || n_nationkey, NULL, 'RTRS-R' || n_regionkey FROM nation WHERE n_nationkey % 5 = 0)"
+
+
+@query(after(f"{NESTED}, reached AS (SELECT DISTINCT set_name AS top, set_name AS node FROM nested UNION SELECT top, child FROM reached JOIN nested ON node = set_name WHERE child IN (SELECT set_name FROM nested))", "SELECT DISTINCT top, router FROM reached JOIN nested ON node = set_name WHERE router IS NOT NULL"), "aut_nums")
+def router_sets(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    n = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    nation = read("nation")
+    rows = nation.select(n("RTRS-R", "n_regionkey").alias("set_name"), none.alias("router"), n("RTRS-N", "n_nationkey").alias("child"))
+    rows = rows.union(read("supplier").select(n("RTRS-N", "s_nationkey"), F.concat(n("rtr", "s_suppkey"), F.lit(".example.net")), none)).union(nation.where("n_nationkey % 5 = 0").select(n("RTRS-N", "n_nationkey"), none, n("RTRS-R", "n_regionkey")))
+    sets = rows.select("set_name").distinct()
+    return other_sets.expand_routers(sets.select(F.col("set_name").alias("top")), sets, rows)
+
+
+ENTRIES = "entries AS (SELECT DISTINCT 'L' || origin % 7 AS name, addr, plen, CASE WHEN addr % 1024 = 0 THEN plen + 1 ELSE plen END AS lo, CASE WHEN addr % 512 = 0 THEN plen + 2 ELSE plen END AS hi FROM routes)"
+
+
+def entries(spark, sf_dir):
+    (routes,) = load(spark, sf_dir, "routes")
+    wide, late = F.col("addr") % 512 == 0, F.col("addr") % 1024 == 0
+    return routes.select(F.concat(F.lit("L"), (F.col("origin") % 7).cast("string")).alias("name"), "addr", "plen", F.when(late, F.col("plen") + 1).otherwise(F.col("plen")).alias("lo"), F.when(wide, F.col("plen") + 2).otherwise(F.col("plen")).alias("hi")).distinct()
+
+
+def list_sql(head: str, exact: str, ranged: str, upto: str, tail: str, between: str) -> str:
+    q = lambda t: "concat(" + ", ".join({"p": f"concat({TEXT.format('addr')}, '/', plen)", "name": "name", "lo": "lo", "hi": "hi", "n": "plen"}.get(x, "'" + x.replace("\n", "' || chr(10) || '") + "'") for x in re.split(r"<(p|name|lo|hi|n)>", t)) + ")"
+    line = f"CASE WHEN lo = plen AND hi = plen THEN {q(exact)} WHEN lo > plen THEN {q(ranged)} ELSE {q(upto)} END"
+    return after(ENTRIES, f"SELECT name, concat({q(head)}, string_agg({line}, {q(between)} ORDER BY addr, plen, lo, hi), {q(tail)}) AS text FROM entries GROUP BY name")
+
+
+@query(list_sql("no ip prefix-list <name>\n", "ip prefix-list <name> permit <p>\n", "ip prefix-list <name> permit <p> ge <lo> le <hi>\n", "ip prefix-list <name> permit <p> le <hi>\n", "", ""), "routes")
+def filter_list_ios(spark, sf_dir):
+    return generate.prefix_lists(entries(spark, sf_dir), "ios")
+
+
+@query(list_sql("<name> = [", "\n    <p>", "\n    <p>{<lo>,<hi>}", "\n    <p>{<n>,<hi>}", "\n];\n", ","), "routes")
+def filter_list_bird(spark, sf_dir):
+    return generate.prefix_lists(entries(spark, sf_dir), "bird")
+
+
+@query(list_sql("policy-options {\nreplace:\n  route-filter-list <name> {\n", "    <p> exact;\n", "    <p> prefix-length-range /<lo>-/<hi>;\n", "    <p> upto /<hi>;\n", "  }\n}\n", ""), "routes")
+def filter_list_junos(spark, sf_dir):
+    return generate.prefix_lists(entries(spark, sf_dir), "junos-route-filter-list")
+
+
+@query(
+    """SELECT name, concat('no ip as-path access-list ', name, chr(10), 'ip as-path access-list ', name, ' permit ^', me, '(_', me, ')*$', chr(10), string_agg(concat('ip as-path access-list ', name, ' permit ^', me, '(_[0-9]+)*_(', l, ')$', chr(10)), '' ORDER BY g)) AS text
+    FROM (SELECT name, me, g, string_agg(asn, '|' ORDER BY asn) AS l FROM (SELECT 'P' || nation AS name, min(asn) OVER w AS me, asn, (row_number() OVER (w ORDER BY asn) - 2) // 4 AS g FROM aut_nums WINDOW w AS (PARTITION BY nation)) WHERE asn <> me GROUP BY ALL) GROUP BY name, me""",
+    "aut_nums",
+)
+def as_path_text(spark, sf_dir):
+    (nums,) = load(spark, sf_dir, "aut_nums")
+    named = nums.select(F.concat(F.lit("P"), F.col("nation").cast("string")).alias("name"), "asn")
+    near = named.groupBy("name").agg(F.min("asn").alias("me"), F.count("*").alias("n"))
+    return generate.as_paths(named.join(near.where("n > 1").select("name"), "name"), near.where("n > 1").select("name", "me"), "ios")
+
+
+AUTH = f"""asked AS (SELECT c_custkey AS update_id, 167772160 + (c_custkey % 2000) * 256 AS addr, 25 AS plen, 100001 + c_custkey % {{n}} AS origin FROM customer), spaces AS (SELECT DISTINCT addr, plen, 'MNT-' || addr % 7 AS mnt FROM routes WHERE plen = 24),
+    needs AS (SELECT update_id, 'object' AS reason, 'MNT-0' AS mnt FROM asked UNION ALL SELECT update_id, 'origin', aut_nums.mnt FROM asked LEFT JOIN aut_nums ON asn = origin
+    UNION ALL SELECT update_id, 'space', spaces.mnt FROM asked LEFT JOIN spaces ON spaces.addr = asked.addr),
+    told AS (SELECT update_id, reason, coalesce(mnt IN ('MNT-0', 'MNT-1', 'MNT-2', 'MNT-3', 'MNT-4'), false) AS ok FROM needs)""".replace("{n}", "(SELECT count(*) FROM supplier)")
+
+
+@query(after(AUTH, "SELECT update_id, bool_and(ok) AS allowed, coalesce(string_agg(reason, ',' ORDER BY reason) FILTER (WHERE NOT ok), '') AS missing FROM told GROUP BY update_id"), "routes", "aut_nums")
+def authorise_routes(spark, sf_dir):
+    """Route creation: the object's, the origin's and the covering space's maintainers, for credentials of five maintainers."""
+    routes, nums = load(spark, sf_dir, "routes", "aut_nums")
+    n = F.broadcast(nums.agg(F.count("*").alias("__n")))
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").join(n).select(F.col("c_custkey").alias("update_id"), (167772160 + (F.col("c_custkey") % 2000) * 256).alias("addr"), F.lit(25).alias("plen"), (100001 + F.col("c_custkey") % F.col("__n")).alias("origin"), F.array(F.lit("mnt-0")).alias("mnts"))
+    none = F.array().cast("array<string>")
+    held = cover.with_key(routes.where("plen = 24").select("addr", "plen").distinct()).select("key", "plen", F.array(F.concat(F.lit("MNT-"), (F.col("addr") % 7).cast("string"))).alias("mnts"), none.alias("mnt_lower"), none.alias("mnt_routes"))
+    owners = nums.select("asn", F.array("mnt").alias("mnts"), none.alias("mnt_routes"))
+    needs = auth.route_requirements(cover.with_key(asked), owners, held)
+    answers = asked.select("update_id", F.explode(F.array(*[F.lit(f"MNT-{k}") for k in range(5)])).alias("mnt"), F.lit(True).alias("ok"), F.lit(False).alias("unsupported"))
+    return auth.decide(needs, answers).select("update_id", "allowed", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT id, alternatives, negatives FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 2 END::BIGINT AS alternatives, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 2 END::BIGINT AS negatives FROM part)", "aut_nums")
+def normalized_filters(spark, sf_dir):
+    """Filters in normal form: how many alternatives, and how many negative literals in all of them."""
+    texts = [["AS", " AND NOT AS1"], ["AS", " AND NOT (AS1 AND AS2)"], ["(AS", " OR AS1) AND (AS2 OR AS3)"], ["NOT (AS", " AND {10.0.0.0/8^+})"]]
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"))
+    text = F.coalesce(*[F.when(F.col("id") % 4 == k, F.concat(F.lit(f"from AS1 accept {a}"), (F.col("id") + 1000).cast("string"), F.lit(b))) for k, (a, b) in enumerate(texts)])
+    found = policy.terms(part.select(F.col("id").alias("asn"), F.lit("import").alias("attr"), F.lit(0).alias("ord"), text.alias("text")))
+    return found.select(F.col("asn").alias("id"), F.size("conjuncts").cast("long").alias("alternatives"), F.aggregate("conjuncts", F.lit(0).cast("long"), lambda s, c: s + F.size(c["negative"])).alias("negatives"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
