@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy as lang
-from ..functions.prefix import V4_BITS, apply_operator
+from ..functions.prefix import V4_BITS, apply_operator, prefix_text
+from ..plans.scratch import written
 from . import space
 
 CONJUNCT = "struct<positive:array<string>,negative:array<string>,tests:array<string>>"
@@ -34,7 +35,7 @@ def set_names(expression: tuple) -> set[str]:
     return set().union(*(set_names(x) for x in expression[1:] if isinstance(x, tuple))) if expression[0] in ("and", "or", "except") else set()
 
 
-def terms_of(asn: int, attr: str, ord_: int, text: str | None, family: str) -> Iterator[dict]:
+def terms_of(asn: int, attr: str, ord_: int, text: str | None, family: str, filter_sets: dict[str, tuple]) -> Iterator[dict]:
     empty = {"asn": asn, "attr": attr, "ord": ord_, "term": 0, "peer": None, "peering": None, "sets": [], "actions": [], "filter": None, "conjuncts": [], "rule": None, "message": None}
     expression, errors = lang.parse(attr, text or "")
     if expression is None:
@@ -44,19 +45,34 @@ def terms_of(asn: int, attr: str, ord_: int, text: str | None, family: str) -> I
         peer = t.peering[0][1] if t.peering[0][0] == "as" else None
         row = empty | {"term": k, "peer": peer, "peering": json.dumps(t.peering), "sets": sorted(set_names(t.peering[0])), "actions": [dict(zip(("attribute", "op", "value"), a, strict=True)) for a in t.actions], "filter": lang.text_of(t.filter)}
         try:
-            conjuncts = lang.normalize(t.filter, peer)
+            conjuncts = lang.normalize(lang.inlined(t.filter, filter_sets), peer)
             row["conjuncts"] = [{"positive": sorted(c.positive), "negative": sorted(c.negative), "tests": sorted(("NOT " if no else "") + x for x, no in c.tests)} for c in conjuncts]
         except ValueError as e:
-            row |= {"rule": "policy/limit" if isinstance(e, lang.TooLarge) else "policy/peeras", "message": str(e)}
+            row |= {"rule": "policy/limit" if isinstance(e, lang.TooLarge) else "policy/filter-set-cycle" if isinstance(e, lang.Cycle) else "policy/peeras", "message": str(e)}
         yield row
 
 
-def terms(policies: DataFrame, family: str = "ipv4.unicast") -> DataFrame:
-    """The ordered terms of policies (asn, attr, ord, text) for a family; a policy that can't be read is one row with a rule and a message."""
+MAX_FILTER_SETS = 200_000
+
+
+def filter_sets_of(rows: DataFrame) -> dict[str, tuple]:
+    """Readable filters by name, of filter-sets (set_name, filter); registries hold few of them, and more than MAX_FILTER_SETS are refused."""
+    held = rows.select("set_name", "filter").limit(MAX_FILTER_SETS + 1).collect()
+    if len(held) > MAX_FILTER_SETS:
+        raise ValueError(f"more than {MAX_FILTER_SETS} filter-sets")
+    return {r["set_name"].upper(): f for r in held for f, errors in [lang.parse_filter(r["filter"] or "")] if not errors}
+
+
+def terms(policies: DataFrame, family: str = "ipv4.unicast", filter_sets: dict[str, tuple] | None = None) -> DataFrame:
+    """The ordered terms of policies (asn, attr, ord, text) for a family; a policy that can't be read is one row with a rule and a message.
+
+    Filter-sets that are given are put in place of their names; others stay names and hold nothing.
+    """
+    filter_sets = filter_sets or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([t for r in batch.to_pylist() for t in terms_of(r["asn"], r["attr"], r["ord"], r["text"], family)], ARROW_TERMS)
+            yield pa.RecordBatch.from_pylist([t for r in batch.to_pylist() for t in terms_of(r["asn"], r["attr"], r["ord"], r["text"], family, filter_sets)], ARROW_TERMS)
 
     return policies.select(F.col("asn").cast("long"), "attr", F.col("ord").cast("int"), "text").mapInArrow(run, TERMS)
 
@@ -119,9 +135,9 @@ def conjunct_spaces(conjuncts: DataFrame, literals: DataFrame) -> DataFrame:
     return swept.withColumn("space", F.expr("substring(space, 1, length(space) - length(substring_index(space, '|', -1)) - 1)"))
 
 
-def term_spaces(found: DataFrame, literals: DataFrame) -> DataFrame:
-    """(asn, attr, ord, term, peer, plen, lo, hi): the prefixes of each term whose alternatives have no test of path or communities."""
-    rows = found.where("rule IS NULL").select("asn", "attr", "ord", "term", "peer", F.posexplode("conjuncts").alias("c", "conjunct")).where(F.size("conjunct.tests") == 0)
+def term_spaces(found: DataFrame, literals: DataFrame, tested: bool = False) -> DataFrame:
+    """(asn, attr, ord, term, peer, plen, lo, hi): the prefixes of each term's alternatives without tests of paths and communities, or of those with tests."""
+    rows = found.where("rule IS NULL").select("asn", "attr", "ord", "term", "peer", F.posexplode("conjuncts").alias("c", "conjunct")).where((F.size("conjunct.tests") > 0) == tested)
     term = F.concat_ws("/", "asn", "attr", "ord", "term")
     spaces = conjunct_spaces(rows.select(F.concat_ws("/", term, F.col("c")).alias("space"), "conjunct.positive", "conjunct.negative"), literals)
     joined = space.sweep({"a": spaces.withColumn("space", F.expr("substring(space, 1, length(space) - length(substring_index(space, '/', -1)) - 1)"))}, F.col("a") > 0)
@@ -139,6 +155,64 @@ def not_imported(spaces: DataFrame) -> DataFrame:
     return rest.select(parts[0].cast("long").alias("from_as"), parts[1].cast("long").alias("to_as"), "plen", "lo", "hi")
 
 
+MAX_RANGES = 64
+# The kinds of findings and how grave they are.
+SEVERITY = {"not-imported": "warning", "not-exported": "info", "no-import": "warning", "no-export": "info", "no-aut-num": "warning", "undecided": "info"}
+
+
+def findings(found: DataFrame, literals: DataFrame, aut_nums: DataFrame) -> DataFrame:
+    """(from_as, to_as, kind, of_kind, severity, example, ranges, truncated) of all neighbours that policies name.
+
+    What one side announces for certain and the other doesn't accept even with tests is not imported, and the other way round not exported;
+    what depends on a test of paths or communities is undecided, with the kind that it might be. A report holds the first MAX_RANGES canonical
+    ranges and says if there are more.
+    """
+    pair = {"export": F.concat_ws(">", "asn", "peer"), "import": F.concat_ws(">", "peer", "asn")}
+    both = {tested: written(term_spaces(found, literals, tested), "spaces") for tested in (False, True)}
+
+    def side(kind: str, tested: bool) -> DataFrame:
+        return both[tested].where(F.col("attr").isin(kind, f"mp-{kind}") & F.col("peer").isNotNull()).select(pair[kind].alias("space"), "plen", "lo", "hi")
+
+    named = found.where("rule IS NULL AND peer IS NOT NULL AND attr NOT IN ('default', 'mp-default')")
+    pairs = {k: written(named.where(F.col("attr").isin(k, f"mp-{k}")).select(pair[k].alias("space")).distinct(), "pairs") for k in pair}
+    met = pairs["export"].join(pairs["import"], "space")
+    # Each side as certain (s) and depending (m) layers; "0 <" is in, "= 0" is out.
+    layers = {f"{k[0]}{t}": side(k, tested).join(met, "space", "left_semi") for k in pair for t, tested in (("s", False), ("m", True))}
+    es, em, im, mm = (F.col(c) > 0 for c in ("es", "em", "is", "im"))
+    kinds = {
+        ("not-imported", ""): es & ~im & ~mm,
+        ("not-exported", ""): im & ~es & ~em,
+        ("undecided", "not-imported"): (es | em) & ~im & ~(es & ~mm),
+        ("undecided", "not-exported"): (im | mm) & ~es & ~(im & ~em),
+    }
+    out = None
+    for (kind, of), keep in kinds.items():
+        held = space.sweep(layers, keep)
+        listed = space.ranges(held).groupBy("space").agg(F.sort_array(F.collect_list(F.struct("addr", "plen", "lo", "hi"))).alias("r"))
+        first = space.example(held).select("space", prefix_text(F.col("addr"), F.col("plen")).alias("example"))
+        text = F.transform(F.slice("r", 1, MAX_RANGES), lambda r: F.concat(prefix_text(r["addr"], r["plen"]), F.lit("^"), r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string")))
+        rows = listed.join(first, "space").select("space", F.lit(kind).alias("kind"), F.lit(of).alias("of_kind"), "example", text.alias("ranges"), (F.size("r") > MAX_RANGES).alias("truncated"))
+        out = rows if out is None else out.unionByName(rows)
+    nothing = [F.lit("").alias("of_kind"), F.lit(None).cast("string").alias("example"), F.array().cast("array<string>").alias("ranges"), F.lit(False).alias("truncated")]
+    known = aut_nums.select(F.col("asn").cast("long").alias("asn")).distinct()
+    ends = lambda c: F.split(c, ">")
+    for kind, mine, other, end in (("no-import", "export", "import", 1), ("no-export", "import", "export", 0)):
+        # The other side is there but says nothing of this one.
+        alone = pairs[mine].join(pairs[other], "space", "left_anti").withColumn("asn", ends("space")[end].cast("long")).join(known, "asn", "left_semi")
+        out = out.unionByName(alone.select("space", F.lit(kind).alias("kind"), *nothing))
+    unknown = without_aut_num(named, known)
+    out = out.unionByName(unknown.select(F.concat_ws(">", "asn", "peer").alias("space"), F.lit("no-aut-num").alias("kind"), *nothing))
+    severity = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in SEVERITY.items()])
+    return out.select(ends("space")[0].cast("long").alias("from_as"), ends("space")[1].cast("long").alias("to_as"), "kind", "of_kind", severity.alias("severity"), "example", "ranges", "truncated")
+
+
+def missing_sets(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(asn, missing): sets that filters or peerings name and no registry has."""
+    literals = found.where("rule IS NULL").select("asn", F.explode(F.flatten(F.concat(F.transform("conjuncts", lambda c: F.concat(c["positive"], c["negative"])), F.array("sets")))).alias("name"))
+    named = literals.select("asn", F.regexp_replace("name", r"\^.*$", "").alias("missing")).where(F.col("missing").rlike("^[^{<]*(AS|RS|FLTR|PRNG|RTRS)-"))
+    return named.join(sets.select(F.upper("set_name").alias("missing")), "missing", "left_anti").select("asn", "missing").distinct()
+
+
 def shadowed(found: DataFrame, spaces: DataFrame) -> DataFrame:
     """(asn, attr, ord, term, peer) of terms that earlier terms for the same peer cover wholly; empty terms aren't told here."""
     place = F.struct("ord", "term")

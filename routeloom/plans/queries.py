@@ -601,12 +601,36 @@ def evaluate_sessions(spark, sf_dir):
     return told.select("local", "peer", "attr", "ord", "verdict")
 
 
+@query(
+    after(
+        f"""{DIRECTIONS}, extra AS (SELECT n FROM nations WHERE n % 6 = 0 AND EXISTS (SELECT 1 FROM range(0, 64) r(i) WHERE (n, 24, (10 << 16) + r.i) NOT IN (SELECT (n, l, i) FROM announced)))""",
+        """SELECT DISTINCT from_as, to_as, 'not-imported' AS kind, 'warning' AS severity FROM announced WHERE (n, l, i) IN (SELECT (n, l, i) FROM denied) AND (n, l, i) NOT IN (SELECT (n, l, i) FROM second)
+        UNION ALL SELECT from_as, to_as, 'not-exported', 'info' FROM nations JOIN extra USING (n)
+        UNION ALL SELECT 200000 + n, 999999, 'no-aut-num', 'warning' FROM nations WHERE n % 5 = 0""",
+    ),
+    "range_members",
+)
+def pair_findings(spark, sf_dir):
+    policies, members, routes = load(spark, sf_dir, "policies", "range_members", "routes")
+    found = written(policy.terms(policies), "terms")
+    named = found.select(F.explode("conjuncts").alias("c")).select(F.explode(F.concat("c.positive", "c.negative")).alias("literal"))
+    ranges = expand.expand_ranges(members.select(F.col("set_name").alias("top")).distinct(), members)
+    literals = written(policy.resolved(named, ranges, routes), "literals")
+    return policy.findings(found, literals, policies.select("asn")).select("from_as", "to_as", "kind", "severity")
+
+
+@query("SELECT DISTINCT asn, 'AS-MISSING9' AS missing FROM policies WHERE text LIKE '%AS-MISSING9'", "policies")
+def lint_missing_set(spark, sf_dir):
+    policies, members = load(spark, sf_dir, "policies", "range_members")
+    return policy.missing_sets(policy.terms(policies), members.select("set_name").distinct()).select("asn", "missing")
+
+
 # ---- scan, members, other sets, generators, authorisation
 
 
 @query(
     """SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN regexp_full_match(line, '[ \t]*\r*') THEN 'blank' WHEN line[1] = '#' THEN 'comment' WHEN line[1] IN (' ', chr(9), '+') THEN 'continuation' WHEN regexp_matches(line, '^([^ \t+#:][^#:]*)?:') THEN 'attribute' ELSE 'malformed' END AS kind
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY ALL""".replace("\\", "\\"),
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY ALL""",
     "aut_nums",
 )
 def line_kinds(spark, sf_dir):

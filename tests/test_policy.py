@@ -118,3 +118,51 @@ def test_paths():
     for bad in ("[AS1", "AS1 %", "(AS1", "AS-Y", "PeerAS"):
         with pytest.raises(p.Unreadable):
             p.path_expression(bad)
+
+
+def test_filter_sets_in_place_and_cycles():
+    sets = {"FLTR-A": p.parse_filter("AS1 AND NOT FLTR-B")[0], "FLTR-B": p.parse_filter("{10.0.0.0/8^+}")[0], "FLTR-C": p.parse_filter("AS2 OR FLTR-D")[0], "FLTR-D": p.parse_filter("FLTR-C")[0]}
+    assert p.text_of(p.inlined(p.parse_filter("FLTR-A OR FLTR-X")[0], sets)) == "AS1 AND NOT {10.0.0.0/8^+} OR FLTR-X"
+    with pytest.raises(p.Cycle):
+        p.inlined(("set", "FLTR-C", ""), sets)
+
+
+def test_findings(spark):
+    """Certain and undecided differences, one-sided policies and unknown neighbours."""
+    from routeloom.operators import policy as op
+
+    rows = [
+        (1, "export", 0, "to AS2 announce {10.0.0.0/8^8-9}"),
+        (2, "import", 0, "from AS1 accept {10.0.0.0/8} OR ({10.0.0.0/9} AND <^AS1>)"),
+        (2, "export", 1, "to AS1 announce FLTR-ALL"),
+        (1, "export", 2, "to AS3 announce ANY"),
+        (3, "import", 0, "from AS2 accept ANY"),
+        (3, "import", 1, "from AS9 accept RS-GONE"),
+        (3, "export", 2, "to AS2 announce FLTR-LOOP"),
+    ]
+    sets = {"FLTR-ALL": ("any",), "FLTR-LOOP": ("not", ("set", "FLTR-LOOP", ""))}
+    found = op.terms(spark.createDataFrame(rows, "asn long, attr string, ord int, text string"), filter_sets=sets).cache()
+    assert [r["rule"] for r in found.where("rule IS NOT NULL").collect()] == ["policy/filter-set-cycle"]
+    literals = op.resolved(found.select(p_explode("conjuncts")).select(p_literals()), spark.createDataFrame([], "top string, addr long, plen int, lo int, hi int"), spark.createDataFrame([], "origin long, addr long, plen int"))
+    got = {(r["from_as"], r["to_as"], r["kind"], r["of_kind"]): (r["severity"], r["ranges"]) for r in op.findings(found, literals, spark.createDataFrame([(1,), (2,), (3,)], "asn long")).collect()}
+    assert got == {
+        (1, 2, "not-imported", ""): ("warning", ["10.128.0.0/9^9-9"]),
+        (1, 2, "undecided", "not-imported"): ("info", ["10.0.0.0/9^9-9"]),
+        (2, 1, "no-import", ""): ("warning", []),
+        (1, 3, "no-import", ""): ("warning", []),
+        (2, 3, "no-export", ""): ("info", []),
+        (3, 9, "no-aut-num", ""): ("warning", []),
+    }
+    assert {tuple(r) for r in op.missing_sets(found, spark.createDataFrame([("RS-X",)], "set_name string")).collect()} == {(3, "RS-GONE")}
+
+
+def p_explode(column):
+    from pyspark.sql import functions as F
+
+    return F.explode(column).alias("c")
+
+
+def p_literals():
+    from pyspark.sql import functions as F
+
+    return F.explode(F.concat("c.positive", "c.negative")).alias("literal")
