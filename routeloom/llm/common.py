@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch at most, so that a batch of long texts stays small.
@@ -52,15 +52,26 @@ def fold(doc_id: Column, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds) == F.lit(held), F.lit(False))
 
 
+#: Characters that a training sample holds at most, whatever the length of its texts.
+SAMPLE_CHARS = 60_000_000
+
+
+def within(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The first rows (text, ...) in an order whose whole texts have SAMPLE_CHARS characters at most together; rows are a sample of bounded size."""
+    before = F.sum(F.length("text")).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__chars", before).where(F.col("__chars") <= SAMPLE_CHARS).drop("__chars")
+
+
 def sample_texts(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int) -> list[tuple[str, int]]:
-    """At most `bound` labelled (text, label) rows outside the held-out fold, picked by a hash of the id.
+    """At most `bound` labelled (text, label) rows outside the held-out fold, picked by a hash of the id; SAMPLE_CHARS characters at most.
 
     The sample is only for fitting a classifier; its bound is a documented parameter of each operator.
     """
     marked = labels.where(F.col(label).isNotNull() & ~fold(F.col("doc_id"), folds, held)).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return [(r["text"], r["label"]) for r in texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * bound).collect()]
+    picked = texts.join(F.broadcast(chosen), "doc_id").withColumn("__h", F.xxhash64("doc_id", "text")).orderBy("__h", "doc_id").limit(bound)
+    return [(r["text"], r["label"]) for r in within(picked, ["__h", "doc_id"]).orderBy("doc_id", "text").collect()]
 
 
 def give_back() -> None:

@@ -8,7 +8,8 @@ share of the letters of words that have candidates.
 Viterbi runs over segments of SEGMENT words at once, for every language before the segment, and the segments are then joined, which
 gives the same path as going word by word.
 
-Null text and text without a letter give `und` and score 0, as does a text in scripts that no learned language uses. The model is
+Null text and text without a letter give `und` and score 0. A text in scripts that no learned language uses gets the language of most
+training rows, with score 0. The model is
 fitted on a bounded sample (`sample`) of the rows that aren't held out. Without training rows all is `und`. Repeated rows are judged
 each; null languages aren't learned from.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, table
+from .common import fold, small_batches, table, within
 from .words import LETTER, Texts, traits
 
 FOLDS, HELD = 4, 2
@@ -50,6 +51,9 @@ class Model:
 
     def __init__(self, rows: list[tuple[str, str]], smoothing: float = 0.5, part: int = 256) -> None:
         self.languages = sorted({lang for _, lang in rows})
+        often = Counter(lang for _, lang in rows)
+        #: The language of most rows, for texts whose letters tell nothing.
+        self.usual = min(self.languages, key=lambda x: (-often[x], x)) if rows else "und"
         if len(self.languages) > 62:
             raise ValueError("at most 62 languages")
         letters = Counter()
@@ -179,8 +183,10 @@ def judge(model: Model, texts: list[str | None], penalty: float = SWITCH) -> lis
     """(language, score) of each text."""
     own, letters, start, _, batch = label(model, texts, penalty)
     kinds = max(1, len(model.languages))
-    held = np.bincount(batch.of(start) * kinds + own, weights=letters, minlength=kinds * batch.count).reshape(-1, kinds)
-    return [(model.languages[int(h.argmax())], float(h.max() / h.sum())) if h.sum() > 0 else ("und", 0.0) for h in held]
+    of = batch.of(start)
+    held = np.bincount(of * kinds + own, weights=letters, minlength=kinds * batch.count).reshape(-1, kinds)
+    words = np.bincount(of, minlength=batch.count)
+    return [(model.languages[int(h.argmax())], float(h.max() / h.sum())) if h.sum() > 0 else (model.usual, 0.0) if n else ("und", 0.0) for h, n in zip(held, words, strict=True)]
 
 
 def spans(model: Model, text: str | None, penalty: float = SWITCH) -> list[tuple[int, int, str]]:
@@ -196,11 +202,14 @@ def spans(model: Model, text: str | None, penalty: float = SWITCH) -> list[tuple
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` rows that aren't held out, picked by a hash of the id."""
+    """Learn from at most `sample` rows that aren't held out, picked by a hash, and common.SAMPLE_CHARS characters."""
     rows = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~fold(F.col("doc_id"), FOLDS, HELD))
     chosen = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "doc_id").limit(sample)
     top = chosen.agg(F.max("h")).first()[0]
-    picked = rows.where(F.xxhash64("doc_id", "text") <= F.lit(top)).select("text", "lang").orderBy("text", "lang").limit(2 * sample).collect() if top is not None else []
+    if top is None:
+        return Model([])
+    texts = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.col("h") <= F.lit(top)).select("h", "doc_id", "text", "lang").orderBy("h", "doc_id").limit(sample)
+    picked = within(texts, ["h", "doc_id"]).orderBy("text", "lang").collect()
     return Model([(r["text"], r["lang"]) for r in picked])
 
 
