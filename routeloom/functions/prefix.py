@@ -6,8 +6,11 @@ lower bound is x becomes one with the lower bound max(a, x + c) and the upper bo
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 V4_BITS = 32
 
@@ -33,6 +36,19 @@ def address(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(octets, lambda x: F.try_to_number(F.lpad(x, 3, "0"), F.lit("999")) <= 255), value)
 
 
+PARSED = T.StructType([T.StructField("af", T.IntegerType()), T.StructField("plen", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("text", T.StringType())])
+
+
+@F.udf(PARSED, useArrow=True)
+def parsed(text):
+    """Family, length, bits and canonical text of a prefix or address of either family, host bits cleared; null if it is neither."""
+    try:
+        net = ipaddress.ip_network((text or "").strip(), strict=False)
+    except ValueError:
+        return None
+    return {"af": net.version, "plen": net.prefixlen, "key": f"{int(net.network_address):0{net.max_prefixlen}b}"[: net.prefixlen], "text": str(net)}
+
+
 def masked(addr: Column, plen: Column, width: int = V4_BITS) -> Column:
     size = F.pow(F.lit(2.0), F.lit(width) - plen).cast("long")
     return addr - F.pmod(addr, size)

@@ -13,7 +13,7 @@ def with_key(df: DataFrame, addr: str = "addr", plen: str = "plen") -> DataFrame
 
 
 def covering(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of left with the rows of right whose prefix covers theirs, right's columns renamed to cover_*.
+    """Rows of left with the rows of right whose prefix covers theirs, right's columns renamed to cover_*; families are kept apart where both have a column af.
 
     Each left prefix is met once for each length that right has at all (32 at most for IPv4, 128 for IPv6), then joined by equality; the
     lengths come to the driver. Rows of the same prefix on the right are a skewed key only as far as the data repeats a prefix.
@@ -22,7 +22,10 @@ def covering(left: DataFrame, right: DataFrame) -> DataFrame:
     renamed = right.select(*[F.col(c).alias(f"cover_{c}") for c in right.columns])
     possible = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.col("plen")) if lengths else F.array().cast("array<int>")
     probes = left.withColumn("__length", F.explode(possible)).withColumn("__key", F.substring("key", F.lit(1), F.col("__length")))
-    return probes.join(renamed, (F.col("__key") == F.col("cover_key")) & (F.col("__length") == F.col("cover_plen"))).drop("__key", "__length")
+    same = (F.col("__key") == F.col("cover_key")) & (F.col("__length") == F.col("cover_plen"))
+    if "af" in left.columns and "af" in right.columns:
+        same &= F.col("af") == F.col("cover_af")
+    return probes.join(renamed, same).drop("__key", "__length")
 
 
 def validate(routes: DataFrame, vrps: DataFrame, identity: list[str]) -> DataFrame:
@@ -32,9 +35,10 @@ def validate(routes: DataFrame, vrps: DataFrame, identity: list[str]) -> DataFra
     joined back.
     """
     match = (F.col("origin") == F.col("cover_asn")) & (F.col("cover_asn") != 0) & (F.col("plen") <= F.col("cover_max_length"))
-    told = covering(routes.select("key", "plen", "origin").distinct(), vrps.select("key", "plen", "max_length", "asn").distinct()).groupBy("key", "origin").agg(F.max(match).alias("__match"))
+    af = ["af"] if "af" in routes.columns and "af" in vrps.columns else []
+    told = covering(routes.select(*af, "key", "plen", "origin").distinct(), vrps.select(*af, "key", "plen", "max_length", "asn").distinct()).groupBy(*af, "key", "origin").agg(F.max(match).alias("__match"))
     state = F.when(F.col("__match"), "valid").when(F.col("__match").isNotNull(), "invalid").otherwise("not_found")
-    return routes.join(told, ["key", "origin"], "left").select(*identity, state.alias("state"))
+    return routes.join(told, [*af, "key", "origin"], "left").select(*identity, state.alias("state"))
 
 
 def slurm(vrps: DataFrame, filters: DataFrame, assertions: DataFrame) -> DataFrame:

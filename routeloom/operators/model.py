@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefix import address, bits, masked
+from ..functions.prefix import address, bits, masked, parsed
 from ..sources.rpsl import as_number, items, values
 
 SET_CLASSES = ("as-set", "route-set", "rtr-set", "filter-set", "peering-set")
@@ -108,6 +108,13 @@ def routes(objects: DataFrame) -> DataFrame:
     return rows.select(*[v.alias(k) for k, v in prefix_columns(F.col("prefix")).items()], "origin", "source").where("addr IS NOT NULL AND origin IS NOT NULL")
 
 
+def all_routes(objects: DataFrame) -> DataFrame:
+    """(af, prefix, plen, key, origin, source) of route and route6 objects whose prefix is of their family."""
+    rows = objects.where("class IN ('route', 'route6')").select("class", parsed("key").alias("p"), as_number(F.try_element_at(values("origin"), F.lit(1))).alias("origin"), source_of(objects).alias("source"))
+    family = F.when(F.col("class") == "route", 4).otherwise(6)
+    return rows.where((F.col("p.af") == family) & F.col("origin").isNotNull()).select("p.af", F.col("p.text").alias("prefix"), "p.plen", "p.key", "origin", "source")
+
+
 def claims(objects: DataFrame) -> DataFrame:
     """(class, asn, addr, plen, member_of, mnt, source): who claims to be in which set; aut-nums must be written with AS."""
     rows = objects.where("class IN ('aut-num', 'route')").withColumn("__of", F.explode(items("member-of")))

@@ -133,3 +133,15 @@ def test_texts(objects):
     assert {t.strip() for t in TEXT.split("\n\n")} == {t.strip() for t in raw}
     neat = [r["text"] for r in model.formatted(objects).collect() if "AS64504\n" in r["text"]]
     assert "aut-num:        AS64504\n" in neat[0] and "import:         from AS1\n                accept ANY\n" in neat[0]
+
+
+def test_both_families(spark, tmp_path):
+    from routeloom.functions.prefix import parsed
+    from routeloom.operators import cover
+
+    (tmp_path / "x.db").write_text("route6: 2001:DB8:1::1/48\norigin: AS1\nsource: T\n\nroute: 32.1.0.0/16\norigin: AS1\nsource: T\n\nroute6: 10.0.0.0/8\norigin: AS1\nsource: T\n\nroute6: 2001:db8:2::/48\norigin: AS2\nsource: T\n")
+    routes = model.all_routes(rpsl.scan(spark, str(tmp_path / "x.db"))).cache()
+    assert {(r["af"], r["prefix"], r["origin"]) for r in routes.collect()} == {(6, "2001:db8:1::/48", 1), (4, "32.1.0.0/16", 1), (6, "2001:db8:2::/48", 2)}
+    vrps = spark.createDataFrame([("2001:db8::/32", 48, 1), ("2000::/8", 8, 7)], "t string, max_length int, asn long").select(parsed("t").alias("p"), "max_length", "asn").select("p.af", "p.plen", "p.key", "max_length", "asn")
+    got = {r["prefix"]: r["state"] for r in cover.validate(routes, vrps, ["prefix"]).collect()}
+    assert got == {"2001:db8:1::/48": "valid", "2001:db8:2::/48": "invalid", "32.1.0.0/16": "not_found"}
