@@ -239,66 +239,78 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of the wide print of the set of five-word shingles; its bits estimate the similarity.
 WIDE = 8
+#: Least hashes in a band, and bands. A pair of similarity J agrees in a band with probability J ** BAND_ROWS whatever the edits are and
+#: however large the input, so that a pair at 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 24 = 3.2e-6.
+BAND_ROWS, BANDS = 4, 24
 
 
-def probe_masks(items: int, word_change: float = 0.067, miss: float = 1e-3) -> list[int]:
-    """Masks of b random bits each, enough of them that a pair whose bits differ at the rate `word_change` misses all with probability `miss` at most; b grows with the logarithm of the items."""
-    b = max(16, math.ceil(math.log2(max(2, items))) - 2)
-    count = math.ceil(math.log(miss) / math.log(1 - (1 - word_change) ** b))
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band: the least values of the hashes under BAND_ROWS random orders; none for an empty set."""
+    if not len(h):
+        return np.empty(0, np.int64)
     rng = np.random.default_rng(7)
-    return [sum(1 << int(x) for x in rng.choice(WORD_BITS, b, replace=False)) for _ in range(count)]
+    seeds, factors = rng.integers(0, 2**64, (2, BAND_ROWS * BANDS), dtype=np.uint64)
+    factors |= np.uint64(1)
+    low = np.full(BAND_ROWS * BANDS, ~np.uint64(0))
+    for at in range(0, len(h), 4096):
+        z = (h[at : at + 4096] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(32)
+        z *= factors[:, None]
+        low = np.minimum(low, z.min(axis=1))
+    parts = low.reshape(BANDS, BAND_ROWS)
+    keys = parts[:, 0].copy()
+    for k in range(1, BAND_ROWS):
+        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + parts[:, k]
+    return keys.view(np.int64)
 
 
 def wide_prints(documents: DataFrame, size: int) -> DataFrame:
-    """Of each row doc_id, a hash of its text, `probe`, the 64-bit print of its set of words, and `wide`, the 512-bit print of its set of shingles."""
+    """Of each row doc_id, a hash of its text, and of its set of shingles `node`, a 128-bit hash, `wide`, the 512-bit print, `bands`, the keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            probe, wide = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = words_of(text)
-                probe.append(majority(hashes(list(set(words))).reshape(-1, 1)))
-                wide.append(majority(spread(np.unique(hashes(shingles(words, size))), WIDE)))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(np.frombuffer(b"".join(probe), PACK).astype(np.uint64).view(np.int64)), pa.array(wide, pa.binary())], names=["doc_id", "text_hash", "probe", "wide"])
+            sets = [np.unique(hashes(shingles(words_of(x), size))) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            items = [h.tobytes() for h in sets]
+            columns = [pa.array([xxhash.xxh3_128_digest(x) for x in items], pa.binary()), pa.array([majority(spread(h, WIDE)) for h in sets], pa.binary()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "node", "wide", "bands"])
 
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, probe long, wide binary")
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node binary, wide binary, bands array<long>")
+
+
+def differing(codes: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(codes[a] ^ codes[b]).sum(axis=-1, dtype=np.int64)
 
 
 def similar_groups(documents: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, text_hash, wide, component) of each row: rows whose sets of `size`-word shingles have a Jaccard similarity of `similarity` or more, as the wide print estimates it, are in one component.
+    """(doc_id, text_hash, node, component) of each row: rows whose sets of `size`-word shingles have a Jaccard similarity of `similarity` or more are in one component.
 
-    A pair of sets of similarity J has the cosine 2J / (1 + J), and its wide prints differ in the share arccos(cosine) / pi of their bits;
-    one standard error (0.04 of similarity) is allowed for. Candidates agree under one of the probe masks; rows without words are
-    copies of each other.
+    Candidates agree in a band of least hashes and are judged by the wide print, with one standard error (0.04 of similarity)
+    allowed for. Rows without words are copies of each other.
     """
     prints = materialize(wide_prints(documents, size), "wide")
-    nodes = materialize(prints.groupBy("wide").agg(F.min("probe").alias("probe")), "nodes")
+    nodes = materialize(prints.select("node", "wide", "bands").dropDuplicates(["node"]), "nodes")
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = WIDE * WORD_BITS
     wide_limit = int(bits * share + math.sqrt(bits * share * (1 - share)))
 
+    def codes_of(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = gathered(batches)
         if rows is None:
             return
-        probe, t, key = (rows.column(c).to_numpy() for c in ("probe", "t", "key"))
-        wide = rows.column("wide").to_pylist()
-        codes = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE)
-
-        def confirm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            differs = np.zeros(len(a), np.int64)
-            for k in range(WIDE):
-                differs += np.bitwise_count(codes[a, k] ^ codes[b, k])
-            return differs <= wide_limit
-
-        a, b = forest(same_group(t, key), probe.view(np.uint64), 14, confirm)
+        t, key = (rows.column(c).to_numpy() for c in ("t", "key"))
+        node, codes = rows.column("node").to_pylist(), codes_of(rows.column("wide"))
+        a, b = forest(same_group(t, key), codes[:, 0].copy(), WORD_BITS, lambda x, y: differing(codes, x, y) <= wide_limit)
         if len(a):
-            pairs = sorted({(wide[i], wide[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)})
+            pairs = sorted({(node[i], node[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)})
             yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
-    found = components(masked(nodes, "probe", probe_masks(nodes.count())).mapInArrow(search, "a binary, b binary"))
-    return prints.select("doc_id", "text_hash", "wide").join(found.select(F.col("node").alias("wide"), "component"), "wide", "left").withColumn("component", F.coalesce("component", "wide"))
+    banded = nodes.select("node", "wide", F.posexplode("bands").alias("t", "key")).repartition("t", "key")
+    found = components(banded.mapInArrow(search, "a binary, b binary"))
+    return prints.select("doc_id", "text_hash", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def keep_one(documents: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:

@@ -260,6 +260,34 @@ def test_keep_one_of_similar_documents(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [*range(60), 3000]
 
 
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_block_edits_are_near_copies(spark):
+    """Appended, cut-off and replaced blocks that leave a similarity of 0.8 to 0.9."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for d in range(120):
+        n = rng.randrange(60, 500)
+        text = fresh(n)
+        share = rng.uniform(0.02, 0.07) if d % 3 == 2 else rng.uniform(0.11, 0.19)
+        k = int(n * share)
+        other = {0: lambda: text + fresh(k), 1: lambda: text[: n - k], 2: lambda: text[: n // 3] + fresh(k) + text[n // 3 + k :]}[d % 3]()
+        if 0.8 <= similarity(" ".join(text), " ".join(other)) <= 0.9:
+            rows += [(2 * d, " ".join(text)), (2 * d + 1, " ".join(other))]
+    assert len(rows) > 120
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows)).collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0}
+
+
 # ---- decontamination
 
 
