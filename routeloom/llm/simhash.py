@@ -265,34 +265,70 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def wide_prints(documents: DataFrame, size: int) -> DataFrame:
-    """Of each row doc_id, a hash of its text, and of its set of shingles `node`, a 128-bit hash, `wide`, the 512-bit print, `bands`, the keys of its bands."""
+    """Of each row doc_id, a hash of its text, and of its set of shingles `node`, a 128-bit hash, `wide`, the 512-bit print, `bands`, the keys of its bands, and `items`, the hashes of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(hashes(shingles(words_of(x), size))) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             items = [h.tobytes() for h in sets]
-            columns = [pa.array([xxhash.xxh3_128_digest(x) for x in items], pa.binary()), pa.array([majority(spread(h, WIDE)) for h in sets], pa.binary()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "node", "wide", "bands"])
+            columns = [pa.array([xxhash.xxh3_128_digest(x) for x in items], pa.binary()), pa.array([majority(spread(h, WIDE)) for h in sets], pa.binary()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64())), pa.array(items, pa.binary())]
+            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "node", "wide", "bands", "items"])
 
     small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node binary, wide binary, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node binary, wide binary, bands array<long>, items binary")
+
+
+def bits_within(similarity: float, bits: int) -> int:
+    """Bits of a print of `bits` in which two sets of that similarity differ at most, up to four standard errors.
+
+    Of large sets the share is arccos(2J / (1 + J)) / pi; small ones come up to 3/16 (four shingles of five).
+    """
+    share = max(3 / 16, math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return int(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
 def differing(codes: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes[a] ^ codes[b]).sum(axis=-1, dtype=np.int64)
 
 
+def exact_groups(sets: list[np.ndarray], codes: np.ndarray, similarity: float, wide_limit: int) -> np.ndarray:
+    """Labels (the first item's number) of the components of the pairs of sets whose Jaccard similarity is `similarity` or more, by exact counts.
+
+    Breadth first: an item is held against those that no item has reached yet, so a group of close copies costs about one pass.
+    """
+    of = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    sizes = np.array([len(x) for x in sets])
+    parts = np.split(of, np.cumsum(sizes)[:-1])
+    label = np.full(len(sets), -1)
+    mark = np.zeros(len(of), bool)
+    rest = np.arange(len(sets))
+    while len(rest):
+        first, queue, rest = rest[0], [int(rest[0])], rest[1:]
+        label[first] = first
+        while queue and len(rest):
+            x = queue.pop()
+            fits = np.minimum(sizes[rest], sizes[x]) >= similarity * np.maximum(sizes[rest], sizes[x]) - 1e-9
+            near = rest[fits]
+            near = near[differing(codes, x, near) <= wide_limit]
+            mark[parts[x]] = True
+            both = np.array([np.count_nonzero(mark[parts[y]]) for y in near], np.int64)
+            mark[parts[x]] = False
+            found = near[both >= similarity * (sizes[near] + sizes[x] - both) - 1e-9]
+            label[found] = first
+            queue += found.tolist()
+            rest = rest[label[rest] < 0]
+    return label
+
+
 def similar_groups(documents: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, text_hash, node, component) of each row: rows whose sets of `size`-word shingles have a Jaccard similarity of `similarity` or more are in one component.
 
-    Candidates agree in a band of least hashes and are judged by the wide print, with one standard error (0.04 of similarity)
-    allowed for. Rows without words are copies of each other.
+    Candidates agree in a band of least hashes and pass the wide print, which is a loose filter here. Their components are then parted
+    again by the exact similarities of the whole sets. Rows without words are copies of each other.
     """
     prints = materialize(wide_prints(documents, size), "wide")
     nodes = materialize(prints.select("node", "wide", "bands").dropDuplicates(["node"]), "nodes")
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = WIDE * WORD_BITS
-    wide_limit = int(bits * share + math.sqrt(bits * share * (1 - share)))
+    wide_limit, code_limit = bits_within(similarity, WIDE * WORD_BITS), bits_within(similarity, WORD_BITS)
 
     def codes_of(column: pa.ChunkedArray) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
@@ -303,13 +339,33 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, size: int = 5)
             return
         t, key = (rows.column(c).to_numpy() for c in ("t", "key"))
         node, codes = rows.column("node").to_pylist(), codes_of(rows.column("wide"))
-        a, b = forest(same_group(t, key), codes[:, 0].copy(), WORD_BITS, lambda x, y: differing(codes, x, y) <= wide_limit)
+        a, b = forest(same_group(t, key), codes[:, 0].copy(), code_limit, lambda x, y: differing(codes, x, y) <= wide_limit)
         if len(a):
             pairs = sorted({(node[i], node[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)})
             yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come in order of their component; a component may go on in the next batch.
+        held: list[tuple] = []
+
+        def parted() -> pa.RecordBatch:
+            codes = np.frombuffer(b"".join(r[2] for r in held), np.uint64).reshape(-1, WIDE)
+            label = exact_groups([np.frombuffer(r[3], np.uint64) for r in held], codes, similarity, wide_limit)
+            return pa.record_batch([pa.array([r[1] for r in held], pa.binary()), pa.array([held[k][1] for k in label.tolist()], pa.binary())], names=["node", "component"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("component", "node", "wide", "items")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield parted()
+                    held = []
+                held.append(row)
+        if held:
+            yield parted()
+
     banded = nodes.select("node", "wide", F.posexplode("bands").alias("t", "key")).repartition("t", "key")
-    found = components(banded.mapInArrow(search, "a binary, b binary"))
+    loose = materialize(components(banded.mapInArrow(search, "a binary, b binary")), "loose")
+    sets = prints.select("node", "wide", "items").join(loose, "node").dropDuplicates(["node"]).select("component", "node", "wide", "items")
+    found = materialize(sets.repartition("component").sortWithinPartitions("component", "node").mapInArrow(part, "node binary, component binary"), "exact")
     return prints.select("doc_id", "text_hash", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 

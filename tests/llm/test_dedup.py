@@ -288,6 +288,30 @@ def test_block_edits_are_near_copies(spark):
     assert kept == {d for d, _ in rows if d % 2 == 0}
 
 
+def test_near_copies_are_the_components_of_exact_similarity(spark):
+    """Pairs, chains and a star around 0.8: what goes is exactly what the similarities of the whole sets say."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for _ in range(90):
+        text = fresh(rng.randrange(40, 300))
+        rows.append(" ".join(text))
+        for _ in range(rng.choice([1, 1, 1, 3])):
+            k = int(len(text) * rng.uniform(0.15, 0.4))
+            text = [*text, *fresh(k)] if rng.random() < 0.7 else text[k // 3 :]
+            rows.append(" ".join(text))
+    base = fresh(200)
+    rows += [" ".join(base[:180] + fresh(k)) for k in range(10, 40)] + [" ".join(fresh(n)) for n in range(1, 9)] + ["a b c d e f g h", "a b c d e f g h i", "one", "ONE"]
+    rows = list(enumerate(rows))
+    sets = [shingle_set(t.lower()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    near = sum(5 * len(sets[i] | sets[j]) < 8 * len(sets[i] & sets[j]) < 6.4 * len(sets[i] | sets[j]) for i in range(len(rows)) for j in range(i))
+    assert len(pairs) > 30 and near > 30
+    want = union(pairs, range(len(rows)))
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows)).collect()}
+    assert kept == set(want.values())
+
+
 # ---- decontamination
 
 
