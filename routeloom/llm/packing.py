@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, table
 
+#: The added token of byte_bpe_50k.json; the rank file doesn't have it. A text that holds it gets this id, as from the JSON file's tokenizer.
+SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -36,7 +38,7 @@ def encoder(vocabulary: str):
 
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def piece_rows(documents: DataFrame, capacity: int, end_id: int, vocabulary: str) -> DataFrame:
@@ -45,7 +47,7 @@ def piece_rows(documents: DataFrame, capacity: int, end_id: int, vocabulary: str
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.empty(0, "<u4") if not text else enc.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+                ids = np.empty(0, "<u4") if not text else enc.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 first = len(ids) % capacity or capacity
                 bounds = [0, *range(first, len(ids) + 1, capacity)]

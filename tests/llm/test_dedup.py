@@ -39,6 +39,18 @@ def test_ids_equal_tokenizers():
         assert slow.encode(t, add_special_tokens=False).ids == fast.encode_to_numpy(t, disallowed_special=()).tolist()
 
 
+def test_pieces_hold_the_ids_of_the_tokenizer_as_loaded(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two<|endoftext|>three", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext|", "<|<|endoftext|>|>", "don't  <|ENDOFTEXT|> stop", "é<|endoftext|>日本語", "plain words"]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs(spark, list(enumerate(texts)))).collect()}
+    ids = [[*slow.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids[0] == [505, 734, 50256, 15542, 2]
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)}
+
+
 @given(st.lists(st.integers(1, 64), max_size=300))
 @settings(max_examples=60, deadline=None)
 def test_sum_of_squares_places_all_within_capacity(lengths):
