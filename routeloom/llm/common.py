@@ -57,9 +57,13 @@ SAMPLE_CHARS = 60_000_000
 
 
 def within(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The first rows (text, ...) in an order whose whole texts have SAMPLE_CHARS characters at most together; rows are a sample of bounded size."""
+    """The first rows (text, ...) in an order that have SAMPLE_CHARS characters at most together; rows are a sample of bounded size.
+
+    A text counts, and is learned from, with its first hundredth of SAMPLE_CHARS characters at most, so that no text takes the place of
+    all that come after it.
+    """
     before = F.sum(F.length("text")).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__chars", before).where(F.col("__chars") <= SAMPLE_CHARS).drop("__chars")
+    return rows.withColumn("text", F.substring("text", 1, SAMPLE_CHARS // 100)).withColumn("__chars", before).where(F.col("__chars") <= SAMPLE_CHARS).drop("__chars")
 
 
 def sample_texts(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int) -> list[tuple[str, int]]:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from routeloom.llm import langid, media, quality, toxicity, url_filter
+from routeloom.llm import common, langid, media, quality, toxicity, url_filter
 from routeloom.llm import queries as llm_queries
 from routeloom.llm.words import Texts, hash_of
 
@@ -46,6 +46,15 @@ def test_language_accuracy(spark, tables):
     assert np.mean(away) >= 0.97
 
 
+def test_a_giant_text_leaves_the_others_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(common, "SAMPLE_CHARS", 1000)
+    rows = spark.createDataFrame([(0, "x" * 5000), *[(k, "short") for k in range(1, 50)]], "h long, text string")
+    got = {r["h"]: r["text"] for r in common.within(rows, ["h"]).collect()}
+    assert sorted(got) == list(range(50)) and got[0] == "x" * 10
+    many = spark.createDataFrame([(k, "y" * 10) for k in range(300)], "h long, text string")
+    assert common.within(many, ["h"]).count() == 100
+
+
 LANGS = [("the cat and the dog went with them", "en"), ("der hund und die katze gingen mit ihnen", "de"), ("кошка и собака пошли вместе", "ru")] * 20
 
 
