@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, once, salted_join
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of links(a, b); component is the smallest node that can be reached.
+    """A written table (node, component) for every node of links(a, b) that has a link to another; component is the smallest node that can be reached.
 
     Each round, the links of a node are moved to the smallest of its neighbours (larger ones first, then smaller ones), until a round
     changes nothing. Both steps group by a node; what is sent for a node is one row for each of its links, and links that meet in the
-    same pair are merged before the next round, so that the table never grows beyond its first size.
+    same pair are merged before the next round, so that the table never grows beyond its first size. A node with very many links is
+    dealt over several tasks. Links of a node to itself or with a null end count for nothing; repeated links count once. The tables of
+    rounds that are over are deleted.
     """
+    return once(lambda: stars(links), "components")
+
+
+def stars(links: DataFrame) -> DataFrame:
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialize(small, "links")
@@ -28,5 +35,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    ends = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return ends.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

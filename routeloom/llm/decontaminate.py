@@ -5,14 +5,19 @@ a tenth of its length. A copy with k edits keeps m - q + 1 - k q of its q-grams,
 q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, bands that reach the bound are regions, and a banded alignment of
 item against region decides. Items too short for the bound allow fewer edits; items shorter than q bytes are searched as they are.
 
-The items are the query set: each block of about `block_bytes` of them goes to the tasks, and documents are scanned once for each
-block, so neither side is shuffled. Null and empty texts match nothing; null or blank items match nothing; repeated rows give a row
-each; a null doc_id or item_id stays null. Very long texts are scanned whole, in one buffer for each Arrow batch.
+The items are the query set: each block of about `block_bytes` of them goes to the tasks as a broadcast of that size, and documents are
+scanned once for each block, so neither side is shuffled and no document is held against items one by one. An index is built once for
+each worker and block. A text is looked at in windows that overlap by more than any item, so memory doesn't grow with a text.
+
+Null and empty texts match nothing; null or blank items match nothing; repeated rows give a row each; repeated items count once; a null
+doc_id or item_id stays null. Of several regions of an item in a text the first in order of its diagonals is told. Empty tables give an
+empty result, or documents as they are. `decontaminate` carries other columns along whatever their names; `leaks` reads doc_id and text.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 
 Q = 8
 EDIT_RATE = 0.1
 TABLE_BITS = 22
 BLOCK_BYTES = 8_000_000
+#: Bytes of text whose q-grams are looked up at once.
+WINDOW = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "doc_id long, item_id long, start long, length long, edits int"
 
@@ -57,11 +64,18 @@ class Items:
         self.item, self.place = item[order], place[order]
         self.grams, self.first = np.unique(grams[order], return_index=True)
         self.count = np.diff(np.r_[self.first, len(grams)])
+        #: What an occurrence may take with its edits, and the bands it may lie in.
+        self.reach = int((size + 4 * (self.edits + 1) + Q).max()) if len(size) else 0
         self.known = np.zeros(1 << TABLE_BITS, bool)
         self.known[(self.grams * MIX) >> np.uint64(64 - TABLE_BITS)] = True
 
     def bands(self, data: bytes) -> np.ndarray:
         """(item, band) whose count of shared q-grams reaches the item's bound."""
+        found = [self.bands_in(data[at : at + WINDOW + self.reach], at) for at in range(0, len(data), WINDOW)]
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+    def bands_in(self, data: bytes, begin: int) -> np.ndarray:
+        """The same for a window of the text that begins at a place."""
         grams = grams_of(data)
         at = np.flatnonzero(self.known[(grams * MIX) >> np.uint64(64 - TABLE_BITS)]) if len(self.grams) else np.empty(0, np.int64)
         gram = grams[at]
@@ -71,7 +85,7 @@ class Items:
         count = self.count[k]
         entry = np.repeat(self.first[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = self.item[entry]
-        band = (np.repeat(at, count) - self.place[entry] + (1 << 32)) // (self.edits[item] + 1)
+        band = (np.repeat(at + begin, count) - self.place[entry] + (1 << 32)) // (self.edits[item] + 1)
         # A band is a cell with the next one. Counts by a hash, which are never too small, leave few cells to count truly.
         slot = (item * 0x9E3779B1 + band) & ((1 << TABLE_BITS) - 1)
         n = np.bincount(slot, minlength=(1 << TABLE_BITS) + 1)
@@ -159,14 +173,26 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[i
         yield [x for x in block if x[1]]
 
 
+#: The index that this worker used last, under its block's name.
+INDEX: dict[str, Items] = {}
+
+
+def index_of(name: str, block, rate: float) -> Items:
+    if name not in INDEX:
+        INDEX.clear()
+        INDEX[name] = Items(block.value, rate)
+    return INDEX[name]
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start, length, edits): each document and item that occurs in it, with its first region in the normalized text."""
-    small_batches(documents.sparkSession)
 
-    def scan(block: list) -> DataFrame:
+    def scan(items: list) -> DataFrame:
+        name, block = uuid.uuid4().hex, documents.sparkSession.sparkContext.broadcast(items)  # of block_bytes, or one item
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(block, rate)
-            for batch in batches:
+            items = index_of(name, block, rate)
+            for batch in slices(batches, 1):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[n], items.ids[k], *hit) for n, k, *hit in matches(items, [normal(x) for x in batch.column(1).to_pylist()])]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -177,19 +203,21 @@ def leaks(documents: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, b
     return reduce(DataFrame.union, map(scan, item_blocks(benchmark, block_bytes)))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents without the rows whose text holds an item, in one pass for each block of items and without a shuffle."""
-    small_batches(documents.sparkSession)
-    for block in item_blocks(benchmark, BLOCK_BYTES):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items = Items(block, rate)
-            for batch in batches:
+    def clean(documents: DataFrame, items: list) -> DataFrame:
+        name, block = uuid.uuid4().hex, documents.sparkSession.sparkContext.broadcast(items)  # of block_bytes, or one item
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = index_of(name, block, rate)
+            for batch in slices(batches, "text"):
                 bad = {n for n, *_ in matches(items, [normal(x) for x in batch.column("text").to_pylist()])}
                 yield batch.filter(pa.array([n not in bad for n in range(batch.num_rows)], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        return documents.mapInArrow(run, documents.schema)
+
+    return reduce(clean, item_blocks(benchmark, block_bytes), documents)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,24 @@
 """Language identification of whole texts, with spans of mixed languages.
 
-Each language is learned as the frequencies of the letter trigrams of its words, and as the scripts its letters stand in. Words are runs of letters. A
-word's scripts narrow its candidates; those left get the log frequency of the word's trigrams, less the best one's. Viterbi over the
-words, with a penalty for each switch, labels spans; a text's language is the one whose spans hold most letters, and the score is its
-share of the letters of words that have candidates.
+Each language is learned as the frequencies of the letter trigrams of its words, hashed to one of TRIGRAMS numbers, and as the scripts
+its letters stand in. Words are runs of letters. A word's scripts narrow its candidates to the languages that use all of them, or any
+of them where none uses all; those left get the log frequency of the word's trigrams, less the best one's. Viterbi over the words, with
+a penalty for each switch, labels spans; a text's language is the one whose spans hold most letters, and the score is its share of the
+letters of words that have candidates. There is no bound on languages or letters; equal languages go to the first by name.
 
 Viterbi runs over segments of SEGMENT words at once, for every language before the segment, and the segments are then joined, which
-gives the same path as going word by word.
+gives the same path as going word by word. Very long texts are looked at in pieces (`words.pieces`, smaller with more languages), each
+with a path of its own, so memory doesn't grow with a text.
 
 Null text and text without a letter give `und` and score 0. A text in scripts that no learned language uses gets the language of most
-training rows, with score 0. The model is
-fitted on a bounded sample (`sample`) of the rows that aren't held out. Without training rows all is `und`. Repeated rows are judged
-each; null languages aren't learned from.
+training rows, with score 0. The model is fitted on a bounded sample (`sample` rows, their texts whole) of the rows that aren't held
+out; trigrams are counted by the executors, and a table of TRIGRAMS numbers for each language comes to the driver. Without training
+rows all is `und`. Repeated rows are judged each, alike; null languages aren't learned from; a null doc_id stays null. Empty tables
+give an empty result. Columns besides doc_id, text and lang aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,78 +26,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, table, within
-from .words import LETTER, Texts, traits
+from .common import fold, slices, table
+from .words import LETTER, Texts, pieces
 
 FOLDS, HELD = 4, 2
 SAMPLE = 3000
 SWITCH = 6.0
 SEGMENT = 128
 FLOOR = -12.0
+SMOOTHING = 0.5
+TRIGRAM_BITS = 17
+TRIGRAMS = 1 << TRIGRAM_BITS
+#: Characters times languages that are scored at once.
+CELLS = 4_000_000
 
 # Where ranges of letters of one script start (Unicode blocks), and the script; "" where there is none to tell.
 SCRIPT_STARTS = (0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0700, 0x0900, 0x0980, 0x0A00, 0x0B80, 0x0C00, 0x0E00, 0x0E80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000)
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "", "devanagari", "bengali", "indic", "tamil", "indic", "thai", "", "georgian", "hangul", "ethiopic", "latin", "greek", "", "hiragana", "katakana", "", "han", "", "hangul", "", "han", "", "han")
+#: Number of each named script; a word's scripts are bits of a number.
+NAMED = {s: k for k, s in enumerate(sorted(set(SCRIPTS) - {""}))}
 
-#: Letters that get a number of their own; further ones share the last.
-ALPHABET = 62
 
+def script_bits(points: np.ndarray) -> np.ndarray:
+    """The script of each code point as a bit; 0 where there is none to tell."""
+    bits = np.array([1 << NAMED[s] if s else 0 for s in SCRIPTS], np.int64)
+    return bits[np.searchsorted(SCRIPT_STARTS, points, side="right") - 1]
 
-def script(point: int) -> str:
-    return SCRIPTS[bisect.bisect_right(SCRIPT_STARTS, point) - 1]
+
+def trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the trigram around each place, no letter being like any other, and which places are letters."""
+    letter = texts.kind & LETTER > 0
+    around = np.zeros(len(letter) + 2, np.uint32)
+    around[1:-1] = np.where(letter, texts.low, 0)
+    mixed = (around[:-2] * np.uint32(0x9E3779B1) ^ around[1:-1]) * np.uint32(0x85EBCA77) ^ around[2:]
+    return (mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TRIGRAM_BITS), letter
+
+
+def counts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often texts have each trigram, and letters of each named script."""
+    grams, scripts = np.zeros(TRIGRAMS, np.int64), np.zeros(len(NAMED), np.int64)
+    for held, _ in pieces(texts):
+        batch = Texts(held)
+        gram, letter = trigrams(batch)
+        grams += np.bincount(gram[letter], minlength=TRIGRAMS)
+        bits = script_bits(batch.low[letter])
+        scripts += [np.count_nonzero(bits == 1 << k) for k in range(len(NAMED))]
+    return grams, scripts
 
 
 class Model:
-    """Languages in order; `kind` numbers the code points (0: no letter), `logs` has the log frequency of each trigram of numbers for each language, `fits` the languages (as bits) that use a code point's script."""
-
-    def __init__(self, rows: list[tuple[str, str]], smoothing: float = 0.5, part: int = 256) -> None:
-        self.languages = sorted({lang for _, lang in rows})
-        often = Counter(lang for _, lang in rows)
-        #: The language of most rows, for texts whose letters tell nothing.
-        self.usual = min(self.languages, key=lambda x: (-often[x], x)) if rows else "und"
-        if len(self.languages) > 62:
-            raise ValueError("at most 62 languages")
-        letters = Counter()
-        for text, _ in rows:
-            letters.update(text.lower())
-        letters = Counter({c: n for c, n in letters.items() if c.isalpha()})
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.width = len(known) + 2
-        kind = np.where(traits() & LETTER, self.width - 1, 0).astype(np.int32)
-        for k, c in enumerate(known):
-            kind[ord(c)] = k + 1
-        self.kind = kind
-        counts = np.zeros((len(self.languages), self.width**3), np.float32)
-        fits = np.zeros(0x110000, np.int64)
-        for k, lang in enumerate(self.languages):
-            own = [text for text, of in rows if of == lang]
-            scripts: Counter = Counter()
-            for at in range(0, len(own), part):
-                batch = Texts(own[at : at + part])
-                gram, letter = self.trigrams(batch)
-                counts[k] += np.bincount(gram[letter], minlength=self.width**3)
-                points, n = np.unique(batch.low[letter], return_counts=True)
-                for p, m in zip(points.tolist(), n.tolist(), strict=True):
-                    scripts[script(p)] += m
-            # A script that only a few stray words use isn't the language's.
-            used = {s for s, n in scripts.items() if s and n * 20 >= sum(scripts.values())}
-            for s, begin, end in zip(SCRIPTS, SCRIPT_STARTS, (*SCRIPT_STARTS[1:], 0x110000), strict=True):
-                if s in used:
-                    fits[begin:end] |= 1 << k
-        total = counts.sum(axis=1, keepdims=True) + smoothing * self.width**3
-        self.logs = np.ascontiguousarray(np.log((counts + smoothing) / total).T.astype(np.float32)) if self.languages else np.zeros((0, 0), np.float32)
-        self.fits = fits
-
-    def trigrams(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """The trigram around each place, and which places are letters."""
-        k = self.kind[texts.low]
-        around = np.zeros(len(k) + 2, np.int32)
-        around[1:-1] = k
-        return (around[:-2] * self.width + k) * self.width + around[2:], k > 0
+    """Languages in order; `logs` has the log frequency of each trigram in each language, `uses` which named scripts a language uses, `usual` the language of most rows."""
+
+    def __init__(self, known: list[tuple[str, int, np.ndarray, np.ndarray]]) -> None:
+        """known: language, rows and counts (see `counts_of`) of each language."""
+        known = sorted(known, key=lambda x: x[0])
+        self.languages = [lang for lang, *_ in known]
+        self.usual = min(known, key=lambda x: (-x[1], x[0]))[0] if known else "und"
+        counts = np.array([grams for *_, grams, _ in known], np.float32).reshape(len(known), TRIGRAMS)
+        total = counts.sum(axis=1, keepdims=True) + SMOOTHING * TRIGRAMS
+        self.logs = np.ascontiguousarray(np.log((counts + SMOOTHING) / total).T.astype(np.float32))
+        scripts = np.array([own for *_, own in known], np.int64).reshape(len(known), len(NAMED))
+        # A script that only a few stray words use isn't the language's.
+        self.uses = (scripts > 0) & (scripts * 20 >= scripts.sum(axis=1, keepdims=True))
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str]]) -> Model:
+        own = {lang: [t for t, x in rows if x == lang] for _, lang in rows}
+        return cls([(lang, len(texts), *counts_of(texts)) for lang, texts in own.items()])
+
+    def candidates(self, bits: np.ndarray) -> np.ndarray:
+        """Which languages may own a word with letters of these scripts."""
+        kinds, back = np.unique(bits, return_inverse=True)
+        has = (kinds[:, None] >> np.arange(len(NAMED))) & 1 == 1
+        of_all = (has[:, None, :] <= self.uses[None]).all(axis=2) & (kinds > 0)[:, None]
+        of_any = (has[:, None, :] & self.uses[None]).any(axis=2)
+        return np.where(of_all.any(axis=1, keepdims=True), of_all, of_any)[back.reshape(-1)]
 
     def scores(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each word (run of letters) its scores by language, its letters that have a candidate, start and end."""
-        gram, letter = self.trigrams(texts)
+        gram, letter = trigrams(texts)
         start, end = texts.runs(letter)
         kinds = len(self.languages)
         if not kinds or not len(start):
@@ -104,12 +112,12 @@ class Model:
         at = np.flatnonzero(letter)
         first = np.cumsum(end - start) - (end - start)
         told = np.add.reduceat(self.logs[gram[at]], first, axis=0)
-        mask = np.bitwise_or.reduceat(self.fits[texts.low[at]], first)
-        candidate = (mask[:, None] >> np.arange(kinds)) & 1 == 1
+        candidate = self.candidates(np.bitwise_or.reduceat(script_bits(texts.low[at]), first))
+        some = candidate.any(axis=1)
         best = np.where(candidate, told, -np.inf).max(axis=1, keepdims=True)
         score = np.where(candidate, np.maximum(told - np.where(np.isfinite(best), best, 0), FLOOR), FLOOR)
-        score[mask == 0] = 0
-        return score.astype(np.float32), np.where(mask != 0, end - start, 0), start, end
+        score[~some] = 0
+        return score.astype(np.float32), np.where(some, end - start, 0), start, end
 
 
 def viterbi(score: np.ndarray, lengths: np.ndarray, penalty: float, segment: int = SEGMENT) -> np.ndarray:
@@ -134,7 +142,7 @@ def viterbi(score: np.ndarray, lengths: np.ndarray, penalty: float, segment: int
     cells = np.where(live[:, None, :], flat[:, where].transpose(1, 0, 2), 0).astype(np.float32)
     # best[language before the segment, language now, segment]
     best = np.where(np.eye(kinds, dtype=bool), 0, -penalty).astype(np.float32)[:, :, None] + cells[0][None]
-    came = np.empty((steps, kinds, len(start)), np.int8)
+    came = np.empty((steps, kinds, len(start)), np.int32)
     stay = np.empty((steps, kinds, kinds, len(start)), bool)
     for t in range(1, steps):
         top = best.max(axis=1)
@@ -171,7 +179,7 @@ def viterbi(score: np.ndarray, lengths: np.ndarray, penalty: float, segment: int
     return out
 
 
-def label(model: Model, texts: list[str | None], penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Texts]:
+def label(model: Model, texts: list[str], penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Texts]:
     """Language, letters, start and end of each word of the texts."""
     batch = Texts(texts)
     score, letters, start, end = model.scores(batch)
@@ -179,38 +187,74 @@ def label(model: Model, texts: list[str | None], penalty: float) -> tuple[np.nda
     return viterbi(score, lengths, penalty) if len(model.languages) else np.zeros(len(start), np.int64), letters, start, end, batch
 
 
+def piece_size(model: Model) -> int:
+    return max(20_000, CELLS // max(4, len(model.languages)))
+
+
 def judge(model: Model, texts: list[str | None], penalty: float = SWITCH) -> list[tuple[str, float]]:
     """(language, score) of each text."""
-    own, letters, start, _, batch = label(model, texts, penalty)
     kinds = max(1, len(model.languages))
-    of = batch.of(start)
-    held = np.bincount(of * kinds + own, weights=letters, minlength=kinds * batch.count).reshape(-1, kinds)
-    words = np.bincount(of, minlength=batch.count)
+    held, words = np.zeros((len(texts), kinds)), np.zeros(len(texts))
+    for some, text in pieces(texts, piece_size(model)):
+        own, letters, start, _, batch = label(model, some, penalty)
+        of = text[batch.of(start)]
+        held += np.bincount(of * kinds + own, weights=letters, minlength=held.size).reshape(held.shape)
+        words += np.bincount(of, minlength=len(texts))
     return [(model.languages[int(h.argmax())], float(h.max() / h.sum())) if h.sum() > 0 else (model.usual, 0.0) if n else ("und", 0.0) for h, n in zip(held, words, strict=True)]
 
 
 def spans(model: Model, text: str | None, penalty: float = SWITCH) -> list[tuple[int, int, str]]:
     """(start, end, language) of the runs of words of one language; words without candidates belong to the run they stand in."""
-    own, letters, start, end, _ = label(model, [text], penalty)
     out: list[tuple[int, int, str]] = []
-    if not letters.sum():
-        return out
-    for a, b, k in zip(start.tolist(), end.tolist(), own.tolist(), strict=True):
-        lang = model.languages[k]
-        out = [*out[:-1], (out[-1][0], b, lang)] if out and out[-1][2] == lang else [*out, (a, b, lang)]
+    before = 0
+    for some, _ in pieces([text], piece_size(model)):
+        own, letters, start, end, _ = label(model, some, penalty)
+        if letters.sum():
+            for a, b, k in zip((start + before).tolist(), (end + before).tolist(), own.tolist(), strict=True):
+                lang = model.languages[k]
+                if out and out[-1][2] == lang:
+                    out[-1] = (out[-1][0], b, lang)
+                else:
+                    out.append((a, b, lang))
+        before += sum(map(len, some))
     return out
 
 
+COUNTED = "lang string, texts long, grams binary, scripts binary"
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` rows that aren't held out, picked by a hash, and common.SAMPLE_CHARS characters."""
-    rows = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~fold(F.col("doc_id"), FOLDS, HELD))
-    chosen = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "doc_id").limit(sample)
-    top = chosen.agg(F.max("h")).first()[0]
+    """Learn from at most `sample` rows that aren't held out, picked by a hash; repeated rows count once."""
+    rows = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~fold(F.col("doc_id"), FOLDS, HELD)).select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h"))
+    top = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if top is None:
         return Model([])
-    texts = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.col("h") <= F.lit(top)).select("h", "doc_id", "text", "lang").orderBy("h", "doc_id").limit(sample)
-    picked = within(texts, ["h", "doc_id"]).orderBy("text", "lang").collect()
-    return Model([(r["text"], r["lang"]) for r in picked])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in sorted(set(langs)):
+                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+                grams, scripts = counts_of(own)
+                some = np.flatnonzero(grams)
+                yield pa.record_batch([pa.array([lang], pa.string()), pa.array([len(own)], pa.int64()), pa.array([np.stack([some, grams[some]]).tobytes()], pa.binary()), pa.array([scripts.tobytes()], pa.binary())], names=["lang", "texts", "grams", "scripts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A language's counts as a dense table: of fixed size for each language.
+        held: dict[str, list] = {}
+        for batch in batches:
+            for lang, texts, grams, scripts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                own = held.setdefault(lang, [0, np.zeros(TRIGRAMS, np.int64), np.zeros(len(NAMED), np.int64)])
+                at, n = np.frombuffer(grams, np.int64).reshape(2, -1)
+                own[0] += texts
+                own[1][at] += n
+                own[2] += np.frombuffer(scripts, np.int64)
+        for lang, (texts, grams, scripts) in held.items():
+            yield pa.record_batch([pa.array([lang], pa.string()), pa.array([texts], pa.int64()), pa.array([grams.astype(np.float32).tobytes()], pa.binary()), pa.array([scripts.tobytes()], pa.binary())], names=["lang", "texts", "grams", "scripts"])
+
+    counted = rows.where(F.col("h") <= F.lit(top)).dropDuplicates(["h"]).select("text", "lang").mapInArrow(count, COUNTED)
+    told = counted.repartition("lang").mapInArrow(add, COUNTED).toArrow().to_pylist()
+    return Model([(r["lang"], r["texts"], np.frombuffer(r["grams"], np.float32), np.frombuffer(r["scripts"], np.int64)) for r in told])
 
 
 def predict(documents: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
@@ -218,11 +262,10 @@ def predict(documents: DataFrame, model: Model, penalty: float = SWITCH) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             told = judge(m, batch.column(1).to_pylist(), penalty)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([x for x, _ in told], pa.string()), pa.array([s for _, s in told], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), "text", fold(F.col("doc_id"), FOLDS, HELD).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 

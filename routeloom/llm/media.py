@@ -4,8 +4,12 @@
 or co64, stss) and returns codec, duration and the byte ranges of the keyframes; payloads are never decoded, and of an `mdat` only
 the header is read. `mux` writes such a container around raw samples. `media_columns` applies `describe` to a binary column.
 
-Bytes that aren't a container, or one cut off, give a row with an `error` text and empty tracks instead of a failure. Null bytes are
-treated as empty. Box sizes of 0 (to the end) and 1 (64 bits) are followed; nesting is bounded, and tables are bounded by their box.
+Bytes that aren't a container, or one cut off, or whose tables name bytes that it hasn't, give a row with an `error` text and empty
+tracks instead of a failure. Null bytes are treated as empty. Box sizes of 0 (to the end) and 1 (64 bits) are followed; nesting is
+bounded. A table takes no more memory than a few times its box, whatever counts it claims: ranges are worked out for keyframes alone.
+Where no table of keyframes is there, all samples are keyframes, and those of a chunk are one range. An unknown duration, or one beyond 63 bits,
+is null. Repeated rows give the same row each; empty input gives an empty result; other columns are carried along by `media_columns`
+whatever their names, apart from three that are replaced, and ignored by `round_trip`.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import named, slices, table, unused
 
 #: Boxes that hold boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"))
@@ -79,34 +83,63 @@ def numbers(data: memoryview, at: int, end: int, kind: str, width: int = 1) -> n
     return np.frombuffer(data, kind, count * width, at + 4).reshape(count, width).astype(np.int64)
 
 
-def sample_ranges(data: memoryview, stbl: list) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each sample, from chunk offsets, samples for each chunk and sample sizes."""
-    if (box := inside(stbl, b"stsz")) is not None:
-        fixed, count = struct.unpack_from(">II", data, box[1] + 4)
-        sizes = np.full(count, fixed, np.int64) if fixed else numbers(data, box[1] + 8, box[2], ">u4")[:, 0]
-    elif (box := inside(stbl, b"stz2")) is not None:
-        bits = data[box[1] + 7]
-        if bits == 4:
-            (count,) = struct.unpack_from(">I", data, box[1] + 8)
-            raw = np.frombuffer(data[box[1] + 12 : box[2]], np.uint8)[: (count + 1) // 2]
-            sizes = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[:count].astype(np.int64)
+class Samples:
+    """Where samples are, from chunk offsets, samples for each chunk and sample sizes; `fixed` is the size of all, or 0."""
+
+    def __init__(self, data: memoryview, stbl: list) -> None:
+        self.fixed, self.count, self.before = 0, 0, np.zeros(1, np.int64)
+        if (box := inside(stbl, b"stsz")) is not None:
+            self.fixed, self.count = struct.unpack_from(">II", data, box[1] + 4)
+            sizes = None if self.fixed else numbers(data, box[1] + 8, box[2], ">u4")[:, 0]
+        elif (box := inside(stbl, b"stz2")) is not None:
+            bits, (self.count,) = data[box[1] + 7], struct.unpack_from(">I", data, box[1] + 8)
+            if bits == 4:
+                raw = np.frombuffer(data[box[1] + 12 : box[2]], np.uint8)[: (self.count + 1) // 2]
+                sizes = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[: self.count].astype(np.int64)
+            elif bits in (8, 16):
+                sizes = numbers(data, box[1] + 8, box[2], f">u{bits // 8}")[:, 0]
+            else:
+                raise Malformed(f"sample sizes of {bits} bits")
         else:
-            sizes = numbers(data, box[1] + 8, box[2], {8: ">u1", 16: ">u2"}.get(bits, ">u2"))[:, 0]
-    else:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    offsets = next((numbers(data, b[1] + 4, b[2], k)[:, 0] for n, k in ((b"stco", ">u4"), (b"co64", ">u8")) if (b := inside(stbl, n)) is not None), np.empty(0, np.int64))
-    runs = numbers(data, b[1] + 4, b[2], ">u4", 3) if (b := inside(stbl, b"stsc")) is not None else np.empty((0, 3), np.int64)
-    if not len(sizes):
-        return sizes, sizes
-    if not len(offsets) or not len(runs) or runs[0, 0] != 1:
-        raise Malformed("samples without chunks")
-    which = np.searchsorted(runs[:, 0], np.arange(1, len(offsets) + 1), side="right") - 1
-    chunk = np.repeat(np.arange(len(offsets)), np.minimum(runs[which, 1], len(sizes)))[: len(sizes)]
-    if len(chunk) < len(sizes):
-        raise Malformed("more samples than the chunks hold")
-    before = np.cumsum(sizes) - sizes
-    first = np.searchsorted(chunk, np.arange(len(offsets)), side="left")
-    return offsets[chunk] + before - before[first[chunk]], sizes
+            sizes = np.empty(0, np.int64)
+        if sizes is not None:
+            if len(sizes) < self.count:
+                raise Malformed("sample sizes cut off")
+            self.before, self.count = np.r_[0, np.cumsum(sizes)], len(sizes)
+        elif self.fixed * self.count > len(data):
+            raise Malformed(f"{self.count} samples of {self.fixed} bytes are more than there is")
+        self.offsets = next((numbers(data, b[1] + 4, b[2], k)[:, 0] for n, k in ((b"stco", ">u4"), (b"co64", ">u8")) if (b := inside(stbl, n)) is not None), np.empty(0, np.int64))
+        runs = numbers(data, b[1] + 4, b[2], ">u4", 3) if (b := inside(stbl, b"stsc")) is not None else np.empty((0, 3), np.int64)
+        if not self.count:
+            self.offsets, self.first = self.offsets[:0], np.zeros(1, np.int64)
+            return
+        if not len(self.offsets) or not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
+            raise Malformed("samples without chunks")
+        which = np.searchsorted(runs[:, 0], np.arange(1, len(self.offsets) + 1), side="right") - 1
+        #: The first sample of each chunk, and the number of all samples behind the last.
+        self.first = np.minimum(np.r_[0, np.cumsum(runs[which, 1])], self.count)
+        if self.first[-1] < self.count:
+            raise Malformed("more samples than the chunks hold")
+        starts, lengths = self.chunks()
+        if ((starts < 0) | (starts + lengths > len(data)))[lengths > 0].any():
+            raise Malformed("samples beyond the end")
+
+    def bytes_before(self, sample: np.ndarray) -> np.ndarray:
+        return sample * self.fixed if self.fixed else self.before[sample]
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of the samples of each chunk."""
+        edges = self.bytes_before(self.first)
+        return self.offsets, np.diff(edges)
+
+    def ranges(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each of these samples."""
+        chunk = np.searchsorted(self.first, samples, side="right") - 1
+        return self.offsets[chunk] + self.bytes_before(samples) - self.bytes_before(self.first[chunk]), self.bytes_before(samples + 1) - self.bytes_before(samples)
+
+
+def known_duration(ticks: int, unknown: int) -> int | None:
+    return ticks if ticks != unknown and ticks < 2**63 else None
 
 
 def track(data: memoryview, trak: list) -> dict:
@@ -117,16 +150,22 @@ def track(data: memoryview, trak: list) -> dict:
     stbl = inside(mdia[3], b"minf", b"stbl")
     if mdhd is None or stbl is None:
         raise Malformed("track without header or sample table")
-    scale, duration = struct.unpack_from(">IQ", data, mdhd[1] + 20) if data[mdhd[1]] == 1 else struct.unpack_from(">II", data, mdhd[1] + 12)
+    long = data[mdhd[1]] == 1
+    scale, ticks = struct.unpack_from(">IQ", data, mdhd[1] + 20) if long else struct.unpack_from(">II", data, mdhd[1] + 12)
     out = {"track_id": struct.unpack_from(">I", data, tkhd[1] + (20 if data[tkhd[1]] == 1 else 12))[0] if tkhd else 0, "handler": bytes(data[hdlr[1] + 8 : hdlr[1] + 12]).decode("latin-1") if hdlr else "", "timescale": scale}
     stsd = inside(stbl[3], b"stsd")
     entry = next(boxes(data, stsd[1] + 8, stsd[2]), None) if stsd else None
     stts = numbers(data, b[1] + 4, b[2], ">u4", 2) if (b := inside(stbl[3], b"stts")) is not None else np.empty((0, 2), np.int64)
-    starts, sizes = sample_ranges(data, stbl[3])
-    keys = numbers(data, b[1] + 4, b[2], ">u4")[:, 0] - 1 if (b := inside(stbl[3], b"stss")) is not None else np.arange(len(sizes))
-    keys = keys[(keys >= 0) & (keys < len(sizes))]
-    total = int((stts[:, 0] * stts[:, 1]).sum())
-    return out | {"codec": entry[0].decode("latin-1") if entry else "", "duration": total or duration, "samples": len(sizes), "keyframes": list(zip(starts[keys].tolist(), sizes[keys].tolist(), strict=True)), "ranges": (starts, sizes)}
+    samples = Samples(data, stbl[3])
+    if (b := inside(stbl[3], b"stss")) is not None:
+        keys = numbers(data, b[1] + 4, b[2], ">u4")[:, 0] - 1
+        starts, lengths = samples.ranges(keys[(keys >= 0) & (keys < samples.count)])
+    else:
+        starts, lengths = samples.chunks()
+    # Python's numbers, as the products can pass 64 bits.
+    total = sum(n * d for n, d in stts.tolist())
+    duration = known_duration(total, 0) if total else known_duration(ticks, 2**64 - 1 if long else 2**32 - 1)
+    return out | {"codec": entry[0].decode("latin-1") if entry else "", "duration": duration, "samples": samples.count, "keyframes": list(zip(starts.tolist(), lengths.tolist(), strict=True)), "chunks": samples.chunks()}
 
 
 def describe(container: bytes | None) -> dict:
@@ -140,7 +179,7 @@ def describe(container: bytes | None) -> dict:
         if moov is None:
             raise Malformed("no moov box")
         out["tracks"] = [track(data, n[3]) for n in moov[3] if n[0] == b"trak"]
-    except (Malformed, struct.error, IndexError, ValueError) as e:
+    except (Malformed, struct.error, IndexError, ValueError, OverflowError) as e:
         out["error"] = str(e)
     return out
 
@@ -185,11 +224,8 @@ def read_samples(container: bytes) -> tuple[bytes, dict]:
     told = describe(container)
     if told["error"] or not told["tracks"]:
         raise Malformed(told["error"] or "no track")
-    starts, sizes = told["tracks"][0]["ranges"]
-    # Samples that follow each other in the file are read as one range.
-    breaks = np.flatnonzero(starts[1:] != starts[:-1] + sizes[:-1]) + 1
-    spans = zip(np.r_[0, breaks], np.r_[breaks, len(starts)], strict=True)
-    return b"".join(container[starts[a] : starts[b - 1] + sizes[b - 1]] for a, b in spans if b > a), told["tracks"][0]
+    track = told["tracks"][0]
+    return b"".join(container[a : a + n] for a, n in zip(*(x.tolist() for x in track["chunks"]), strict=True)), track
 
 
 def media_columns(df: DataFrame, content: str) -> DataFrame:
@@ -205,35 +241,35 @@ def media_columns(df: DataFrame, content: str) -> DataFrame:
         told = describe(data)
         return told | {"tracks": [{n: t[n] for n in names[:-1]} | {"keyframes": [{"start": a, "length": b} for a, b in t["keyframes"]]} for t in told["tracks"]]}
 
-    small_batches(df.sparkSession)
-    return df.withColumn("__media", walk(content)).withColumns({n: F.col(f"__media.{n}") for n in ("brand", "tracks", "error")}).drop("__media")
+    (media,) = unused(df, "media")
+    return df.withColumn(media, walk(named(content))).withColumns({n: F.col(f"{media}.{n}") for n in ("brand", "tracks", "error")}).drop(media)
 
 
-ROUND_TRIP = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+ROUND_TRIP = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, keyframes array<struct<start:long,length:long>>"
+ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}.get(k, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))) for n, k in (f.split(" ", 1) for f in ROUND_TRIP.split(", "))])
 
 
 def digest(doc_id: int | None, text: str | None, sample_bytes: int = SAMPLE_BYTES) -> tuple:
-    raw = (text or "").encode()
+    raw = (text or "").encode("utf-8", "replace")
     stored = mux(raw.ljust(max(1, -(-len(raw) // sample_bytes)) * sample_bytes, b" "), sample_bytes)
     payload, t = read_samples(stored)
-    ranges = ",".join(f"{a}+{b}" for a, b in t["keyframes"])
-    feature = f"codec={t['codec'].strip()};seconds={t['duration'] / t['timescale']:.6f};samples={t['samples']};keyframes={len(t['keyframes'])};ranges_crc32={zlib.crc32(ranges.encode())}"
-    return doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    keyframes = zlib.crc32(b"".join(stored[a : a + n] for a, n in t["keyframes"]))
+    seconds, codec = t["duration"] / t["timescale"], t["codec"].strip()
+    feature = f"codec={codec};seconds={seconds:.6f};samples={t['samples']};keyframes={len(t['keyframes'])};keyframes_crc32={keyframes}"
+    return doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, codec, seconds, [{"start": a, "length": n} for a, n in t["keyframes"]]
 
 
 def round_trip(documents: DataFrame) -> DataFrame:
-    """Store each whole text as a container, read it back by its sample tables, and digest both.
+    """Store each whole text as a container, read it back by its sample tables, and digest both; with codec, duration and the keyframes' byte ranges.
 
     Null text is empty; each row gives a row; a null doc_id stays null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in (f.split(" ") for f in ROUND_TRIP.split(", "))])
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [digest(*r) for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+            yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW)], schema=ARROW)
 
-    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROUND_TRIP)
 
 

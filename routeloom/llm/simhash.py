@@ -7,9 +7,12 @@ node it is shared in. A query goes down the tree, adds up its differences from t
 sum exceeds the limit. Members that are linked already are left out as well, so that a large group of copies costs one pass and gives
 one link for each member, not all pairs. What goes on is a forest of links, and components are built by rounds of joins.
 
-Columns besides doc_id and text are ignored by `fingerprints`. Null text counts as text without words. Repeated rows and equal texts
-share a fingerprint. A null doc_id gets a row with a null id; it is never the smallest of its component unless all are null. Empty
-input gives an empty result. Words and texts of any length are taken whole.
+A task takes the groups one after the other, some at a time; the largest that it must hold is the distinct fingerprints that share the bits
+of one mask, at 8 bytes each. Joins on fingerprints, sets and components are salted, as copies may be most of the rows.
+
+Columns besides doc_id and text are ignored by `fingerprints`, and carried along by `keep_one` whatever their names. Null text counts
+as text without words. Repeated rows and equal texts share a fingerprint. A null doc_id gets a row with a null id; it is never the
+smallest of its component unless all are null. Empty input gives an empty result. Words and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, named, once, salted_join, slices, table, unused
 from .components import components
 
 WORD_BITS = 64
@@ -85,11 +88,10 @@ def fingerprints(documents: DataFrame, size: int = 4, seed: int = 42) -> DataFra
     """(doc_id, fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             prints = b"".join(fingerprint(x, size, seed) for x in batch.column(1).cast(pa.binary()).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(prints, PACK).astype(np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -189,20 +191,39 @@ def signed(mask: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
 
 
-def masked(items: DataFrame, code: str, masks: list[int]) -> DataFrame:
-    """A row for each item and mask, dealt by the masked bits."""
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col(code).bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)]))
-    return items.select("*", keys.alias("m")).select(*items.columns, "m.t", "m.key").repartition("t", "key")
-
+#: Rows of whole groups that a task works on at once, unless one group has more.
+CHUNK_ROWS = 100_000
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = list(batches)
-    return pa.Table.from_batches(held) if held else None
 
-
-def same_group(t: np.ndarray, key: np.ndarray) -> np.ndarray:
-    pairs = np.stack([t.astype(np.int64), key], axis=1)
-    return np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1)
+def masked(items: DataFrame, code: str, masks: list[int]) -> DataFrame:
+    """A row for each item and mask, dealt and sorted by the masked bits."""
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col(code).bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)]))
+    return items.select("*", keys.alias("m")).select(*items.columns, "m.t", "m.key").repartition("t", "key").sortWithinPartitions("t", "key")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole groups, and the number of each row's group."""
+
+    def numbered(rows: pa.Table) -> np.ndarray:
+        columns = [rows.column(k).to_numpy() for k in keys]
+        return np.cumsum(np.r_[0, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < CHUNK_ROWS:
+            continue
+        rows = pa.Table.from_batches(held)
+        group = numbered(rows)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield rows.slice(0, cut), group[:cut]
+            held = rows.slice(cut).to_batches()
+            size -= cut
+    if size:
+        rows = pa.Table.from_batches(held)
+        yield rows, numbered(rows)
 
 
 def links(codes: DataFrame, limit: int = 4) -> DataFrame:
@@ -210,14 +231,12 @@ def links(codes: DataFrame, limit: int = 4) -> DataFrame:
     codes = materialize(codes.select("fp").distinct(), "codes")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = gathered(batches)
-        if rows is None:
-            return
-        fp, t, key = (rows.column(c).to_numpy() for c in ("fp", "t", "key"))
-        a, b = forest(same_group(t, key), fp.view(np.uint64), limit)
-        if len(a):
-            pairs = np.unique(np.stack([fp[a], fp[b]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for rows, group in whole_groups(batches, ["t", "key"]):
+            fp = rows.column("fp").to_numpy()
+            a, b = forest(group, fp.view(np.uint64), limit)
+            if len(a):
+                pairs = np.unique(np.stack([fp[a], fp[b]], axis=1), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return masked(codes, "fp", segment_masks(limit, codes.count())).mapInArrow(search, "a long, b long")
 
@@ -225,10 +244,16 @@ def links(codes: DataFrame, limit: int = 4) -> DataFrame:
 def near_duplicates(documents: DataFrame, limit: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of documents; component_id is the smallest doc_id of the component."""
     prints = materialize(fingerprints(documents, size, seed), "prints")
-    found = components(links(prints, limit))
-    of = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialize(of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def told() -> DataFrame:
+        found = components(links(prints, limit))
+        of = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("fp"), "component"), "fp", "left"), "of")
+        linked = of.where(F.col("component").isNotNull())
+        least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+        apart = of.where(F.col("component").isNull()).select("fp", F.col("least").alias("component_id"))
+        return salted_join(linked, least, ["component"]).select("fp", "component_id").union(apart)
+
+    return salted_join(prints, once(told, "told"), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,10 +263,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- documents that share most of their shingles -------------------------------------------------------------------------------
 
 #: Words of the wide print of the set of five-word shingles; its bits estimate the similarity.
-WIDE = 8
+WIDE = 4
 #: Least hashes in a band, and bands. A pair of similarity J agrees in a band with probability J ** BAND_ROWS whatever the edits are and
-#: however large the input, so that a pair at 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 24 = 3.2e-6.
-BAND_ROWS, BANDS = 4, 24
+#: however large the input, so that a pair at 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 20 = 2.7e-5.
+BAND_ROWS, BANDS = 4, 20
+#: Sets that one task takes as a group; larger groups are split.
+MOST = 50_000
+#: Members of a group that are held against all others of it in a round.
+LEADERS = 64
+#: Hashed buckets of sets that tell which sets are needed; a table of so many rows is broadcast.
+NEEDED = 1 << 18
 
 
 def band_keys(h: np.ndarray) -> np.ndarray:
@@ -264,18 +295,49 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def wide_prints(documents: DataFrame, size: int) -> DataFrame:
-    """Of each row doc_id, a hash of its text, and of its set of shingles `node`, a 128-bit hash, `wide`, the 512-bit print, `bands`, the keys of its bands, and `items`, the hashes of the shingles."""
+def keyed_texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def item_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted hashes of the shingles of each text."""
+    return [np.unique(hashes(shingles(words_of(x), size))) for x in column.cast(pa.binary()).to_pylist()]
+
+
+def nodes_of(sets: list[np.ndarray]) -> pa.Array:
+    """128-bit hashes of sets."""
+    return pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+
+
+def set_prints(documents: DataFrame, size: int) -> DataFrame:
+    """Of each row doc_id, a hash of its text, and of its set of shingles `node`, a hash, `wide`, its print, and `bands`, the keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(hashes(shingles(words_of(x), size))) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            items = [h.tobytes() for h in sets]
-            columns = [pa.array([xxhash.xxh3_128_digest(x) for x in items], pa.binary()), pa.array([majority(spread(h, WIDE)) for h in sets], pa.binary()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64())), pa.array(items, pa.binary())]
-            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "node", "wide", "bands", "items"])
+        for batch in slices(batches, 1):
+            sets = item_sets(batch.column(1), size)
+            columns = [nodes_of(sets), pa.array([majority(spread(h, WIDE)) for h in sets], pa.binary()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["doc_id", "text_hash", "node", "wide", "bands"])
+
+    return keyed_texts(documents).mapInArrow(run, "doc_id long, text_hash long, node binary, wide binary, bands array<long>")
 
-    small_batches(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, node binary, wide binary, bands array<long>, items binary")
+
+def whole_sets(documents: DataFrame, prints: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, items) of the wanted nodes and of few others: the hashes of all shingles of one row for each node.
+
+    Which rows are needed is told by a table of NEEDED hashed buckets at most, so texts are filtered where they are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            sets = item_sets(batch.column(0), size)
+            yield pa.record_batch([nodes_of(sets), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "items"])
+
+    bucket = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(NEEDED)).alias("bucket")
+    needed = wanted.select(bucket("node")).distinct()
+    one = prints.select("doc_id", "text_hash", "node", bucket("node")).join(F.broadcast(needed), "bucket", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    rows = one.select(bucket("k.doc_id", "k.text_hash")).distinct()
+    texts = keyed_texts(documents).select("text", bucket("doc_id", "text_hash")).join(F.broadcast(rows), "bucket", "left_semi")
+    return texts.select("text").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"])
 
 
 def bits_within(similarity: float, bits: int) -> int:
@@ -287,98 +349,153 @@ def bits_within(similarity: float, bits: int) -> int:
     return int(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
-def differing(codes: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+def differing(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes[a] ^ codes[b]).sum(axis=-1, dtype=np.int64)
 
 
-def exact_groups(sets: list[np.ndarray], codes: np.ndarray, similarity: float, wide_limit: int) -> np.ndarray:
-    """Labels (the first item's number) of the components of the pairs of sets whose Jaccard similarity is `similarity` or more, by exact counts.
+def counted_keys(rows: DataFrame, key: str, most: int) -> DataFrame | None:
+    """(key, parts) of the keys that more than `most` rows have, as a written table, or None; parts of `most` rows each.
 
-    Breadth first: an item is held against those that no item has reached yet, so a group of close copies costs about one pass.
+    Keys are first counted by a hash in buckets, so that where no bucket is that large the rows aren't shuffled.
     """
-    of = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
-    sizes = np.array([len(x) for x in sets])
-    parts = np.split(of, np.cumsum(sizes)[:-1])
-    label = np.full(len(sets), -1)
-    mark = np.zeros(len(of), bool)
-    rest = np.arange(len(sets))
-    while len(rest):
-        first, queue, rest = rest[0], [int(rest[0])], rest[1:]
-        label[first] = first
-        while queue and len(rest):
-            x = queue.pop()
-            fits = np.minimum(sizes[rest], sizes[x]) >= similarity * np.maximum(sizes[rest], sizes[x]) - 1e-9
-            near = rest[fits]
-            near = near[differing(codes, x, near) <= wide_limit]
-            mark[parts[x]] = True
-            both = np.array([np.count_nonzero(mark[parts[y]]) for y in near], np.int64)
-            mark[parts[x]] = False
-            found = near[both >= similarity * (sizes[near] + sizes[x] - both) - 1e-9]
-            label[found] = first
-            queue += found.tolist()
-            rest = rest[label[rest] < 0]
-    return label
-
-
-def similar_groups(documents: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, text_hash, node, component) of each row: rows whose sets of `size`-word shingles have a Jaccard similarity of `similarity` or more are in one component.
-
-    Candidates agree in a band of least hashes and pass the wide print, which is a loose filter here. Their components are then parted
-    again by the exact similarities of the whole sets. Rows without words are copies of each other.
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << 15))
+    if rows.groupBy(bucket.alias("b")).count().where(F.col("count") > most).isEmpty():
+        return None
+    return materialize(rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot")
+
+
+def loose_links(banded: DataFrame, similarity: float, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) within the groups of banded(key, entry) whose prints allow the similarity, and the groups (g, node) that had to be split.
+
+    An entry is a node and its print. Groups of more than `most` entries are dealt over parts, each of which has the group's first entry.
     """
-    prints = materialize(wide_prints(documents, size), "wide")
-    nodes = materialize(prints.select("node", "wide", "bands").dropDuplicates(["node"]), "nodes")
     wide_limit, code_limit = bits_within(similarity, WIDE * WORD_BITS), bits_within(similarity, WORD_BITS)
 
-    def codes_of(column: pa.ChunkedArray) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = gathered(batches)
-        if rows is None:
-            return
-        t, key = (rows.column(c).to_numpy() for c in ("t", "key"))
-        node, codes = rows.column("node").to_pylist(), codes_of(rows.column("wide"))
-        a, b = forest(same_group(t, key), codes[:, 0].copy(), code_limit, lambda x, y: differing(codes, x, y) <= wide_limit)
-        if len(a):
-            pairs = sorted({(node[i], node[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)})
-            yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come in order of their component; a component may go on in the next batch.
-        held: list[tuple] = []
-
-        def parted() -> pa.RecordBatch:
-            codes = np.frombuffer(b"".join(r[2] for r in held), np.uint64).reshape(-1, WIDE)
-            label = exact_groups([np.frombuffer(r[3], np.uint64) for r in held], codes, similarity, wide_limit)
-            return pa.record_batch([pa.array([r[1] for r in held], pa.binary()), pa.array([held[k][1] for k in label.tolist()], pa.binary())], names=["node", "component"])
+        for rows, group in whole_groups(batches, ["key", "part"]):
+            some = np.bincount(group)[group] > 1
+            entry = rows.column("entry").filter(pa.array(some)).to_pylist()
+            codes = np.frombuffer(b"".join(x[16:] for x in entry), np.uint64).reshape(-1, WIDE)
+            a, b = forest(group[some], codes[:, 0].copy(), code_limit, lambda x, y, codes=codes: differing(codes, x, y) <= wide_limit)
+            if len(a):
+                pairs = sorted({(entry[i][:16], entry[j][:16]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if entry[i] != entry[j]})
+                yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+    hot = counted_keys(banded, "key", most)
+    if hot is None:
+        dealt, split = banded.withColumn("part", F.lit(0)), None
+    else:
+        keyed = banded.join(hot, "key", "left")
+        whole, large = keyed.where("parts IS NULL").select("key", "entry", F.lit(0).alias("part")), keyed.where("parts IS NOT NULL")
+        first = large.groupBy("key", "parts").agg(F.min("entry").alias("entry")).select("key", "entry", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        parted = large.select("key", "entry", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int").alias("part"))
+        dealt = whole.union(parted.union(first).distinct())
+        split = large.select(F.concat(F.lit("members of band "), F.col("key").cast("string")).cast("binary").alias("g"), F.substring("entry", 1, 16).alias("node"))
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(search, "a binary, b binary").distinct(), split
+
+
+def similar_pairs(members: DataFrame, leaders: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Links (a, b) between the members and the leaders of each group g whose sets have the similarity, by exact counts.
+
+    members and leaders are (g, node, component); those of one component aren't compared. A task holds the leaders' sets of one group at
+    a time, and the members pass by them; the members of large groups are dealt over parts, each of which has the leaders.
+    """
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("component", "node", "wide", "items")), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield parted()
-                    held = []
-                held.append(row)
-        if held:
-            yield parted()
-
-    banded = nodes.select("node", "wide", F.posexplode("bands").alias("t", "key")).repartition("t", "key")
-    loose = materialize(components(banded.mapInArrow(search, "a binary, b binary")), "loose")
-    sets = prints.select("node", "wide", "items").join(loose, "node").dropDuplicates(["node"]).select("component", "node", "wide", "items")
-    found = materialize(sets.repartition("component").sortWithinPartitions("component", "node").mapInArrow(part, "node binary, component binary"), "exact")
-    return prints.select("doc_id", "text_hash", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            found = []
+            for g, part, follows, node, component, items in zip(*(batch.column(c).to_pylist() for c in ("g", "part", "follows", "node", "component", "items")), strict=True):
+                if (g, part) != now:
+                    now, held = (g, part), []
+                own = np.frombuffer(items, np.uint64)
+                if not follows:
+                    held.append((node, component, own))
+                    continue
+                for leader, other, theirs in held:
+                    small, large = sorted((len(own), len(theirs)))
+                    if leader == node or other == component or small < similarity * large - 1e-9:
+                        continue
+                    both = len(np.intersect1d(own, theirs, assume_unique=True))
+                    if both >= similarity * (small + large - both) - 1e-9:
+                        found.append((node, leader))
+            yield pa.record_batch([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    hot = counted_keys(members, "g", most)
+    if hot is None:
+        members, leaders = members.withColumn("part", F.lit(0)), leaders.withColumn("part", F.lit(0))
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        members = members.join(hot, "g", "left").select("g", "node", "component", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+        leaders = leaders.join(hot, "g", "left").select("g", "node", "component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = leaders.withColumn("follows", F.lit(False)).union(members.withColumn("follows", F.lit(True)))
+    rows = rows.join(sets, "node").select("g", "part", "follows", "node", "component", "items")
+    return rows.repartition("g", "part").sortWithinPartitions("g", "part", "follows", "node").mapInArrow(compare, "a binary, b binary")
+
+
+def similar_components(documents: DataFrame, prints: DataFrame, size: int, similarity: float, most: int = MOST) -> DataFrame:
+    """(node, component) of the sets that have another of the similarity or more; sets joined by a chain are in one component.
+
+    Candidates agree in a band of least hashes and pass the print, which is a loose filter here. Each loose group has a first member, and
+    the others are held against it by exact counts. In groups whose members aren't all in one component then, up to LEADERS members at
+    a time of those outside the group's largest component are held against all others, until every such pair has been compared.
+    """
+    nodes = materialize(prints.select("node", "wide", "bands").dropDuplicates(["node"]), "nodes")
+    banded = nodes.select(F.explode("bands").alias("key"), F.concat("node", "wide").alias("entry"))
+    loose, split = loose_links(banded, similarity, most)
+    loose = materialize(loose, "loose")
+    wanted = loose.select(F.col("a").alias("node")).union(loose.select("b"))
+    sets = materialize(whole_sets(documents, prints, wanted if split is None else wanted.union(split.select("node")), size), "sets")
+    leaders = loose.select(F.col("b").alias("g"), F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    links = materialize(similar_pairs(loose.select(F.col("b").alias("g"), F.col("a").alias("node"), F.col("a").alias("component")), leaders, sets, similarity, most), "similar")
+    # The first member of a loose group has been held against all others.
+    alive = loose.select(F.col("b").alias("g"), F.col("a").alias("node"))
+    alive = alive if split is None else alive.union(split)
+    components_found = components(links)
+    while True:
+        placed = alive.select("g", "node").join(components_found, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
+        counts = placed.groupBy("g", "component").count().groupBy("g").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"))
+        open_groups = materialize(counts.where("kinds > 1").select("g", "main"), "open")
+        if open_groups.isEmpty():
+            return components_found
+        alive = materialize(salted_join(placed, open_groups, ["g"]), "alive")
+        strays = alive.where("component <> main")
+        leaders = materialize(strays.groupBy("g", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "component")).alias("x")).select("g", "x.node", "x.component"), "leaders")
+        more = materialize(similar_pairs(alive.select("g", "node", "component"), leaders, sets, similarity, most), "similar")
+        if not more.isEmpty():
+            links = links.union(more)
+            components_found = components(links)
+        alive = alive.join(leaders.select("g", "node"), ["g", "node"], "left_anti").select("g", "node")
+
+
+def similar_groups(documents: DataFrame, similarity: float = 0.8, size: int = 5, most: int = MOST) -> DataFrame:
+    """(doc_id, text_hash, component) of each row: rows whose sets of `size`-word shingles have a Jaccard similarity of `similarity` or more are in one component.
+
+    Rows without words are copies of each other.
+    """
+    prints = materialize(set_prints(documents, size), "prints")
+    found = similar_components(documents, prints, size, similarity, most)
+    return salted_join(prints.select("doc_id", "text_hash", "node"), found, ["node"], "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
 
 
 def keep_one(documents: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """The rows of documents without near copies: of each component one row stays, that with the smallest doc_id (then text).
+    """The rows of documents without near copies: of each component one row stays, that with the smallest doc_id (then hash of the text).
 
-    A null doc_id sorts last. All columns are kept as they are; rows without words are copies of each other, so one of them stays.
+    A null doc_id sorts last. All columns are kept as they are, whatever their names. Rows without words are copies of each other, so one
+    of them stays. Of rows with the same doc_id and text the one stays whose columns come first as JSON.
     """
-    rows = materialize(similar_groups(documents, similarity, size), "groups")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("k"))
-    copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__copies"))
-    chosen = first.select("k.*").join(copies, F.col("id").eqNullSafe(copies["doc_id"]) & (F.col("h") == copies["text_hash"])).select(F.col("id").alias("__id"), F.col("h").alias("__hash"), "__copies")
-    keyed = documents.withColumn("__text_hash", F.xxhash64("text"))
-    kept = keyed.join(materialize(chosen, "chosen").hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
-    alone, repeated = kept.where("__copies = 1"), kept.where("__copies > 1").dropDuplicates(["doc_id", "__text_hash"])
-    return alone.union(repeated).select(*[F.col(f"`{c}`") for c in documents.columns])
+    key, text_hash, copies, row, order = unused(documents, "id", "text_hash", "copies", "row", "order")
+
+    def choose() -> DataFrame:
+        rows = materialize(similar_groups(documents, similarity, size), "groups")
+        first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("k"))
+        repeated = rows.groupBy("doc_id", "text_hash").count()
+        same = F.col("id").eqNullSafe(repeated["doc_id"]) & F.col("h").eqNullSafe(repeated["text_hash"])
+        return first.select("k.*").join(repeated, same).select(F.col("id").alias(key), F.col("h").alias(text_hash), F.col("count").alias(copies))
+
+    chosen = once(choose, "chosen")
+    kept = documents.join(chosen.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash)))
+    columns = [named(c) for c in documents.columns]
+    alone = kept.where(F.col(copies) == 1).select(*columns)
+    again = kept.where(F.col(copies) > 1).select(key, text_hash, F.struct(*columns).alias(row)).withColumn(order, F.to_json(row))
+    return alone.union(again.groupBy(key, text_hash).agg(F.min_by(row, order).alias(row)).select(f"{row}.*"))

@@ -21,7 +21,7 @@ some 200 bytes for each of these contexts.
 
 Null text is empty; documents shorter than `width` lose nothing. A null doc_id sorts last. Rows that repeat both id and text are the
 same document: none counts as an earlier copy of the other, and each gets the same result. Rows that share an id but not the text are
-ordered by a hash. Other columns are ignored. Empty input gives an empty result. Texts of any length are taken whole, in pieces that
+ordered by a hash. Other columns are ignored, whatever their names. Empty input gives an empty result. Texts of any length are taken whole, in pieces that
 overlap by a window.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, table
+from .common import give_back, partitions_for, slices, table
 from .words import mix
 
 WIDTH = 100
@@ -113,7 +113,7 @@ def find_anchors(parts: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, "data"):
             text, place, hashed = anchors([x or b"" for x in batch.column("data").to_pylist()], width)
             if len(text):
                 held.append((batch.column("key").to_numpy()[text], place, hashed))
@@ -242,7 +242,7 @@ def sorted_runs(parts: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, "data"):
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "key", "data", "rows"))
             for doc_id, key, data, found in zip(*columns, strict=True):
                 if not found:
@@ -451,18 +451,16 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """Each row as (doc_id, data, spans): its bytes and a blob of its repeated spans (see `spans_of`)."""
     if not 2 * GRAM <= width <= 255:
         raise ValueError(f"width must be from {2 * GRAM} to 255")
-    spark = documents.sparkSession
-    small_batches(spark)
     # More parts than tasks: a task holds its parts front-coded, and unfolds one at a time.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = partitions_for(documents)
     parts = PARTS_A_TASK * tasks
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     found = rows.where(F.octet_length("data") >= width).select("key", "data").mapInArrow(find_anchors(tasks, width), "part int, hashes binary, keys binary, places binary")
-    often = found.repartition("part").mapInArrow(find_repeated(tasks), DEALT)
-    places = often.repartition("part").mapInArrow(regroup(1, "u4"), "key long, rows binary")
+    often = found.repartition(tasks, "part").mapInArrow(find_repeated(tasks), DEALT)
+    places = often.repartition(tasks, "part").mapInArrow(regroup(1, "u4"), "key long, rows binary")
     runs = rows.join(places.hint("shuffle_hash"), "key", "left").mapInArrow(sorted_runs(parts, width), "part int, " + ", ".join(f"{c} binary" for c in RUN_COLUMNS))
-    spans = runs.repartition("part").mapInArrow(find_spans(tasks, width), DEALT)
-    gathered = spans.repartition("part").mapInArrow(regroup(2, "i8"), "key long, rows binary")
+    spans = runs.repartition(tasks, "part").mapInArrow(find_spans(tasks, width), DEALT)
+    gathered = spans.repartition(tasks, "part").mapInArrow(regroup(2, "i8"), "key long, rows binary")
     return rows.join(gathered.hint("shuffle_hash"), "key", "left").select("doc_id", "data", F.col("rows").alias("spans"))
 
 
@@ -470,7 +468,7 @@ def dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row; kept is the bytes left, which may cut a character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "data"):
             out = []
             for doc_id, data, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "spans")), strict=True):
                 start, end = spans_of(blob)

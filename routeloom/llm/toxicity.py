@@ -6,23 +6,32 @@ Words are compared lower-cased, with look-alike digits and signs as letters and
 as the word. Trees are grown on histograms of the features with the logistic loss; the scores of texts that a third of the sample
 didn't train on fit the calibration.
 
-The model is fitted on a bounded sample (`sample`) of the labelled rows that aren't held out. Null and empty texts have zero features
-and get the score for these. Repeated rows are scored each; null labels aren't learned from; rows with several labels count with the
-largest. Without training rows all scores are 0, so nothing is rejected. Words and texts of any length are taken whole.
+The model is fitted on a bounded sample (`sample` rows) of the labelled rows that aren't held out. Its texts are taken whole and stay with
+the executors: one pass counts the texts that hold each word, a second one, with the lexicons, gives the features, of which the driver
+gets 15 numbers a text and lexicon. Very long texts are looked at in pieces (`words.pieces`), so memory doesn't grow with a text; second
+persons behind a cut aren't near. Null and empty texts have zero features and get the score for these. Repeated rows are scored each,
+alike, and learned from once; null labels aren't learned from; rows with several labels count with the largest. Without training rows
+all scores are 0, so nothing is rejected. A null doc_id stays null. Empty tables give an empty result. Columns besides doc_id, text and
+the label are carried along by `without_toxic` whatever their names, and not read otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import sample_texts, small_batches, table
+from .common import discard, once, sample_texts, slices, table
 from .quality import THRESHOLD, score
-from .words import DIGIT, LETTER, SPACE, UPPER, Texts, hash_of, per_text
+from .words import DIGIT, LETTER, SPACE, UPPER, Texts, hash_of, per_text, pieces
 
 FOLDS, HELD = 3, 1
 SAMPLE = 4000
+#: Parts of the sample; each gets the scores that calibrate from a model of the others.
+PARTS = 3
 NEAR = 5
 
 # Insults, words of the second person in four languages, and look-alikes of letters.
@@ -62,10 +71,10 @@ def plain_words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     return start, end, held.hashes(begin, stop), [held.hashes(begin, np.minimum(stop, begin + k)) for k in STEMS]
 
 
-def features(texts: Texts, lexicon: np.ndarray, insults: np.ndarray, second: np.ndarray) -> np.ndarray:
+def tallies(texts: Texts, lexicon: np.ndarray, insults: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each text that add up over its pieces (a row of 13), and text and hash of the distinct lexicon words in it."""
     start, end, word, stems = plain_words(texts)
     of, n = texts.of(start), texts.count
-    words = np.maximum(per_text(of, n), 1)
     learned, fixed, you = np.logical_or.reduce([among(h, lexicon) for h in (word, *stems)]), among(word, insults), among(word, second)
     bad = learned | fixed
     # Words since the last and until the next second person, in the same text.
@@ -78,7 +87,6 @@ def features(texts: Texts, lexicon: np.ndarray, insults: np.ndarray, second: np.
     letter, upper, blank = texts.kind & LETTER > 0, texts.kind & UPPER > 0, texts.kind & SPACE > 0
     sign = ~letter & ~blank & (texts.kind & DIGIT == 0)
     text = np.repeat(np.arange(n), texts.size + 1)
-    letters = np.maximum(per_text(text, n, letter), 1)
     sums = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][np.stack([start, end])], axis=0)[0]
     in_word, capitals = sums(letter), sums(upper)
     # Signs or digits between two letters of a word.
@@ -88,49 +96,49 @@ def features(texts: Texts, lexicon: np.ndarray, insults: np.ndarray, second: np.
     drawn = np.zeros(len(letter), bool)
     if len(letter) > 2:
         drawn[2:] = letter[2:] & (texts.low[2:] == texts.low[1:-1]) & (texts.low[1:-1] == texts.low[:-2])
-    rate = lambda mask: per_text(of, n, mask) / words
-    kinds = np.unique(np.stack([of[bad].astype(np.uint64), word[bad]]), axis=1)[0].astype(np.int64) if bad.any() else np.empty(0, np.int64)
-    return np.stack(
-        [
-            rate(learned),
-            np.log1p(per_text(of, n, learned)),
-            rate(fixed),
-            np.log1p(per_text(of, n, fixed)),
-            np.log1p(per_text(kinds, n)),
-            rate(near),
-            rate(you),
-            per_text(text, n, upper) / letters,
-            rate((in_word > 1) & (capitals == in_word)),
-            per_text(text, n, texts.points == ord("!")) / words,
-            per_text(text, n, texts.points == ord("?")) / words,
-            per_text(text, n, sign) / words,
-            rate(sums(inner) > 0),
-            rate(sums(drawn) > 0),
-            np.log1p(per_text(of, n)),
-        ],
-        axis=1,
-    )
-
-
-def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 4, times: float = 40.0, size: int = 400) -> np.ndarray:
-    """Hashes of words and beginnings of words that at least `least` toxic texts hold, at `times` the rate of the others."""
-    seen: list[list[np.ndarray]] = [[], []]
-    for at in range(0, len(texts), 128):
-        batch = Texts(texts[at : at + 128])
+    of_words = (np.ones(len(of)), learned, fixed, near, you, (in_word > 1) & (capitals == in_word), sums(inner) > 0, sums(drawn) > 0)
+    of_points = (letter, upper, texts.points == ord("!"), texts.points == ord("?"), sign)
+    return np.stack([per_text(of, n, m) for m in of_words] + [per_text(text, n, m) for m in of_points], axis=1), of[bad], word[bad]
+
+
+FEATURES = 15
+
+
+def features(texts: list[str | None], lexicon: np.ndarray, insults: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A row of 15 dense features of each text."""
+    total, kinds = np.zeros((len(texts), 13)), [np.empty((2, 0), np.uint64)]
+    for held, text in pieces(texts):
+        counts, of, word = tallies(Texts(held), lexicon, insults, second)
+        np.add.at(total, text, counts)
+        kinds.append(np.unique(np.stack([text[of].astype(np.uint64), word]), axis=1))
+    distinct = np.bincount(np.unique(np.concatenate(kinds, axis=1), axis=1)[0].astype(np.int64), minlength=len(texts))
+    n, learned, fixed, near, you, shouted, inner, drawn, letters, upper, marks, asks, sign = total.T
+    words, letters = np.maximum(n, 1), np.maximum(letters, 1)
+    columns = [learned / words, np.log1p(learned), fixed / words, np.log1p(fixed), np.log1p(distinct), near / words, you / words, upper / letters]
+    return np.stack([*columns, shouted / words, marks / words, asks / words, sign / words, inner / words, drawn / words, np.log1p(n)], axis=1)
+
+
+def distinct_words(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct hashes of the words and beginnings of words of each text."""
+    found = [np.empty(0, np.uint64)] * len(texts)
+    for held, text in pieces(texts):
+        batch = Texts(held)
         start, _, word, stems = plain_words(batch)
         cuts = np.searchsorted(batch.of(start), np.arange(1, batch.count))
-        for k, own in enumerate(np.split(np.stack([word, *stems], axis=1), cuts)):
-            seen[labels[at + k]].append(np.unique(own))
-    held, n = np.unique(np.concatenate(seen[1]), return_counts=True)
-    toxic, clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    often = n >= max(least, toxic // 100)
-    held, n = held[often], n[often]
-    others = np.concatenate(seen[0])
-    others = np.sort(others[among(others, held)])
-    away = np.searchsorted(others, held, side="right") - np.searchsorted(others, held, side="left")
-    good = (n / toxic) / ((away + 0.5) / clean) >= times
-    held, n = held[good], n[good]
-    return np.sort(held[np.lexsort((held, -n))][:size])
+        for k, own in zip(text.tolist(), np.split(np.stack([word, *stems], axis=1), cuts), strict=True):
+            found[k] = np.unique(np.r_[found[k], own.ravel()])
+    return found
+
+
+#: A word of a lexicon is in so many toxic texts at least (or a hundredth of them), at so many times the rate of the others; words in a lexicon at most.
+LEAST, TIMES, SIZE = 4, 40.0, 400
+
+
+def lexicon_of(word: np.ndarray, held: np.ndarray, away: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Sorted hashes of the words whose counts of toxic texts (held) and of others (away) make them lexicon words."""
+    good = (held >= max(LEAST, toxic // 100)) & ((held / max(1, toxic)) / ((away + 0.5) / max(1, clean)) >= TIMES)
+    word, held = word[good], held[good]
+    return np.sort(word[np.lexsort((word, -held))][:SIZE])
 
 
 class Trees:
@@ -199,48 +207,79 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, int]], parts: int = 3, chunk: int = 256) -> None:
-        self.insults, self.second = hashed(INSULTS), hashed(SECOND_PERSON)
+    """A lexicon, trees over the features that it gives, and the steps that calibrate their scores."""
+
+    def __init__(self, tables: list[np.ndarray], y: np.ndarray, part: np.ndarray, lexicon: np.ndarray) -> None:
+        """tables: the features of all training texts with the lexicon of each part's others, and last with that of all; part: the part of each text."""
+        self.insults, self.second, self.lexicon = hashed(INSULTS), hashed(SECOND_PERSON), lexicon
         self.trees: Trees | None = None
-        y = np.array([label for _, label in rows], np.int64)
         if not 0 < y.sum() < len(y):
             self.steps = (np.array([0.0]), np.array([float(y.mean()) if len(y) else 0.0]))
             return
-        texts = [t for t, _ in rows]
-        fold = np.arange(len(y)) % parts
         away = np.zeros(len(y))
-        for k in range(parts):
-            train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            if not 0 < y[train].sum() < len(train):
-                continue
-            lexicon = learn_lexicon([texts[i] for i in train], y[train])
-            away[test] = Trees(self.table([texts[i] for i in train], lexicon, chunk), y[train]).odds(self.table([texts[i] for i in test], lexicon, chunk))
+        for k, x in enumerate(tables[:-1]):
+            train, test = np.flatnonzero(part != k), np.flatnonzero(part == k)
+            if 0 < y[train].sum() < len(train):
+                away[test] = Trees(x[train], y[train]).odds(x[test])
         self.steps = isotonic(away, y.astype(float))
-        self.lexicon = learn_lexicon(texts, y)
-        self.trees = Trees(self.table(texts, self.lexicon, chunk), y)
-
-    def table(self, texts: list[str | None], lexicon: np.ndarray, chunk: int) -> np.ndarray:
-        return np.concatenate([features(Texts(texts[at : at + chunk]), lexicon, self.insults, self.second) for at in range(0, len(texts), chunk)])
+        self.trees = Trees(tables[-1], y)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None or not texts:
             return np.full(len(texts), self.steps[1][0])
-        return np.interp(self.trees.odds(self.table(texts, self.lexicon, len(texts))), *self.steps)
+        return np.interp(self.trees.odds(features(texts, self.lexicon, self.insults, self.second)), *self.steps)
+
+
+def part_of(h: np.ndarray) -> np.ndarray:
+    return h % PARTS
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return Model(sample_texts(documents, labels, "toxic", FOLDS, HELD, sample))
+    """Learn from at most `sample` labelled rows that aren't held out."""
+    rows = once(lambda: sample_texts(documents, labels, "toxic", FOLDS, HELD, sample), "sample")
+    insults, second = hashed(INSULTS), hashed(SECOND_PERSON)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            found = distinct_words(batch.column(0).to_pylist())
+            size = [len(x) for x in found]
+            label, part = (np.repeat(x, size).astype(np.int32) for x in (batch.column(1).to_numpy(), part_of(batch.column(2).to_numpy())))
+            word = np.concatenate(found).view(np.int64)
+            for at in range(0, len(word), 100_000):
+                yield pa.record_batch([pa.array(x[at : at + 100_000]) for x in (word, label, part)], names=["word", "label", "part"])
+
+    per_part = [F.count(F.when((F.col("label") == label) & (F.col("part") == k), 1)).alias(f"n{label}{k}") for label in (1, 0) for k in range(PARTS)]
+    seen = rows.mapInArrow(count, "word long, label int, part int").groupBy("word").agg(*per_part)
+    seen = seen.where(sum(F.col(f"n1{k}") for k in range(PARTS)) >= LEAST).toArrow().to_pandas()
+    known = rows.select("label", "h").toArrow().to_pandas()
+    word, y, of = seen["word"].to_numpy().view(np.uint64), known["label"].to_numpy(), part_of(known["h"].to_numpy())
+    lexicons = []
+    for left_out in (*range(PARTS), None):
+        some = [k for k in range(PARTS) if k != left_out]
+        held, away = (seen[[f"n{label}{k}" for k in some]].to_numpy().sum(axis=1) for label in (1, 0))
+        of_some = np.isin(of, some)
+        lexicons.append(lexicon_of(word, held, away, int(y[of_some].sum()), int((1 - y[of_some]).sum())))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            texts = batch.column(0).to_pylist()
+            found = np.concatenate([features(texts, lexicon, insults, second) for lexicon in lexicons], axis=1)
+            yield pa.record_batch([batch.column(2), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["h", "label", "features"])
+
+    told = rows.mapInArrow(tables, "h long, label int, features binary").toArrow().to_pandas().sort_values("h")
+    x = np.array([np.frombuffer(b, np.float64) for b in told["features"]]).reshape(len(told), len(lexicons), FEATURES)
+    discard(rows)
+    return Model([x[:, k] for k in range(len(lexicons))], told["label"].to_numpy(), part_of(told["h"].to_numpy()), lexicons[-1])
 
 
 def without_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """documents without the rows that score `threshold` or more, in one pass."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
             yield batch.filter(pa.array(shared.value.scores(batch.column("text").to_pylist()) < threshold))
 
-    small_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 
+#: Characters of a piece of text at most, and of the pieces that are looked at together.
+PIECE_CHARS = 1_000_000
+
 #: Code points beyond have no letters.
 KNOWN = 0x32400
 SPACE, LETTER, UPPER, DIGIT = 1, 2, 4, 8
@@ -84,3 +88,31 @@ def hash_of(word: str) -> int:
 
 def per_text(of: np.ndarray, count: int, values: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(of, weights=values, minlength=count)
+
+
+def pieces(texts: list[str | None], size: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts in groups of about `size` characters, and the number of the text that each member is from; null is empty.
+
+    A longer text is cut behind the last blank or line end within the bound, so that words stay whole; a word that is longer than the
+    bound is cut in it. Where a text is cut depends on that text alone. Each text gives one piece at least.
+    """
+    size = size or PIECE_CHARS
+    held, of, total = [], [], 0
+    for k, text in enumerate(texts):
+        text, at = text or "", 0
+        while True:
+            end = at + size
+            if end < len(text):
+                cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end)) + 1
+                end = cut if cut > at else end
+            held.append(text[at:end])
+            of.append(k)
+            total += len(held[-1])
+            if total >= size:
+                yield held, np.array(of)
+                held, of, total = [], [], 0
+            at = end
+            if at >= len(text):
+                break
+    if held:
+        yield held, np.array(of)
