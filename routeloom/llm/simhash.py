@@ -394,6 +394,28 @@ def loose_links(banded: DataFrame, similarity: float, most: int) -> tuple[DataFr
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(search, "a binary, b binary").distinct(), split
 
 
+class Leaders:
+    """Up to LEADERS sets, as the distinct items of all with a bit for each set that has an item, so that one look-up counts for all sets."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        item, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(item, kind="stable")
+        item, of = item[order], of[order]
+        first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        self.items = item[first]
+        self.bits = np.bitwise_or.reduceat(np.uint64(1) << of.astype(np.uint64), first)
+
+    def similar(self, own: np.ndarray, similarity: float) -> list[int]:
+        """The sets whose Jaccard similarity with another is `similarity` or more."""
+        if not len(own):
+            return []
+        at = np.minimum(np.searchsorted(self.items, own), len(self.items) - 1)
+        hits = self.bits[at[self.items[at] == own]]
+        both = np.unpackbits(hits.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[: len(self.sizes)]
+        return np.flatnonzero(both >= similarity * (len(own) + self.sizes - both) - 1e-9).tolist()
+
+
 def similar_pairs(members: DataFrame, leaders: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
     """Links (a, b) between the members and the leaders of each group g whose sets have the similarity, by exact counts.
 
@@ -402,22 +424,21 @@ def similar_pairs(members: DataFrame, leaders: DataFrame, sets: DataFrame, simil
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, index = None, [], None
         for batch in batches:
             found = []
             for g, part, follows, node, component, items in zip(*(batch.column(c).to_pylist() for c in ("g", "part", "follows", "node", "component", "items")), strict=True):
                 if (g, part) != now:
-                    now, held = (g, part), []
+                    now, held, index = (g, part), [], None
                 own = np.frombuffer(items, np.uint64)
                 if not follows:
                     held.append((node, component, own))
                     continue
-                for leader, other, theirs in held:
-                    small, large = sorted((len(own), len(theirs)))
-                    if leader == node or other == component or small < similarity * large - 1e-9:
-                        continue
-                    both = len(np.intersect1d(own, theirs, assume_unique=True))
-                    if both >= similarity * (small + large - both) - 1e-9:
+                if held and index is None:
+                    index = Leaders([x for *_, x in held])
+                for k in index.similar(own, similarity) if index else ():
+                    leader, other, _ = held[k]
+                    if leader != node and other != component:
                         found.append((node, leader))
             yield pa.record_batch([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
