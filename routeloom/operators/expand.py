@@ -39,6 +39,7 @@ def closure(tops: DataFrame, edges: DataFrame, state: list[str], max_depth: int
             raise SetTooLarge(f"a set holds more than {max_visited} sets")
 
     key = ["top", *state]
+    edges = written(edges, "edges")
     frontier = written(tops.select(*key).distinct().withColumn("depth", F.lit(0)), "level")
     levels, depth = [frontier], 0
     while True:
@@ -86,15 +87,38 @@ def winners(rows: DataFrame, identity: list[str], precedence: tuple[str, ...], o
     return best.select(*identity, *[F.col(f"best.__{c}").alias(c) for c in rest])
 
 
+def scoped(source: Column | str, name: Column | str) -> Column:
+    return F.concat_ws("::", source, name)
+
+
+def named_sets(sets: DataFrame, precedence: tuple[str, ...]) -> DataFrame:
+    """(set_name, source, name): every set with the name that it is known by, its own if it wins by precedence and SOURCE::NAME if not."""
+    held = sets.select("set_name", "source").distinct()
+    won = winners(held, ["set_name"], precedence).withColumn("__won", F.lit(True))
+    name = F.when(F.col("__won"), F.col("set_name")).otherwise(scoped("source", "set_name"))
+    return held.join(won, ["set_name", "source"], "left").select("set_name", "source", name.alias("name"))
+
+
 def chosen_members(sets: DataFrame, members: DataFrame, precedence: tuple[str, ...]) -> DataFrame:
-    """Members of the sets that win by precedence."""
-    won = winners(sets.select("set_name", "source"), ["set_name"], precedence)
-    return members.join(won, ["set_name", "source"])
+    """Members of the sets that win by precedence.
+
+    Where members have a column child_source, a reference may name a registry: then the members of all sets are there under the names
+    of `named_sets`, and a child is the one of its registry, as SOURCE::NAME if that isn't the winner or isn't there at all.
+    """
+    if "child_source" not in members.columns:
+        won = winners(sets.select("set_name", "source"), ["set_name"], precedence)
+        return members.join(won, ["set_name", "source"])
+    names = named_sets(sets, precedence)
+    asked = names.select(F.col("set_name").alias("child"), F.col("source").alias("child_source"), F.col("name").alias("__child"))
+    own = members.join(names, ["set_name", "source"]).join(asked, ["child", "child_source"], "left")
+    child = F.when(F.col("child_source").isNull(), F.col("child")).otherwise(F.coalesce("__child", scoped("child_source", "child")))
+    told = {"set_name": F.col("name"), "child": child}
+    return own.select(*[told.get(c, F.col(c)).alias(c) for c in members.columns])
 
 
 def edges_of(members: DataFrame, sets: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     """(parent, child) between sets that exist and may nest; reserved and excluded names are never followed."""
-    nested = members.where(F.col("child").isNotNull() & ~F.upper("child").isin(*RESERVED))
+    nested = members.where(F.col("child").isNotNull() & ~F.upper(F.substring_index("child", "::", -1)).isin(*RESERVED))
     if excluded:
         nested = nested.where(~F.col("child").isin(*excluded))
     known = sets.select(F.col("set_name").alias("child")).distinct()
@@ -104,13 +128,15 @@ def edges_of(members: DataFrame, sets: DataFrame, excluded: list[str] | None = N
 def missing(reached: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """(top, missing): nested names that no registry has."""
     named = reached.join(members.where(F.col("child").isNotNull()), reached["node"] == members["set_name"]).select("top", F.col("child").alias("missing"))
-    return named.join(sets.select(F.col("set_name").alias("missing")), "missing", "left_anti").select("top", "missing").distinct()
+    known = sets.select(F.explode(F.array("set_name", scoped("source", "set_name"))).alias("missing"))
+    return named.join(known, "missing", "left_anti").select("top", "missing").distinct()
 
 
 def expand_sets(tops: DataFrame, sets: DataFrame, members: DataFrame, precedence: tuple[str, ...], excluded: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(top, node, depth) of all sets in the tops; a top is a column `top` and is never excluded itself."""
     own = chosen_members(sets, members, precedence)
-    return closure(tops.select("top", F.col("top").alias("node")), edges_of(own, sets, excluded), ["node"], max_depth)
+    known = named_sets(sets, precedence).select(F.col("name").alias("set_name")) if "child_source" in members.columns else sets
+    return closure(tops.select("top", F.col("top").alias("node")), edges_of(own, known, excluded), ["node"], max_depth)
 
 
 def allowed_claims(sets: DataFrame, claims: DataFrame) -> DataFrame:
@@ -138,24 +164,39 @@ def originated(asns: DataFrame, routes: DataFrame) -> DataFrame:
     return asns.join(routes, asns["asn"] == routes["origin"]).select("top", "addr", "plen").distinct()
 
 
-def expand_ranges(tops: DataFrame, members: DataFrame, max_rounds: int = 66 * MAX_DEPTH) -> DataFrame:
+def expand_ranges(tops: DataFrame, members: DataFrame, routes: DataFrame | None = None, claims: DataFrame | None = None, max_rounds: int = 66 * MAX_DEPTH) -> DataFrame:
     """(top, addr, plen, lo, hi) of route-sets, operators composed along each path.
 
+    members are those chosen by precedence and scope (see `chosen_members`), of route-sets and of the as-sets in them. Prefixes count with
+    their operators; AS numbers, those of nested as-sets and of claiming aut-nums included, with the routes that they originate in any
+    registry; claiming routes with their own prefix. claims are the allowed ones (class, asn, addr, plen, member_of). Without routes
+    or claims only what is listed counts.
+
     A state is a set with the operator stack of the path to it, so that the closure is a least fixpoint over (set, stack). Rounds
     are bounded by how often a lower bound can rise along a path, not by the depth of sets.
     """
     stack = ["a", "c", "k", "h"]
     start = tops.select("top", F.col("top").alias("node"), *[F.lit(None if x == "h" else 0).cast("int").alias(x) for x in stack])
-    nested = members.where(F.col("child").isNotNull()).select(F.col("set_name").alias("parent"), "child", "op")
+    may_nest = nestable(class_of(F.col("set_name")), class_of(F.col("child"))) & ~F.upper(F.substring_index("child", "::", -1)).isin(*RESERVED)
+    nested = members.where(F.col("child").isNotNull() & may_nest).select(F.col("set_name").alias("parent"), "child", "op").distinct()
 
     def step(joined: DataFrame) -> list[Column]:
         pushed = push_operator({x: F.col(x) for x in stack}, F.col("op"))
         return [F.col("child").alias("node"), *[pushed[x].alias(x) for x in stack]]
 
     states = closure(start, nested, ["node", *stack], max_rounds, step=step)
-    direct = members.where(F.col("addr").isNotNull()).select("set_name", "addr", "plen", "op")
+    leaves = members.where(F.col("addr").isNotNull()).select("set_name", "addr", F.col("plen").cast("int").alias("plen"), "op")
+    numbers = members.where(F.col("asn").isNotNull()).select("set_name", "asn", "op") if "asn" in members.columns else None
+    if claims is not None:
+        named = F.col("member_of").alias("set_name")
+        leaves = leaves.union(claims.where("addr IS NOT NULL").select(named, "addr", F.col("plen").cast("int"), F.lit("")))
+        claimed = claims.where("addr IS NULL AND asn IS NOT NULL").select(named, "asn", F.lit("").alias("op"))
+        numbers = claimed if numbers is None else numbers.union(claimed)
+    if routes is not None and numbers is not None:
+        held = routes.select(F.col("origin").alias("asn"), "addr", F.col("plen").cast("int").alias("plen")).distinct()
+        leaves = leaves.union(numbers.distinct().join(held, "asn").select("set_name", "addr", "plen", "op"))
     low, high = apply_operator(F.col("plen"), F.col("plen"), F.col("op"))
-    leaves = direct.withColumns({"lo": low, "hi": high}).where(F.col("lo").isNotNull()).select("set_name", "addr", "plen", "lo", "hi")
+    leaves = leaves.withColumns({"lo": low, "hi": high}).where(F.col("lo").isNotNull()).select("set_name", "addr", "plen", "lo", "hi")
     joined = states.join(leaves, states["node"] == leaves["set_name"])
     low, high = apply_stack(F.col("lo"), F.col("hi"), {x: F.col(x) for x in stack})
     return joined.select("top", "addr", "plen", low.alias("lo"), high.alias("hi")).where(F.col("lo").isNotNull()).distinct()

@@ -7,10 +7,12 @@ positive and none of its negative literals hold.
 
 from __future__ import annotations
 
+import heapq
 import ipaddress
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,14 +111,25 @@ def resolved(literals: DataFrame, set_ranges: DataFrame, routes: DataFrame) -> D
         for batch in batches:
             yield pa.RecordBatch.from_pylist([r for x in batch.column(0).to_pylist() for r in literal_rows(x)], LITERAL)
 
-    rows = literals.select("literal").distinct().mapInArrow(run, "literal string, kind string, name string, asn long, op string, addr long, plen int")
+    rows = written(literals.select("literal").distinct().mapInArrow(run, "literal string, kind string, name string, asn long, op string, addr long, plen int"), "literals")
     columns = ["literal", "op", "addr", "plen", "lo", "hi"]
     listed = rows.where("kind = 'prefix'").withColumns({"lo": F.col("plen"), "hi": F.col("plen")}).select(*columns)
     own = rows.where("kind = 'as'").drop("addr", "plen").join(routes.select("origin", "addr", F.col("plen").cast("int").alias("plen")), F.col("asn") == F.col("origin")).withColumns({"lo": F.col("plen"), "hi": F.col("plen")}).select(*columns)
     held = rows.where("kind = 'set'").drop("addr", "plen").join(set_ranges.select("top", "addr", *[F.col(c).cast("int").alias(c) for c in ("plen", "lo", "hi")]), F.col("name") == F.col("top")).select(*columns)
     low, high = apply_operator(F.col("lo"), F.col("hi"), F.col("op"))
     all_ranges = listed.unionByName(own).unionByName(held).select(F.col("literal").alias("space"), "addr", "plen", low.alias("lo"), high.alias("hi")).where(F.col("lo").isNotNull())
-    return space.sweep({"a": space.intervals(all_ranges)}, F.col("a") > 0)
+    return written(space.sweep({"a": space.intervals(all_ranges)}, F.col("a") > 0), "resolved")
+
+
+def literals_of(found: DataFrame) -> DataFrame:
+    """(literal): the distinct prefix literals of all terms."""
+    return found.select(F.explode("conjuncts").alias("c")).select(F.explode(F.concat("c.positive", "c.negative")).alias("literal")).distinct()
+
+
+def sets_of(literals: DataFrame) -> DataFrame:
+    """(top): the sets that literals name, whatever operators stand behind them."""
+    name = F.regexp_replace("literal", r"\^.*$", "")
+    return literals.where(~F.col("literal").startswith("{")).select(name.alias("top")).where(F.col("top").rlike(r"(^|:)(AS|RS)-")).distinct()
 
 
 def conjunct_spaces(conjuncts: DataFrame, literals: DataFrame) -> DataFrame:
@@ -185,14 +198,14 @@ def findings(found: DataFrame, literals: DataFrame, aut_nums: DataFrame) -> Data
         ("undecided", "not-imported"): (es | em) & ~im & ~(es & ~mm),
         ("undecided", "not-exported"): (im | mm) & ~es & ~(im & ~em),
     }
-    out = None
-    for (kind, of), keep in kinds.items():
-        held = space.sweep(layers, keep)
-        listed = space.ranges(held).groupBy("space").agg(F.sort_array(F.collect_list(F.struct("addr", "plen", "lo", "hi"))).alias("r"))
-        first = space.example(held).select("space", prefix_text(F.col("addr"), F.col("plen")).alias("example"))
-        text = F.transform(F.slice("r", 1, MAX_RANGES), lambda r: F.concat(prefix_text(r["addr"], r["plen"]), F.lit("^"), r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string")))
-        rows = listed.join(first, "space").select("space", F.lit(kind).alias("kind"), F.lit(of).alias("of_kind"), "example", text.alias("ranges"), (F.size("r") > MAX_RANGES).alias("truncated"))
-        out = rows if out is None else out.unionByName(rows)
+    number = {f"{kind}/{of}": keep for (kind, of), keep in kinds.items()}
+    key = F.concat_ws("|", "space", "kind")
+    held = written(space.sweeps(layers, number).select(key.alias("space"), "plen", "lo", "hi"), "findings")
+    listed = space.ranges(held).groupBy("space").agg(F.sort_array(F.collect_list(F.struct("addr", "plen", "lo", "hi"))).alias("r"))
+    first = space.example(held).select("space", prefix_text(F.col("addr"), F.col("plen")).alias("example"))
+    text = F.transform(F.slice("r", 1, MAX_RANGES), lambda r: F.concat(prefix_text(r["addr"], r["plen"]), F.lit("^"), r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string")))
+    parts = F.split(F.substring_index("space", "|", -1), "/")
+    out = listed.join(first, "space").select(F.substring_index("space", "|", 1).alias("space"), parts[0].alias("kind"), parts[1].alias("of_kind"), "example", text.alias("ranges"), (F.size("r") > MAX_RANGES).alias("truncated"))
     nothing = [F.lit("").alias("of_kind"), F.lit(None).cast("string").alias("example"), F.array().cast("array<string>").alias("ranges"), F.lit(False).alias("truncated")]
     known = aut_nums.select(F.col("asn").cast("long").alias("asn")).distinct()
     ends = lambda c: F.split(c, ">")
@@ -214,18 +227,34 @@ def missing_sets(found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shadowed(found: DataFrame, spaces: DataFrame) -> DataFrame:
-    """(asn, attr, ord, term, peer) of terms that earlier terms for the same peer cover wholly; empty terms aren't told here."""
-    place = F.struct("ord", "term")
+    """(asn, attr, ord, term, peer) of terms that earlier terms for the same peer cover wholly; empty terms aren't told here.
+
+    Of the terms of one AS for one peer, those that are the first to hold some prefix are found by one pass over the ends of their
+    intervals of each length, with the terms that hold the place in a heap; the others are shadowed. One AS's policy for one peer and
+    length is the largest group.
+    """
     keys = ["asn", "attr", "peer"]
-    mine = spaces.select(*keys, place.alias("place"), "plen", "lo", "hi")
-    order = found.where("rule IS NULL AND peer IS NOT NULL").select(*keys, place.alias("place")).distinct()
-    later = order.select(*keys, F.col("place").alias("after"))
-    name = F.concat_ws("/", "asn", "attr", "peer", F.col("after.ord"), F.col("after.term"))
-    earlier = mine.join(later, keys).where(F.col("place") < F.col("after")).select(name.alias("space"), "plen", "lo", "hi")
-    own = mine.select(*keys, F.col("place").alias("after"), "plen", "lo", "hi").select(name.alias("space"), "plen", "lo", "hi")
-    left = space.not_subset(own, earlier)
-    covered = own.select("space").distinct().join(left, "space", "left_anti")
-    return later.withColumn("space", name).join(covered, "space").select("asn", "attr", F.col("after.ord").alias("ord"), F.col("after.term").alias("term"), "peer")
+    held = spaces.where("peer IS NOT NULL").select(*keys, "ord", "term", "plen", "lo", "hi")
+
+    def visible(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lo")
+        place = list(zip(rows["ord"].tolist(), rows["term"].tolist(), strict=True))
+        lo, hi = rows["lo"].tolist(), rows["hi"].tolist()
+        heap, seen, k = [], set(), 0
+        for at in sorted({*lo, *hi}):
+            while k < len(lo) and lo[k] <= at:
+                heapq.heappush(heap, (place[k], hi[k]))
+                k += 1
+            while heap and heap[0][1] <= at:
+                heapq.heappop(heap)
+            if heap:
+                seen.add(heap[0][0])
+        first = rows.iloc[0]
+        return pd.DataFrame([(first["asn"], first["attr"], first["peer"], o, t) for o, t in sorted(seen)], columns=[*keys, "ord", "term"])
+
+    told = held.groupBy(*keys, "plen").applyInPandas(visible, "asn long, attr string, peer long, ord int, term int").distinct()
+    terms = held.select(*keys, "ord", "term").distinct()
+    return terms.join(told, [*keys, "ord", "term"], "left_anti").select("asn", "attr", "ord", "term", "peer")
 
 
 def empty(found: DataFrame, spaces: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from . import cover, expand
 
 @dataclass
 class Tables:
-    """sets (set_name, class, source, mbrs_by_ref), members (set_name, source, asn, child), routes (addr, plen, key, origin, source),
+    """sets (set_name, class, source, mbrs_by_ref), members (set_name, source, asn, child), routes (af, prefix, plen, key, origin, source) of
+    both families, or (addr, plen, key, origin, source) of IPv4 alone,
     objects (class, pk, source, text), attributes (class, pk, source, name, value); sources in order of precedence, with serials."""
 
     sets: DataFrame
@@ -86,7 +87,7 @@ class Session:
             m = re.match(r"^([46]?)(.+)$", arg)
             if not m:
                 raise Refused("Missing set name")
-            return self.set_prefixes(m[2].upper())
+            return self.set_prefixes(m[2].upper(), [int(m[1])] if m[1] else [4, 6])
         if command == "m":
             kind, _, key = arg.partition(",")
             return self.object(kind.lower(), key)
@@ -116,12 +117,21 @@ class Session:
         return int(m[1])
 
     def originated(self, text: str, family: int) -> str:
-        routes = self.own(self.tables.routes).where(F.col("origin") == self.asn(text))
-        found = routes.select("addr", "plen", prefix_text(F.col("addr"), F.col("plen")).alias("p")).distinct().orderBy("addr", "plen") if family == 4 else routes.limit(0).select("addr", "plen", F.lit("").alias("p"))
-        rows = [r["p"] for r in found.collect()]
-        if not rows:
+        found = self.listed(self.routes(family).where(F.col("origin") == self.asn(text)))
+        if not found:
             raise NotThere
-        return " ".join(rows)
+        return " ".join(found)
+
+    def routes(self, family: int) -> DataFrame:
+        """(prefix, plen, key, origin, source) of the routes of a family in the selected registries."""
+        held = self.own(self.tables.routes)
+        if "af" in held.columns:
+            return held.where(F.col("af") == family).select("prefix", "plen", "key", "origin", "source")
+        return held.where(F.lit(family == 4)).select(prefix_text(F.col("addr"), F.col("plen")).alias("prefix"), "plen", "key", "origin", "source")
+
+    def listed(self, routes: DataFrame) -> list[str]:
+        """Distinct prefixes by address, then length."""
+        return [r["prefix"] for r in routes.select("prefix", "plen", "key").distinct().orderBy(F.rpad("key", 128, "0"), "plen").collect()]
 
     def closure(self, name: str) -> tuple[DataFrame, DataFrame]:
         sets, members = self.own(self.tables.sets), self.own(self.tables.members)
@@ -142,10 +152,10 @@ class Session:
             found = own.select(F.coalesce(F.concat(F.lit("AS"), F.col("asn").cast("string")), "child").alias("m"), F.col("asn").alias("n"))
         return " ".join(r["m"] for r in found.distinct().orderBy(F.col("n").asc_nulls_last(), "m").collect())
 
-    def set_prefixes(self, name: str) -> str:
+    def set_prefixes(self, name: str, families: list[int]) -> str:
         nodes, own = self.closure(name)
-        found = expand.originated(expand.expand_as(nodes, own), self.own(self.tables.routes)).orderBy("addr", "plen")
-        return " ".join(r["p"] for r in found.select("addr", "plen", prefix_text(F.col("addr"), F.col("plen")).alias("p")).collect())
+        asns = expand.expand_as(nodes, own).select(F.col("asn").alias("origin"))
+        return " ".join(p for family in families for p in self.listed(self.routes(family).join(asns, "origin", "left_semi")))
 
     def object(self, kind: str, key: str) -> str:
         found = self.own(self.tables.objects).where((F.col("class") == kind) & (F.upper("pk") == key.strip().upper()))
@@ -159,10 +169,8 @@ class Session:
             net = ipaddress.ip_network(prefix.strip(), strict=False)
         except ValueError as e:
             raise Refused("Malformed prefix") from e
-        if net.version != 4:
-            raise NotThere
-        key = f"{int(net.network_address):032b}"[: net.prefixlen]
-        routes = self.own(self.tables.routes)
+        key = f"{int(net.network_address):0{net.max_prefixlen}b}"[: net.prefixlen]
+        routes = self.routes(net.version)
         asked = routes.sparkSession.createDataFrame([(key, net.prefixlen)], "key string, plen int")
         if option in ("", "o"):
             found = routes.where(F.col("key") == key)
@@ -174,13 +182,13 @@ class Session:
             found = cover.more_specific(routes, asked)
         else:
             raise Refused("Unknown option")
-        rows = found.select("addr", "plen", "origin", "source").distinct().orderBy("plen", "addr", "origin", "source").collect()
+        rows = found.select("prefix", "plen", "key", "origin", "source").distinct().orderBy("plen", "key", "origin", "source").collect()
         if not rows:
             raise NotThere
         if option == "o":
             return " ".join(f"AS{n}" for n in sorted({r["origin"] for r in rows}))
-        dotted = lambda a: str(ipaddress.ip_address(a))
-        return "\n\n".join(f"route: {dotted(r['addr'])}/{r['plen']}\norigin: AS{r['origin']}\nsource: {r['source']}" for r in rows)
+        name = "route" if net.version == 4 else "route6"
+        return "\n\n".join(f"{name}: {r['prefix']}\norigin: AS{r['origin']}\nsource: {r['source']}" for r in rows)
 
     def ripe(self, line: str) -> str:
         """Text look-ups with flags: -i (inverse), -T (class), -s (sources), -K (keys only), -k, -r and -V (accepted); others are refused."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import V4_BITS
+
 #: (class, attribute, required, single) of a profile. A class that isn't listed is unknown.
 Spec = list[tuple[str, str, bool, bool]]
 
@@ -38,10 +40,15 @@ def violations(attributes: DataFrame, spec: Spec) -> DataFrame:
 
 
 def latest(mutations: DataFrame) -> DataFrame:
-    """The state after upserts and deletions in the order of seq: the last row of each (class, pk, source), unless it deletes."""
-    rest = [c for c in mutations.columns if c not in ("class", "pk", "source")]
-    last = mutations.groupBy("class", "pk", "source").agg(F.max(F.struct("seq", *[c for c in rest if c != "seq"])).alias("last"))
-    return last.where(F.col("last.operation") != "DEL").select("class", "pk", "source", *[F.col(f"last.{c}").alias(c) for c in rest if c != "operation"])
+    """The state after upserts and deletions in the order of seq: the last row of each (class, pk, source), unless it deletes.
+
+    Rows of one seq come in the order of a column `place`, if there is one; it isn't part of the state.
+    """
+    order = [c for c in ("seq", "place") if c in mutations.columns]
+    rest = [c for c in mutations.columns if c not in ("class", "pk", "source", *order)]
+    last = mutations.groupBy("class", "pk", "source").agg(F.max(F.struct(*order, *rest)).alias("last"))
+    kept = [c for c in mutations.columns if c not in ("class", "pk", "source", "operation", "place")]
+    return last.where(F.col("last.operation") != "DEL").select("class", "pk", "source", *[F.col(f"last.{c}").alias(c) for c in kept])
 
 
 def merge(own: DataFrame, other: DataFrame) -> DataFrame:
@@ -105,16 +112,12 @@ def as_list_lines(asns: DataFrame, name: str, width: int = 8) -> DataFrame:
 
 
 def aggregate(prefixes: DataFrame) -> DataFrame:
-    """Prefixes without those that another covers, and with sibling pairs joined, level by level from the longest: (name, addr, plen)."""
-    from .cover import covering, with_key
-
-    keyed = with_key(prefixes.select("name", "addr", "plen").distinct())
-    covered = covering(keyed, keyed).where((F.col("name") == F.col("cover_name")) & (F.col("cover_plen") < F.col("plen"))).select("name", "key").distinct()
-    level = keyed.join(covered, ["name", "key"], "left_anti").select("name", "addr", "plen")
-    lengths = [r[0] for r in level.select("plen").distinct().collect()]
-    for n in range(max(lengths, default=0), 0, -1):
-        size = 1 << (32 - n)
-        parent = (F.floor(F.col("addr") / (2 * size)) * (2 * size)).cast("long")
-        pairs = level.withColumns({"__up": F.when(F.col("plen") == n, parent).otherwise(F.col("addr"))}).groupBy("name", "__up", F.when(F.col("plen") == n, -1).otherwise(F.col("plen")).alias("__g")).agg(F.count("*").alias("__n"), F.min("addr").alias("addr"), F.min("plen").alias("plen"))
-        level = pairs.select("name", "addr", F.when((F.col("__g") == -1) & (F.col("__n") == 2), F.lit(n - 1)).otherwise(F.col("plen")).alias("plen")).distinct()
-    return level
+    """The fewest prefixes (name, addr, plen) that cover the same addresses: none that another covers, and no pair of siblings.
+
+    Addresses as intervals, merged in one sweep, and each interval cut into aligned blocks.
+    """
+    from . import space
+
+    begin = F.col("addr")
+    held = prefixes.select(F.col("name").alias("space"), F.lit(V4_BITS).alias("plen"), begin.alias("lo"), (begin + space.power(F.lit(V4_BITS) - F.col("plen"))).alias("hi"))
+    return space.ranges(space.sweep({"a": held}, F.col("a") > 0)).select(F.col("space").alias("name"), "addr", "plen")

@@ -115,10 +115,10 @@ def claims_rejected(spark, sf_dir):
     return claims.join(expand.allowed_claims(sets, claims), ["asn", "member_of"], "left_anti").select("asn", "member_of", "source")
 
 
-@query(after(f"{ASNS}, {CLAIMED}", "SELECT top, asn FROM asns WHERE top LIKE 'AS-R%' UNION SELECT top, allowed.asn FROM reached JOIN allowed ON member_of = node WHERE top LIKE 'AS-R%'"), "sets", "members", "claims")
+@query(after(f"{ASNS}, {CLAIMED}", "SELECT top, asn FROM asns UNION SELECT top, allowed.asn FROM reached JOIN allowed ON member_of = node"), "sets", "members", "claims")
 def claimed_closure(spark, sf_dir):
     sets, claims = load(spark, sf_dir, "sets", "claims")
-    nodes, members = reached(spark, sf_dir, sets.where(F.col("set_name").startswith("AS-R")).select(F.col("set_name").alias("top")))
+    nodes, members = reached(spark, sf_dir)
     return expand.expand_as(nodes, members, expand.allowed_claims(sets, claims))
 
 
@@ -189,11 +189,11 @@ def route_set_ranges(spark, sf_dir):
 
 
 @query(
-    after(LEAVES, "SELECT set_name, count(*) AS n FROM (SELECT DISTINCT set_name, n.l AS l, addr + i.i * (1 << (32 - n.l)) AS a FROM leaves, range(24, 29) n(l), range(0, 32) i(i) WHERE lo <= hi AND n.l BETWEEN lo AND least(hi, 28) AND i.i < (1 << (n.l - plen))) GROUP BY set_name"),
+    after(LEAVES, "SELECT set_name, count(*) AS n FROM (SELECT DISTINCT set_name, n.l AS l, addr + i.i * (1 << (32 - n.l)) AS a FROM leaves, range(23, 33) n(l), range(0, 512) i(i) WHERE lo <= hi AND n.l BETWEEN lo AND hi AND i.i < (1 << (n.l - plen))) GROUP BY set_name"),
     "range_members",
 )
 def materialize_ranges(spark, sf_dir):
-    ranges = range_apply_operator(spark, sf_dir).withColumn("hi", F.least("hi", F.lit(28))).where("lo <= hi")
+    ranges = range_apply_operator(spark, sf_dir)
     made = ranges.select("set_name", F.explode(px.materialized(F.col("addr"), F.col("plen"), F.col("lo"), F.col("hi"))).alias("p"))
     return made.select("set_name", "p.*").distinct().groupBy("set_name").agg(F.count("*").alias("n"))
 
@@ -226,13 +226,13 @@ def range_intersect(spark, sf_dir):
 
 # ---- route search, RPKI
 
-SEARCH = f"keyed AS (SELECT DISTINCT addr, plen, {KEYED}, origin FROM routes), asked AS (SELECT DISTINCT key, plen FROM keyed WHERE plen = 26)"
+SEARCH = f"keyed AS (SELECT DISTINCT addr, plen, {KEYED}, origin FROM routes), asked AS (SELECT DISTINCT key, plen FROM keyed)"
 
 
 def searched(spark, sf_dir):
     (routes,) = load(spark, sf_dir, "routes")
     keyed = cover.with_key(routes).select("addr", "plen", "key", "origin").distinct()
-    return keyed, keyed.where("plen = 26").select("key", "plen").distinct()
+    return keyed, keyed.select("key", "plen").distinct()
 
 
 @query(after(SEARCH, "SELECT key, origin FROM keyed JOIN asked USING (key, plen)"), "routes")
@@ -253,10 +253,9 @@ def route_search_one_less(spark, sf_dir):
     return cover.one_level_less(keyed, asked).select("key", F.col("cover_plen").cast("int").alias("plen"), F.col("cover_origin").alias("origin"))
 
 
-@query(after(SEARCH.replace("plen = 26", "plen = 24"), "SELECT asked.key, keyed.key AS found, keyed.origin FROM asked JOIN keyed ON starts_with(keyed.key, asked.key) AND keyed.plen > asked.plen"), "routes")
+@query(after(SEARCH, "SELECT asked.key, keyed.key AS found, keyed.origin FROM asked JOIN keyed ON starts_with(keyed.key, asked.key) AND keyed.plen > asked.plen"), "routes")
 def route_search_more(spark, sf_dir):
-    keyed, _ = searched(spark, sf_dir)
-    asked = keyed.where("plen = 24").select("key", "plen").distinct()
+    keyed, asked = searched(spark, sf_dir)
     return cover.more_specific(keyed, asked).select(F.col("cover_key").alias("key"), F.col("key").alias("found"), "origin")
 
 
@@ -414,14 +413,14 @@ def corpus_merge(spark, sf_dir):
 
 # ---- prefix spaces
 
-SPACES = f"{LEAVES}, ranges AS (SELECT DISTINCT substr(set_name, 1, 5) AS space, addr, plen, lo, least(hi, 28) AS hi FROM leaves WHERE lo <= least(hi, 28))"
+SPACES = f"{LEAVES}, ranges AS (SELECT DISTINCT substr(set_name, 1, 5) AS space, addr, plen, lo, hi FROM leaves WHERE lo <= hi)"
 #: Every prefix listed: intervals are checked by what they hold.
-LISTED = f"{SPACES}, listed AS (SELECT DISTINCT space, n.l AS l, (addr >> (32 - n.l)) + i.i AS i FROM ranges, range(24, 29) n(l), range(0, 32) i(i) WHERE n.l BETWEEN lo AND hi AND i.i < (1 << (n.l - plen)))"
+LISTED = f"{SPACES}, listed AS (SELECT DISTINCT space, n.l AS l, (addr >> (32 - n.l)) + i.i AS i FROM ranges, range(23, 33) n(l), range(0, 512) i(i) WHERE n.l BETWEEN lo AND hi AND i.i < (1 << (n.l - plen)))"
 
 
 def spaces(spark, sf_dir):
-    ranges = range_apply_operator(spark, sf_dir).select(F.substring("set_name", 1, 5).alias("space"), "addr", "plen", "lo", F.least("hi", F.lit(28)).alias("hi"))
-    return ranges.where("lo <= hi").distinct()
+    ranges = range_apply_operator(spark, sf_dir).select(F.substring("set_name", 1, 5).alias("space"), "addr", "plen", "lo", "hi")
+    return ranges.distinct()
 
 
 def pair(spark, sf_dir):
@@ -455,11 +454,9 @@ def space_intersect(spark, sf_dir):
 
 @query(after(LISTED, "SELECT DISTINCT space, space NOT IN (SELECT space FROM listed WHERE (l, i) NOT IN (SELECT (l, i) FROM listed WHERE space = 'RS-B1')) AS inside FROM listed"), "range_members")
 def space_subset(spark, sf_dir):
-    held = spaces(spark, sf_dir)
-    names = held.select("space").distinct()
-    whole = space.intervals(held.where("space = 'RS-B1'")).drop("space")
-    outside = space.not_subset(space.intervals(held), names.join(whole))
-    return names.join(outside.withColumn("__out", F.lit(True)), "space", "left").select("space", F.col("__out").isNull().alias("inside"))
+    """Which spaces lie inside that of RS-B1: by the prefixes that they share with it and hold in all, so that one is never copied for all others."""
+    held = written(space.sweep({"a": space.intervals(spaces(spark, sf_dir))}, F.col("a") > 0), "spaces")
+    return space.inside(held, held.where("space = 'RS-B1'").drop("space")).select("space", "inside")
 
 
 @query(after(LISTED, f"SELECT space, concat({TEXT.format('(i << (32 - l))')}, '/', l) AS prefix FROM (SELECT *, row_number() OVER (PARTITION BY space ORDER BY l, i) AS rn FROM listed) WHERE rn = 1"), "range_members")
@@ -468,11 +465,17 @@ def space_example(spark, sf_dir):
     return found.select("space", px.prefix_text(F.col("addr"), F.col("plen")).alias("prefix"))
 
 
-@query(after(LISTED, "SELECT space, count(*) AS prefixes FROM listed GROUP BY space"), "range_members")
+#: A block of length b at a place holds all prefixes of a length l below it; the shortest such blocks of each length, then runs of lengths.
+CANONICAL = f"""{LISTED}, blocks AS (SELECT space, l, b.b AS b, i >> (l - b.b) AS j FROM listed, range(0, 33) b(b) WHERE b.b <= l GROUP BY ALL HAVING count(*) = (1::BIGINT << (l - b.b))),
+    longest AS (SELECT * FROM blocks x WHERE NOT EXISTS (SELECT 1 FROM blocks y WHERE y.space = x.space AND y.l = x.l AND y.b = x.b - 1 AND y.j = x.j >> 1)),
+    runs AS (SELECT *, l - row_number() OVER (PARTITION BY space, b, j ORDER BY l) AS g FROM longest)"""
+
+
+@query(after(CANONICAL, "SELECT space, j << (32 - b) AS addr, b::INTEGER AS plen, min(l)::INTEGER AS lo, max(l)::INTEGER AS hi FROM runs GROUP BY space, b, j, g"), "range_members")
 def space_ranges(spark, sf_dir):
-    """The canonical ranges of each space, by the prefixes that they hold (they are disjoint, so the sums agree)."""
+    """The canonical ranges of each space: of each aligned block that no longer one holds, and of each run of its lengths, one row."""
     canonical = space.ranges(space.sweep({"a": space.intervals(spaces(spark, sf_dir))}, F.col("a") > 0))
-    return canonical.groupBy("space").agg(F.sum(px.range_size(F.col("plen"), F.col("lo"), F.col("hi"))).alias("prefixes"))
+    return canonical.select("space", "addr", *[F.col(c).cast("int").alias(c) for c in ("plen", "lo", "hi")])
 
 
 # ---- lists
@@ -484,17 +487,17 @@ def as_list_lines(spark, sf_dir):
     return registry.as_list_lines(nums, "as-list", 8)
 
 
-@query(after(ASNS, f"SELECT top, concat_ws(chr(10), 'no ip prefix-list ' || top, string_agg(line, chr(10) ORDER BY addr, plen)) AS text FROM (SELECT DISTINCT top, addr, plen, concat('ip prefix-list ', top, ' permit ', {TEXT.format('addr')}, '/', plen) AS line FROM asns JOIN routes ON origin = asn WHERE top LIKE 'AS-R%') GROUP BY top"), "sets", "members", "routes")
+@query(after(ASNS, f"SELECT top, concat_ws(chr(10), 'no ip prefix-list ' || top, string_agg(line, chr(10) ORDER BY addr, plen)) AS text FROM (SELECT DISTINCT top, addr, plen, concat('ip prefix-list ', top, ' permit ', {TEXT.format('addr')}, '/', plen) AS line FROM asns JOIN routes ON origin = asn) GROUP BY top"), "sets", "members", "routes")
 def prefix_list_text(spark, sf_dir):
-    sets, routes = load(spark, sf_dir, "sets", "routes")
-    nodes, members = reached(spark, sf_dir, sets.where(F.col("set_name").startswith("AS-R")).select(F.col("set_name").alias("top")))
+    (routes,) = load(spark, sf_dir, "routes")
+    nodes, members = reached(spark, sf_dir)
     found = expand.originated(expand.expand_as(nodes, members), routes)
     line = F.concat(F.lit("ip prefix-list "), F.col("top"), F.lit(" permit "), px.prefix_text(F.col("addr"), F.col("plen")))
     listed = found.groupBy("top").agg(F.sort_array(F.collect_list(F.struct("addr", "plen", line.alias("line")))).alias("rows"))
     return listed.select("top", F.concat_ws("\n", F.concat(F.lit("no ip prefix-list "), F.col("top")), F.array_join("rows.line", "\n")).alias("text"))
 
 
-AGGREGATED = f"""keyed AS (SELECT DISTINCT {KEYED} FROM routes WHERE origin % 10 = 1),
+AGGREGATED = f"""keyed AS (SELECT DISTINCT {KEYED} FROM routes),
     bare AS (SELECT key FROM keyed WHERE NOT EXISTS (SELECT 1 FROM keyed k WHERE starts_with(keyed.key, k.key) AND k.key <> keyed.key)),
     joined AS (SELECT key, 33 AS step FROM bare UNION ALL SELECT DISTINCT CASE WHEN length(key) = step - 1 AND n = 2 THEN substr(key, 1, step - 2) ELSE key END, step - 1 FROM (SELECT key, step, count(*) OVER (PARTITION BY step, length(key), CASE WHEN length(key) = step - 1 THEN substr(key, 1, step - 2) ELSE key END) AS n FROM joined WHERE step > 1))"""
 
@@ -502,7 +505,7 @@ AGGREGATED = f"""keyed AS (SELECT DISTINCT {KEYED} FROM routes WHERE origin % 10
 @query(after(AGGREGATED, "SELECT DISTINCT key FROM joined WHERE step = (SELECT min(step) FROM joined)"), "routes")
 def aggregate_prefixes(spark, sf_dir):
     (routes,) = load(spark, sf_dir, "routes")
-    made = registry.aggregate(routes.where("origin % 10 = 1").select(F.lit("x").alias("name"), "addr", "plen"))
+    made = registry.aggregate(routes.select(F.lit("x").alias("name"), "addr", "plen"))
     return cover.with_key(made).select("key")
 
 
@@ -512,12 +515,17 @@ def aggregate_prefixes(spark, sf_dir):
 def policy_tables(spark, sf_dir):
     policies, members, routes = load(spark, sf_dir, "policies", "range_members", "routes")
     found = written(policy.terms(policies), "terms")
-    named = found.select(F.explode("conjuncts").alias("c")).select(F.explode(F.concat("c.positive", "c.negative")).alias("literal"))
-    ranges = expand.expand_ranges(members.select(F.col("set_name").alias("top")).distinct(), members)
-    literals = policy.resolved(named, ranges, routes)
+    literals = resolved_literals(found, members, routes)
     return found, written(policy.term_spaces(found, literals), "spaces")
 
 
+def resolved_literals(found, members, routes):
+    """The spaces of all literals; only the sets that they name are expanded."""
+    named = written(policy.literals_of(found), "named")
+    tops = policy.sets_of(named).join(members.select(F.col("set_name").alias("top")).distinct(), "top", "left_semi")
+    return policy.resolved(named, expand.expand_ranges(tops, members), routes)
+
+
 @query("SELECT asn, attr, ord::INTEGER AS ord, CASE WHEN text = 'from accept' THEN NULL ELSE regexp_extract(text, '^(?:from|to) AS([0-9]+)', 1)::BIGINT END AS peer, nullif(regexp_extract(text, 'pref=([0-9]+)', 1), '') AS pref, nullif(regexp_extract(text, '(?:accept|announce) (.+)$', 1), '') AS filter, CASE WHEN text = 'from accept' THEN 'policy/syntax' END AS rule FROM policies", "policies")
 def policy_terms(spark, sf_dir):
     (policies,) = load(spark, sf_dir, "policies")
@@ -525,8 +533,8 @@ def policy_terms(spark, sf_dir):
     return policy.terms(policies).select("asn", "attr", "ord", "peer", F.try_element_at(pref, F.lit(1)).alias("pref"), "filter", "rule")
 
 
-#: The prefixes that each direction announces and accepts, listed up to length 28.
-DIRECTIONS = f"""{PATHS}, listed AS (SELECT DISTINCT top, n.l AS l, (addr >> (32 - n.l)) + i.i AS i FROM found, range(23, 29) n(l), range(0, 32) i(i) WHERE lo <= hi AND n.l BETWEEN lo AND hi AND i.i < (1 << (n.l - plen))),
+#: The prefixes that each direction announces and accepts, one by one.
+DIRECTIONS = f"""{PATHS}, listed AS (SELECT DISTINCT top, n.l AS l, (addr >> (32 - n.l)) + i.i AS i FROM found, range(23, 33) n(l), range(0, 512) i(i) WHERE top IN (SELECT 'RS-B' || (n_nationkey + 1) FROM nation) AND lo <= hi AND n.l BETWEEN lo AND hi AND i.i < (1 << (n.l - plen))),
     nations AS (SELECT n_nationkey AS n, 200000 + n_nationkey AS from_as, 200000 + (n_nationkey * 3 + 1) % 25 AS to_as, 'RS-B' || (n_nationkey + 1) AS s FROM nation),
     announced AS (SELECT n, from_as, to_as, l, i FROM nations JOIN listed ON top = s),
     denied AS (SELECT n, l, i FROM announced WHERE l >= 17 AND (i >> (l - 17)) = ((10 << 24) + ((n % 8) << 16)) >> 15),
@@ -535,10 +543,9 @@ DIRECTIONS = f"""{PATHS}, listed AS (SELECT DISTINCT top, n.l AS l, (addr >> (32
 
 @query(after(DIRECTIONS, "SELECT from_as, to_as, count(*) AS n FROM announced WHERE (n, l, i) IN (SELECT (n, l, i) FROM denied) AND (n, l, i) NOT IN (SELECT (n, l, i) FROM second) GROUP BY ALL"), "range_members")
 def pair_consistency(spark, sf_dir):
-    """Prefixes up to length 28 that an AS announces and its neighbour doesn't accept."""
+    """How many prefixes an AS announces that its neighbour doesn't accept."""
     _, spaces = policy_tables(spark, sf_dir)
-    rest = policy.not_imported(spaces).where("plen <= 28")
-    return rest.groupBy("from_as", "to_as").agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
+    return policy.not_imported(spaces).groupBy("from_as", "to_as").agg(F.sum(F.col("hi") - F.col("lo")).alias("n"))
 
 
 @query(after(PATHS, """SELECT asn, attr, ord::INTEGER AS ord FROM policies WHERE ord BETWEEN 100 AND 199 AND ((ord + 2) % 3 = 2 AND EXISTS (SELECT 1 FROM found WHERE lo <= hi AND top = 'RS-B' || (ord - 99) AND (addr >> 15) = ((10 << 24) + (((ord + 4) % 8) << 16) + (128 << 8)) >> 15))"""), "range_members", "policies")
@@ -613,10 +620,7 @@ def evaluate_sessions(spark, sf_dir):
 def pair_findings(spark, sf_dir):
     policies, members, routes = load(spark, sf_dir, "policies", "range_members", "routes")
     found = written(policy.terms(policies), "terms")
-    named = found.select(F.explode("conjuncts").alias("c")).select(F.explode(F.concat("c.positive", "c.negative")).alias("literal"))
-    ranges = expand.expand_ranges(members.select(F.col("set_name").alias("top")).distinct(), members)
-    literals = written(policy.resolved(named, ranges, routes), "literals")
-    return policy.findings(found, literals, policies.select("asn")).select("from_as", "to_as", "kind", "severity")
+    return policy.findings(found, resolved_literals(found, members, routes), policies.select("asn")).select("from_as", "to_as", "kind", "severity")
 
 
 @query("SELECT DISTINCT asn, 'AS-MISSING9' AS missing FROM policies WHERE text LIKE '%AS-MISSING9'", "policies")
@@ -757,6 +761,9 @@ def normalized_filters(spark, sf_dir):
     return found.select(F.col("asn").alias("id"), F.size("conjuncts").cast("long").alias("alternatives"), F.aggregate("conjuncts", F.lit(0).cast("long"), lambda s, c: s + F.size(c["negative"])).alias("negatives"))
 
 
+from . import dumps, expansions, language  # noqa: E402, F401  (they add their queries)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

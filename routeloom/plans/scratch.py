@@ -14,12 +14,17 @@ def folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="routeloom-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written and read again: its plan ends there, and a lost executor doesn't lose it."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written and read again: its plan ends there, and a lost executor doesn't lose it. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

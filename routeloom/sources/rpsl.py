@@ -246,16 +246,20 @@ def read_vrps(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"roas array<{roa}>").option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.explode("roas").alias("r")).select("r.*")
     asn = F.regexp_extract("asn", r"^(?:AS)?(\d{1,10})$", 1).try_cast("long")
     plen = F.substring_index("prefix", "/", -1).try_cast("int")
-    good = asn.isNotNull() & plen.isNotNull() & F.col("prefix").contains("/")
-    checked = F.when(good, F.col("prefix")).otherwise(F.raise_error(F.concat(F.lit("not a ROA: "), F.to_json(F.struct("*")))))
+    v6 = F.col("prefix").rlike(r"^[0-9A-Fa-f:]+(:\d{1,3}(\.\d{1,3}){3})?/\d{1,3}$") & F.col("prefix").contains(":") & ~F.col("prefix").rlike("::.*::|:::")
+    v4 = F.col("prefix").rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)/\d{1,2}$")
+    width = F.when(v4, 32).when(v6, 128)
+    good = asn.isNotNull() & (asn <= 4294967295) & (plen <= width) & F.coalesce(F.col("maxLength").between(plen, width), F.col("maxLength").isNull())
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("prefix")).otherwise(F.raise_error(F.concat(F.lit("not a ROA: "), F.to_json(F.struct("*")))))
     return rows.select(checked.alias("prefix"), plen.alias("plen"), F.coalesce("maxLength", plen).alias("max_length"), asn.alias("asn"), "ta")
 
 
 def read_aspas(spark: SparkSession, path: str) -> DataFrame:
-    """(customer, provider) of a JSON file of ASPAs."""
+    """(customer, provider) of a JSON file of ASPAs; a provider may have its family in brackets. A record that isn't one fails the whole file."""
     record = "struct<customer:string,customer_asid:string,providers:array<string>>"
     rows = spark.read.schema(f"aspas array<{record}>").option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.explode("aspas").alias("r")).select("r.*")
-    number = lambda c: F.regexp_extract(c, r"^(?:AS)?(\d{1,10})", 1).try_cast("long")
+    read = lambda c: F.regexp_extract(c, r"^(?:AS)?(\d{1,10})\s*(?:\((?:v4|v6|IPv4|IPv6)\))?$", 1).try_cast("long")
+    number = lambda c: F.when(F.coalesce(read(c) <= 4294967295, F.lit(False)), read(c)).otherwise(F.raise_error(F.concat(F.lit("not an AS number: "), F.coalesce(c, F.lit("null")))))
     return rows.select(number(F.coalesce("customer", "customer_asid")).alias("customer"), F.explode("providers").alias("p")).select("customer", number(F.col("p")).alias("provider")).distinct()
 
 

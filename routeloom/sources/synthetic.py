@@ -34,6 +34,17 @@ VIEWS = {
         SELECT {PART_ADDRESS} AS addr, 24 AS plen, 100001 + p_partkey % {SUPPLIERS} AS origin, {SOURCE.format('p_partkey')} AS source FROM {{part}}
         UNION ALL SELECT 167772160 + (c_custkey % 2000) * 256 + CAST(floor(c_custkey / 2000) AS BIGINT) % 2 * 128, 25 + CAST(c_custkey % 4 AS INT), 100001 + c_custkey % {SUPPLIERS}, {SOURCE.format('c_custkey')} FROM {{customer}}""",
     "claims": f"SELECT 200000 + c_custkey AS asn, concat('AS-N', CAST(c_nationkey AS STRING)) AS member_of, c_mktsegment AS mnt, {SOURCE.format('c_custkey')} AS source FROM {{customer}}",
+    # Route-sets of nations: AS numbers, a nation's as-set, another nation's route-set of one registry or of any, and routes that claim to be in them.
+    "route_sets": """
+        SELECT concat('RS-M', CAST(n_nationkey AS STRING)) AS set_name, 'RIPE' AS source, CASE WHEN n_nationkey % 3 = 0 THEN 'ANY' ELSE 'BUILDING' END AS mbrs_by_ref FROM {nation}
+        UNION ALL SELECT concat('RS-M', CAST(n_nationkey AS STRING)), 'RADB', '' FROM {nation} WHERE n_nationkey % 4 = 0""",
+    "route_set_members": """
+        SELECT concat('RS-M', CAST(s_nationkey AS STRING)) AS set_name, 'RIPE' AS source, 100000 + s_suppkey AS asn, CAST(NULL AS STRING) AS child, CAST(NULL AS STRING) AS child_source, CAST(NULL AS BIGINT) AS addr, CAST(NULL AS INT) AS plen, CASE WHEN s_suppkey % 2 = 0 THEN '^+' ELSE '' END AS op FROM {supplier} WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT concat('RS-M', CAST(n_nationkey AS STRING)), 'RADB', CAST(NULL AS BIGINT), NULL, NULL, 2886729728 + n_nationkey * 256, 24, '' FROM {nation} WHERE n_nationkey % 4 = 0
+        UNION ALL SELECT concat('RS-M', CAST(n_nationkey AS STRING)), 'RIPE', NULL, concat('AS-N', CAST(n_nationkey AS STRING)), NULL, NULL, NULL, '^25-26' FROM {nation} WHERE n_nationkey % 2 = 0
+        UNION ALL SELECT concat('RS-M', CAST(n_nationkey AS STRING)), 'RIPE', NULL, concat('RS-M', CAST((n_nationkey * 3 + 1) % 25 AS STRING)), NULL, NULL, NULL, '' FROM {nation} WHERE n_nationkey % 5 = 1
+        UNION ALL SELECT concat('RS-M', CAST(n_nationkey AS STRING)), 'RIPE', NULL, concat('RS-M', CAST((n_nationkey + 4) % 25 AS STRING)), 'RADB', NULL, NULL, '' FROM {nation}""",
+    "route_claims": f"SELECT 'route' AS class, 300000 + c_custkey AS asn, {PART_ADDRESS.replace('p_partkey', 'c_custkey')} AS addr, 24 AS plen, concat('RS-M', CAST(c_nationkey AS STRING)) AS member_of, c_mktsegment AS mnt, CASE WHEN c_custkey % 5 = 0 THEN 'RADB' ELSE 'RIPE' END AS source FROM {{customer}} WHERE c_custkey % 3 = 0",
     "vrps": f"SELECT {PART_ADDRESS} AS addr, 24 AS plen, 24 + p_size % 5 AS max_length, CASE WHEN p_partkey % 11 = 0 THEN 0 WHEN p_partkey % 3 <> 0 THEN 100001 + p_partkey % {SUPPLIERS} ELSE 64999 END AS asn FROM {{part}} WHERE p_size % 3 = 0",
     "range_members": f"""
         SELECT replace(p_brand, 'Brand#', 'RS-B') AS set_name, CAST(NULL AS STRING) AS child, {PART_ADDRESS} AS addr, 24 AS plen, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '^+' WHEN 2 THEN '^-' WHEN 3 THEN '^26' ELSE '^25-27' END AS op FROM {{part}}

@@ -2,7 +2,8 @@
 
 Files of JSON lines hold records {session, version, kind, operation, class, pk, source, payload}, where kind is `snapshot` or `delta`. Each
 micro-batch is applied as a whole: the versions of a delta must follow the state's version one by one, older ones are ignored, and a gap or
-another session leaves the state as it is until a snapshot comes, which replaces it. The state is a written table for each version, and
+another session leaves the state as it is until a snapshot comes, which replaces it. The records of a delta apply in their order in its
+file: file, block of the file and row in the block make the place of a record. The state is a written table for each version, and
 the pointer to the newest is one small JSON row, so that a restarted query goes on where the last one was.
 """
 
@@ -61,9 +62,9 @@ class Mirror:
         return self.spark.read.parquet(table)
 
     def apply(self, batch: DataFrame, batch_id: int = 0) -> dict:
-        """One batch of records; the state after it."""
+        """One batch of records; the state after it. Records of one version apply by their `place`, or in the order of the batch if it has no such column."""
         status = self.status()
-        batch = batch.persist()
+        batch = (batch if "place" in batch.columns else batch.withColumn("place", F.monotonically_increasing_id())).persist()
         try:
             told = [r.asDict() for r in batch.groupBy("session", "kind", "version").agg(F.count("*").alias("n")).collect()]
             # One row for each version: deltas are few, whatever they hold.
@@ -88,8 +89,8 @@ class Mirror:
             rows = batch.where((F.col("session") == base["session"]) & (F.col("kind") == "delta") & F.col("version").between(base["version"] + 1, last))
             if base is not status:
                 rows = rows.unionByName(batch.where((F.col("session") == base["session"]) & (F.col("kind") == "snapshot") & (F.col("version") == base["version"])))
-            changes = rows.select("class", "pk", "source", "payload", F.col("version").alias("seq"), F.coalesce("operation", F.lit("ADD")).alias("operation"))
-            held = self.objects().withColumn("operation", F.lit("ADD")) if base is status else None
+            changes = rows.select("class", "pk", "source", "payload", F.col("version").alias("seq"), F.coalesce("operation", F.lit("ADD")).alias("operation"), "place")
+            held = self.objects().withColumns({"operation": F.lit("ADD"), "place": F.lit(None).cast(batch.schema["place"].dataType)}) if base is status else None
             table = f"{self.folder}/objects-{base['session']}-{last}-{status['step']}"
             latest(changes if held is None else held.unionByName(changes)).write.mode("overwrite").parquet(table)
             self.publish({**base, "version": last, "table": table, "failures": failures, "step": status["step"]})
@@ -103,6 +104,8 @@ class Mirror:
 
     def follow(self, source: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
         """Apply the files that come into a folder, all that are there (no interval) or every interval."""
-        stream = self.spark.readStream.schema(RECORD).json(source)
+        # Rows of a split keep their order, so the file, the split and the row in it tell the order of records.
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        stream = self.spark.readStream.schema(RECORD).json(source).select("*", place.alias("place"))
         writer = stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n) and None).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
