@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import V4_BITS, dotted, prefix_text
+from ..functions.prefix import V4_BITS, dotted, materialized, prefix_text, range_size
 from . import space
 
 
@@ -114,6 +114,58 @@ def user_format(entries: DataFrame, template: str) -> DataFrame:
     return rows.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("r"))["text"], "").alias("text"))
 
 
+def print_ranges(entries: DataFrame, template: str, each: bool = False, most: int = 1 << 20) -> DataFrame:
+    """(name, text) of ranges by a template with %p address, %l length, %L bits behind it, %n and %m lowest and highest length, %k mask, %K its inverse, %% and \\n, \\t, \\\\.
+
+    With each, every prefix that a list's ranges hold is printed by itself, by address and length; a list of more than `most` is an error.
+    """
+    parts = re.split(r"(%[plLnmkK%]|\\[nt\\])", template)
+    if any(x in "".join(parts[::2]) for x in "%\\"):
+        raise ValueError(f"unknown escape in the format {template!r}")
+    rows = entries.select("name", "addr", *[F.col(c).cast("int").alias(c) for c in ("plen", "lo", "hi")]).distinct()
+    if each:
+        size = rows.groupBy("name").agg(F.sum(range_size(F.col("plen"), F.col("lo"), F.col("hi"))).alias("n")).where(F.col("n") > most)
+        if not size.isEmpty():
+            raise ValueError(f"more than {most} prefixes; print them as ranges")
+        made = rows.select("name", F.explode(materialized(F.col("addr"), F.col("plen"), F.col("lo"), F.col("hi"))).alias("p")).select("name", "p.addr", F.col("p.plen").cast("int").alias("plen")).distinct()
+        rows = made.withColumns({"lo": F.col("plen"), "hi": F.col("plen")})
+    block = F.pow(F.lit(2.0), F.lit(V4_BITS) - F.col("plen")).cast("long")
+    text = lambda c: F.col(c).cast("string")
+    told = {"%p": dotted(F.col("addr")), "%l": text("plen"), "%L": (F.lit(V4_BITS) - F.col("plen")).cast("string"), "%n": text("lo"), "%m": text("hi"), "%k": dotted(F.lit(2**V4_BITS) - block), "%K": dotted(block - 1), "%%": F.lit("%"), "\\n": F.lit("\n"), "\\t": F.lit("\t"), "\\\\": F.lit("\\")}
+    line = F.concat(*[told[x] if k % 2 else F.lit(x) for k, x in enumerate(parts) if k % 2 or x])
+    printed = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("addr", "plen", "lo", "hi", line.alias("text")))).alias("rows"))
+    return printed.select("name", F.array_join("rows.text", "").alias("text"))
+
+
+# The kinds of list that each family of routers has a form for, and the kinds made of AS numbers.
+AS_KINDS = ("as-set", "as-path", "origin-as-path", "as-list")
+WRITES = {
+    "prefix-list": "junos ios arista iosxr json bird openbgpd nokia nokia-md nokia-srl mikrotik6 mikrotik7 huawei huawei-xpl user plain",
+    "as-set": "json openbgpd bird plain",
+    "as-path": "junos ios arista iosxr json bird openbgpd nokia nokia-md huawei huawei-xpl",
+    "origin-as-path": "junos ios arista iosxr openbgpd nokia nokia-md huawei huawei-xpl",
+    "as-list": "junos",
+    "route-filter-list": "junos",
+    "route-filter": "junos ios arista openbgpd nokia nokia-md nokia-srl",
+}
+
+
+def refused(vendor: str, kind: str, aggregate: bool = False, refine: bool = False, sequence: bool = False, ipv6: bool = False, match: str = "") -> str | None:
+    """Why a vendor's list can't be written with these options; None if it can."""
+    if kind not in WRITES or vendor not in WRITES[kind].split():
+        return f"{vendor} has no {kind}"
+    from_numbers, plain_list = kind in AS_KINDS, kind == "prefix-list"
+    limited = (vendor == "junos" and plain_list) or (vendor.startswith("nokia") and not plain_list) or from_numbers
+    rules = [
+        (aggregate and limited, "aggregation"),
+        (refine and limited, "more specific prefixes"),
+        (ipv6 and kind == "route-filter" and vendor in ("ios", "arista"), "IPv6"),
+        (sequence and (from_numbers or vendor not in ("ios", "arista")), "sequence numbers"),
+        (bool(match) and (vendor, kind) != ("junos", "route-filter"), "further conditions"),
+    ]
+    return next((f"{what} can't go with {vendor} {kind}" for broken, what in rules if broken), None)
+
+
 # Head, the AS alone, a line of others ({list} joined by the last), tail, and what stands for none; {me} is the neighbour.
 AS_PATHS = {
     "ios": ("no ip as-path access-list {name}\n", "ip as-path access-list {name} permit ^{me}(_{me})*$\n", "ip as-path access-list {name} permit ^{me}(_[0-9]+)*_({list})$\n", "", "ip as-path access-list {name} deny .*\n", "|", 4),

@@ -165,8 +165,8 @@ def report(objects: DataFrame) -> DataFrame:
 
 
 def object_text(objects: DataFrame) -> DataFrame:
-    """Objects as they were written, without the comments before them."""
-    return objects.select("file", "block", "seq", F.array_join(F.transform("attrs", lambda a: a["raw"]), "").alias("text"))
+    """Objects as they were written, byte by byte, with the comments before them."""
+    return objects.select("file", "block", "seq", F.concat("trivia", F.array_join(F.transform("attrs", lambda a: a["raw"]), "")).alias("text"))
 
 
 def formatted(objects: DataFrame, width: int = 16) -> DataFrame:

@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy as lang
 from ..functions.prefix import V4_BITS, apply_operator, prefix_text
 from ..plans.scratch import written
 from . import space
+from .expand import closure
 
 CONJUNCT = "struct<positive:array<string>,negative:array<string>,tests:array<string>>"
 TERMS = f"asn long, attr string, ord int, term int, peer long, peering string, sets array<string>, actions array<struct<attribute:string,op:string,value:string>>, filter string, conjuncts array<{CONJUNCT}>, rule string, message string"
@@ -270,14 +271,45 @@ def without_aut_num(found: DataFrame, aut_nums: DataFrame) -> DataFrame:
     return named.join(aut_nums.select(F.col("asn").alias("peer")).distinct(), "peer", "left_anti").select("asn", "peer")
 
 
+# Why a term can't be told.
+WHY_PEER_ROUTER, WHY_LOCAL_ROUTER, WHY_REGEXP, WHY_SET = "peer router not given", "local router not given", "peering regexp", "unknown set"
+
+
+def why_routers(peer_router: Column, local_router: Column) -> Column:
+    return F.when(peer_router.isNotNull(), WHY_PEER_ROUTER).when(local_router.isNotNull(), WHY_LOCAL_ROUTER)
+
+
+def undecided(told: DataFrame) -> DataFrame:
+    """(asn, attr, ord, term, why, peers): the terms that can't be told for some sessions, merged over these; told is what `evaluate` gives."""
+    some = told.where("verdict = 'undecided'").groupBy(F.col("local").alias("asn"), "attr", "ord", "term", "why")
+    return some.agg(F.sort_array(F.collect_set("peer")).alias("peers"))
+
+
+def limits(found: DataFrame) -> DataFrame:
+    """(asn, attr, ord, term, rule, message): policies whose normal form hits a limit or a cycle of filter-sets."""
+    return found.where(F.col("rule").isin("policy/limit", "policy/filter-set-cycle", "policy/peeras")).select("asn", "attr", "ord", "term", "rule", "message")
+
+
+def any_sets(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(asn, attr, ord, term, name): sets that a path expression names and that reach AS-ANY, so that it takes any AS; members has (set_name, child)."""
+    tests = found.where("rule IS NULL").select("asn", "attr", "ord", "term", F.explode(F.flatten(F.transform("conjuncts", lambda c: c["tests"]))).alias("test")).where(F.col("test").contains("<"))
+    named = tests.select("asn", "attr", "ord", "term", F.explode(F.regexp_extract_all("test", F.lit(r"\b((?:AS\d+:)*AS-[A-Za-z0-9_:-]+)"), 1)).alias("name")).withColumn("name", F.upper("name")).distinct()
+    nested = members.where("child IS NOT NULL").select(F.upper("set_name").alias("parent"), F.upper("child").alias("child")).distinct()
+    tops = named.select(F.col("name").alias("top"), F.col("name").alias("node")).distinct()
+    reaching = closure(tops, nested, ["node"]).where("node = 'AS-ANY'").select(F.col("top").alias("name")).distinct()
+    return named.join(reaching, "name", "left_semi").select("asn", "attr", "ord", "term", "name")
+
+
 def evaluate(sessions: DataFrame, found: DataFrame, membership: DataFrame, sets: DataFrame) -> DataFrame:
-    """(local, peer, attr, ord, term, verdict, actions, filter): terms of a session's policy in order, those that match and those that can't be told.
+    """(local, peer, attr, ord, term, verdict, why, actions, filter): terms of a session's policy in order, those that match and those that can't be told, with the reason.
 
     sessions has (local, peer); membership (top, asn) the expanded as-sets and sets (top) those that exist at all. Only the peer's own
     membership in the sets that a peering names goes along with a term.
     """
     joined = sessions.join(found.where("rule IS NULL").withColumnRenamed("peer", "named"), F.col("local") == F.col("asn"))
-    plain = joined.where("named IS NOT NULL").where(F.col("named") == F.col("peer")).withColumn("verdict", F.lit("match"))
+    routers = F.from_json("peering", "array<string>")
+    asks = why_routers(routers[1], routers[2])
+    plain = joined.where("named IS NOT NULL").where(F.col("named") == F.col("peer")).withColumn("verdict", F.when(asks.isNull(), "match").otherwise("undecided")).withColumn("why", asks)
     mixed = joined.where("named IS NULL")
     asked = mixed.select("peer", F.explode("sets").alias("top")).distinct()
     known = asked.join(sets.select("top").distinct(), "top").join(membership.select("top", F.col("asn").alias("peer"), F.lit(True).alias("in")), ["top", "peer"], "left")
@@ -291,5 +323,7 @@ def evaluate(sessions: DataFrame, found: DataFrame, membership: DataFrame, sets:
         return "undecided" if answer is None or answer and (peer_router or local_router) else "match" if answer else "no"
 
     rest = mixed.join(told, "peer", "left").withColumn("verdict", verdict("peering", "peer", "known", "inside")).where("verdict <> 'no'")
-    columns = ["local", "peer", "attr", "ord", "term", "verdict", "actions", "filter"]
+    reason = F.coalesce(F.when(F.col("peering").contains('["regexp"'), WHY_REGEXP), asks, F.lit(WHY_SET))
+    rest = rest.withColumn("why", F.when(F.col("verdict") == "undecided", reason))
+    columns = ["local", "peer", "attr", "ord", "term", "verdict", "why", "actions", "filter"]
     return plain.select(*columns).unionByName(rest.select(*columns))

@@ -196,3 +196,23 @@ def refined_entries(spark, sf_dir):
     (routes,) = load(spark, sf_dir, "routes")
     rows = routes.select(F.concat(F.lit("L"), (F.col("origin") % 7).cast("string")).alias("name"), "addr", F.col("plen").cast("int").alias("plen"), F.col("plen").cast("int").alias("lo"), F.col("plen").cast("int").alias("hi")).distinct()
     return generate.refine(rows, most=27, least=26, max_length=27)
+
+
+MASKS = {"k": "(4294967296 - (1::BIGINT << (32 - plen)))", "K": "((1::BIGINT << (32 - plen)) - 1)"}
+
+
+@query(after("entries AS (SELECT DISTINCT 'L' || origin % 7 AS name, addr, plen, CASE WHEN addr % 1024 = 0 THEN plen + 1 ELSE plen END AS lo, CASE WHEN addr % 512 = 0 THEN plen + 2 ELSE plen END AS hi FROM routes)", f"SELECT name, string_agg(concat({TEXT.format('addr')}, '/', plen, ' ', 32 - plen, ' ', lo, '-', hi, ' ', {TEXT.format(MASKS['k'])}, ' ', {TEXT.format(MASKS['K'])}, '%', chr(10)), '' ORDER BY addr, plen, lo, hi) AS text FROM entries GROUP BY name"), "routes")
+def printed_ranges(spark, sf_dir):
+    return generate.print_ranges(entries(spark, sf_dir), "%p/%l %L %n-%m %k %K%%\\n")
+
+
+@query(after(f"entries AS (SELECT DISTINCT 'L' || origin % 7 AS name, addr, plen, CASE WHEN addr % 1024 = 0 THEN plen + 1 ELSE plen END AS lo, CASE WHEN addr % 512 = 0 THEN plen + 2 ELSE plen END AS hi FROM routes), listed AS (SELECT DISTINCT name, addr + i.i * (1::BIGINT << (32 - n.n)) AS a, n.n AS n FROM entries, range(24, 33) n(n), range(0, 8) i(i) WHERE n.n BETWEEN lo AND hi AND i.i < (1 << (n.n - plen)))", f"SELECT name, string_agg(concat({TEXT.format('a')}, '/', n, ';'), '' ORDER BY a, n) AS text FROM listed GROUP BY name"), "routes")
+def printed_prefixes(spark, sf_dir):
+    return generate.print_ranges(entries(spark, sf_dir), "%p/%l;", each=True)
+
+
+@query("SELECT vendor, kind, refused FROM (VALUES ('junos', 'prefix-list', true), ('junos', 'route-filter', false), ('ios', 'prefix-list', false), ('nokia', 'route-filter', true), ('bird', 'as-set', true), ('plain', 'as-path', true), ('mikrotik6', 'as-path', true), ('openbgpd', 'route-filter', false)) t(vendor, kind, refused), (SELECT 1 FROM region LIMIT 1)", "aut_nums")
+def refused_aggregation(spark, sf_dir):
+    """Which lists can't be aggregated, by the rules of what vendors write."""
+    asked = [("junos", "prefix-list"), ("junos", "route-filter"), ("ios", "prefix-list"), ("nokia", "route-filter"), ("bird", "as-set"), ("plain", "as-path"), ("mikrotik6", "as-path"), ("openbgpd", "route-filter")]
+    return spark.createDataFrame([(v, k, generate.refused(v, k, aggregate=True) is not None) for v, k in asked], "vendor string, kind string, refused boolean")

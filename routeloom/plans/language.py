@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import attributes as at
 from ..functions import policy as lang
 from ..functions.prefix import bits, prefix_text
-from ..operators import auth, members, policy, protocol
+from ..operators import auth, expand, members, policy, protocol
+from ..sources.synthetic import SOURCES
 from ..sources.synthetic import registry as load
 from .queries import ASNS, KEYED, OWN, TEXT, after, query
 
@@ -234,3 +235,55 @@ def peering_sets(spark, sf_dir):
     rows = rows.union(read("supplier").select(numbered("PRNG-N", F.col("s_nationkey")), F.col("s_suppkey").cast("int"), numbered(" AS", F.col("s_suppkey") + 100000, "  at r", F.col("s_suppkey") % 3), none))
     sets = rows.select("set_name").distinct()
     return members.expand_peerings(sets.select(F.col("set_name").alias("top")), sets, rows).select("top", "peering")
+
+
+@query(
+    after(f"{ASNS}, sessions AS (SELECT 100000 + i AS peer FROM range(0, 40) r(i))", """SELECT k::INTEGER AS ord, why, string_agg(peer::VARCHAR, ' ' ORDER BY peer) AS peers FROM sessions, (VALUES (0, 'peer router not given'), (1, 'local router not given'), (2, 'peering regexp'), (3, 'unknown set')) t(k, why)
+        WHERE CASE k WHEN 0 THEN peer = 100007 WHEN 1 THEN peer IN (SELECT asn FROM asns WHERE top = 'AS-N1') ELSE true END GROUP BY k, why"""),
+    "sets",
+    "members",
+)
+def undecided_terms(spark, sf_dir):
+    """Terms that can't be told for some sessions, with the reason, merged over the peers."""
+    sets, members_ = load(spark, sf_dir, "sets", "members")
+    texts = ["from AS100007 192.0.2.1 accept ANY", "from AS-N1 at 192.0.2.2 accept ANY", "from <^AS1 .*$> accept ANY", "from AS-NOWHERE accept ANY", "from AS100003 accept ANY"]
+    policies = spark.createDataFrame([(300000, "import", k, t) for k, t in enumerate(texts)], "asn long, attr string, ord int, text string")
+    tops = sets.where("set_name = 'AS-N1'").select(F.col("set_name").alias("top")).distinct()
+    membership = expand.expand_as(expand.expand_sets(tops, sets, members_, SOURCES), expand.chosen_members(sets, members_, SOURCES))
+    sessions = spark.range(100000, 100040).select(F.lit(300000).cast("long").alias("local"), F.col("id").alias("peer"))
+    told = policy.evaluate(sessions, policy.terms(policies), membership, sets.select(F.col("set_name").alias("top")))
+    return policy.undecided(told).select("ord", "why", F.array_join(F.transform("peers", lambda x: x.cast("string")), " ").alias("peers"))
+
+
+@query("SELECT p_partkey AS asn, 'AS-W' || p_partkey % 20 AS name FROM part WHERE p_partkey % 20 >= 5 AND (p_partkey % 20) % 5 = 0", "aut_nums")
+def lint_any_set(spark, sf_dir):
+    """Path expressions that name a set which reaches AS-ANY: of twenty sets in four chains of five the first of three chains do."""
+    chains = [(f"AS-W{k}", f"AS-W{k + 1}" if k % 5 < 4 else "AS-ANY" if k > 4 else "AS-LAST") for k in range(20)]
+    members_ = spark.createDataFrame(chains, "set_name string, child string")
+    found = made_terms(spark, sf_dir, F.when(F.col("id") % 20 % 5 == 0, numbered("from AS1 accept <^AS1 AS-W", F.col("id") % 20, "+$>")).otherwise(F.lit("from AS1 accept <^AS1 AS2$>")))
+    return policy.any_sets(found, members_).select("asn", "name")
+
+
+@query("SELECT p_partkey AS asn, CASE WHEN p_partkey % 100 = 7 THEN 'policy/limit' WHEN p_partkey % 3 = 0 THEN 'policy/peeras' ELSE 'policy/filter-set-cycle' END AS rule FROM part", "aut_nums")
+def lint_limit(spark, sf_dir):
+    """Filters whose normal form meets a limit: a PeerAS without a peer, filter-sets that hold each other, too many alternatives."""
+    sets = {"FLTR-A": lang.parse_filter("FLTR-B OR AS1")[0], "FLTR-B": lang.parse_filter("NOT FLTR-A")[0]}
+    many = " AND ".join(f"(AS{10 * k + 1} OR AS{10 * k + 2})" for k in range(13))
+    text = F.when(F.col("id") % 100 == 7, f"from AS1 accept {many}").when(F.col("id") % 3 == 0, "from AS-ANY accept PeerAS").otherwise("from AS1 accept FLTR-A")
+    return policy.limits(made_terms(spark, sf_dir, text, filter_sets=sets)).select("asn", "rule")
+
+
+REPEATS = [("^AS1~+ AS2", "^( 1 )+ 2 "), ("^.~{2} ", "^(( 0  0 )|( 1  1 )|( 2  2 )|( 3  3 )|( 4  4 )|( 5  5 )|( 6  6 )|( 7  7 )|( 8  8 )|( 9  9 ))"), ("^[AS3 AS4]~*$", "^(( 3 )*|( 4 )*)$")]
+
+
+@query(
+    "SELECT o, k::INTEGER AS k FROM (SELECT l_orderkey AS o, string_agg(concat(' ', l_suppkey % 10, ' '), '' ORDER BY l_linenumber, l_suppkey % 10) AS path FROM lineitem GROUP BY l_orderkey), (VALUES " + ", ".join(f"({k}, '{sql}')" for k, (_, sql) in enumerate(REPEATS)) + ") t(k, re) WHERE regexp_matches(path, re)",
+    "aut_nums",
+)
+def as_path_repeats(spark, sf_dir):
+    """Repeats of one AS: what stands again is the AS that was met, not any that the item takes."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    paths = items.groupBy(F.col("l_orderkey").alias("o")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", (F.col("l_suppkey") % 10).alias("a")))), lambda x: x["a"]).alias("path"))
+    told = F.array_join(F.transform("path", lambda a: F.concat(F.lit("<"), a.cast("string"), F.lit("> "))), "")
+    hits = F.array_compact(F.array(*[F.when(told.rlike(lang.path_expression(text).pattern), F.lit(k)) for k, (text, _) in enumerate(REPEATS)]))
+    return paths.select("o", F.explode(hits).alias("k"))

@@ -7,6 +7,8 @@ together. Errors are rows beside the data, never failures.
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -22,7 +24,7 @@ BLANK = re.compile(r"^[ \t]*\r*$")
 START = re.compile(r"^(?:[^ \t+#:][^#:]*)?:")
 DIAGNOSTIC = "struct<rule:string,severity:string,message:string,line:int>"
 ATTRIBUTE = "struct<ord:int,name:string,value:string,raw:string,line:int>"
-OBJECT = f"file string, block long, seq int, class string, key string, source string, attrs array<{ATTRIBUTE}>, diags array<{DIAGNOSTIC}>"
+OBJECT = f"file string, block long, seq int, class string, key string, source string, trivia string, attrs array<{ATTRIBUTE}>, diags array<{DIAGNOSTIC}>"
 
 
 @dataclass
@@ -112,7 +114,7 @@ def row_of(file: str, block: int, seq: int, lines: list[bytes]) -> dict | None:
     told = [decoded(x) for x in lines]
     size = sum(map(len, lines))
     if size > MAX_BYTES or len(lines) > MAX_LINES:
-        return {"file": file, "block": block, "seq": seq, "class": None, "key": None, "source": None, "attrs": [], "diags": [{"rule": "rpsl/object-too-large", "severity": "error", "message": f"{size} bytes in {len(lines)} lines", "line": 1}]}
+        return {"file": file, "block": block, "seq": seq, "class": None, "key": None, "source": None, "trivia": "", "attrs": [], "diags": [{"rule": "rpsl/object-too-large", "severity": "error", "message": f"{size} bytes in {len(lines)} lines", "line": 1}]}
     o = parse_object([x + "\n" for x, _ in told])
     if any(odd for _, odd in told):
         o.diags.append(("rpsl/not-utf8", "warning", "read as Windows-1252", 1 + next(k for k, (_, odd) in enumerate(told) if odd)))
@@ -125,6 +127,7 @@ def row_of(file: str, block: int, seq: int, lines: list[bytes]) -> dict | None:
         "class": o.attrs[0].name if o.attrs else None,
         "key": o.attrs[0].value if o.attrs else None,
         "source": o.first("source"),
+        "trivia": o.trivia,
         "attrs": [{"ord": k, "name": a.name, "value": a.value, "raw": a.raw, "line": a.line} for k, a in enumerate(o.attrs)],
         "diags": [dict(zip(("rule", "severity", "message", "line"), d, strict=True)) for d in o.diags],
     }
@@ -142,9 +145,51 @@ def with_trivia(groups: Iterable[list[bytes]]) -> Iterator[list[bytes]]:
         yield held
 
 
+GZIP = bytes((0x1F, 0x8B))
+
+
+def unnamed_gzip(spark: SparkSession, paths: str | list[str]) -> tuple[list[str], list[str]]:
+    """The files under paths in two lists: those that are gzip by their first two bytes but not by their name, and the others."""
+    jvm, told = spark.sparkContext._jvm, ([], [])
+    for path in [paths] if isinstance(paths, str) else paths:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.globStatus(hadoop) or []:
+            inner = files.listStatus(found.getPath()) if found.isDirectory() else [found]
+            for f in inner:
+                name = f.getPath().getName()
+                if f.isDirectory() or name.startswith(("_", ".")):
+                    continue
+                stream = files.open(f.getPath())
+                try:
+                    odd = not name.endswith(".gz") and bytes((stream.read() & 255, stream.read() & 255)) == GZIP
+                finally:
+                    stream.close()
+                told[0 if odd else 1].append(f.getPath().toString())
+    return told
+
+
+def gunzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of gzip files, one file at a time, some lines at a time."""
+    for batch in batches:
+        for path, content in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            held: list[bytes] = []
+            with gzip.open(io.BytesIO(content)) as stream:
+                for line in stream:
+                    held.append(line.removesuffix(b"\n"))
+                    if len(held) >= 10_000:
+                        yield pa.record_batch([pa.array([path] * len(held)), pa.array([0] * len(held), pa.int64()), pa.array(held, pa.binary())], names=["file_path", "block", "line"])
+                        held = []
+            yield pa.record_batch([pa.array([path] * len(held), pa.string()), pa.array([0] * len(held), pa.int64()), pa.array(held, pa.binary())], names=["file_path", "block", "line"])
+
+
 def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Objects of dumps, by file, split and place in the split."""
-    lines = spark.read.option("lineSep", "\n").text(paths).select("_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    """Objects of dumps, by file, split and place in the split; gzip files are known by their name or their first bytes."""
+    odd, plain = unnamed_gzip(spark, paths)
+    lines = spark.read.option("lineSep", "\n").text(plain if odd else paths).select("_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")) if plain or not odd else None
+    if odd:
+        packed = spark.read.format("binaryFile").load(odd).select("path", "content").mapInArrow(gunzipped, "file_path string, block long, line binary")
+        lines = packed if lines is None else lines.union(packed)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int32()), ("head", pa.bool_()), ("tail", pa.bool_()), ("lines", pa.list_(pa.binary()))])
@@ -205,7 +250,7 @@ def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 SCHEMA = pa.schema(
-    [("file", pa.string()), ("block", pa.int64()), ("seq", pa.int32()), ("class", pa.string()), ("key", pa.string()), ("source", pa.string())]
+    [("file", pa.string()), ("block", pa.int64()), ("seq", pa.int32()), ("class", pa.string()), ("key", pa.string()), ("source", pa.string()), ("trivia", pa.string())]
     + [("attrs", pa.list_(pa.struct([("ord", pa.int32()), ("name", pa.string()), ("value", pa.string()), ("raw", pa.string()), ("line", pa.int32())])))]
     + [("diags", pa.list_(pa.struct([("rule", pa.string()), ("severity", pa.string()), ("message", pa.string()), ("line", pa.int32())])))]
 )

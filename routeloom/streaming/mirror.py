@@ -64,7 +64,10 @@ class Mirror:
     def apply(self, batch: DataFrame, batch_id: int = 0) -> dict:
         """One batch of records; the state after it. Records of one version apply by their `place`, or in the order of the batch if it has no such column."""
         status = self.status()
-        batch = (batch if "place" in batch.columns else batch.withColumn("place", F.monotonically_increasing_id())).persist()
+        if "place" not in batch.columns:
+            # Rows of a split keep their order, so the file, the split and the row in it tell the order of records.
+            batch = batch.withColumn("place", F.struct(*[c for c in ("file", "block") if c in batch.columns], F.monotonically_increasing_id().alias("row")))
+        batch = batch.persist()
         try:
             told = [r.asDict() for r in batch.groupBy("session", "kind", "version").agg(F.count("*").alias("n")).collect()]
             # One row for each version: deltas are few, whatever they hold.
@@ -104,8 +107,6 @@ class Mirror:
 
     def follow(self, source: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
         """Apply the files that come into a folder, all that are there (no interval) or every interval."""
-        # Rows of a split keep their order, so the file, the split and the row in it tell the order of records.
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-        stream = self.spark.readStream.schema(RECORD).json(source).select("*", place.alias("place"))
+        stream = self.spark.readStream.schema(RECORD).json(source).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         writer = stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n) and None).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -8,108 +8,113 @@ from pyspark.sql import functions as F
 from routeloom.operators import expand, model, registry
 from routeloom.sources import rpsl
 
-TEXT = """as-set: AS-EXAMPLE
-members: AS64500, as64501,
-+ AS-DOWNSTREAM
-source: TEST
-
-as-set: AS-DOWNSTREAM
-members: AS64502, AS-EXAMPLE # back
-source: TEST
-
-as-set: as-claimed
-members: AS64500
-mbrs-by-ref: MNT-OK
-source: TEST
-
-as-set: AS-PRECEDENCE
-members: AS64500
-source: TEST
-
-as-set: AS-PRECEDENCE
-members: AS64510
-source: RADB
-
-as-set: AS-SCOPED
-members: AS-EXAMPLE, AS-PRECEDENCE
-src-members: RADB::AS-PRECEDENCE, TEST::AS-TWICE, RADB::AS-TWICE
-source: TEST
-
-route-set: RS-RANGES
-members: 192.0.2.0/30^+, 198.51.100.0/28^29-30, 203.0.113.0/31^-, RS-OTHER^24-25, 10/8
-source: TEST
-
-aut-num: AS64504
-member-of: AS-CLAIMED
-mnt-by: mnt-ok
-import: from AS1
+TEXT = """# harbour registry, first part
+aut-num: AS3301
+member-of: AS-PIER
+mnt-by: quay-mnt
+import: from AS21
         accept ANY
-export: to AS1 announce AS64504
-source: TEST
+export: to AS21 announce AS3301
+source: HARBOUR
 
-aut-num: AS64505
-member-of: AS-CLAIMED
-mnt-by: MNT-BAD
-source: TEST
-
-aut-num: 278
-source: TEST
-
-route: 192.0.2.0/24
-origin: AS64500
+route: 172.20.16.0/20
+origin: AS3320
 mnt-by: M
-source: TEST
-
-route: 192.0.2.300/24
-origin: AS64500
-source: TEST
-
-as-set: FOO
-oddity
-source: TEST
+source: HARBOUR
+
+as-set: AS-BREAKWATER
+members: AS3320, as3321,
++ AS-LIGHTSHIP
+source: HARBOUR
+
+route-set: RS-DOCKS
+members: 172.24.0.0/22^23-24, 172.25.8.0/29^+, RS-SLIPWAY^25-26, 172.26.0.6/31^-, 100/8
+source: HARBOUR
+
+as-set: as-pier
+members: AS3322
+mbrs-by-ref: QUAY-MNT
+source: HARBOUR
+
+as-set: AS-LIGHTSHIP
+members: AS-BREAKWATER, AS3323 # the cycle
+source: HARBOUR
+
+as-set: AS-TIDE
+members: AS3330
+source: LAGOON
+
+as-set: AS-TIDE
+members: AS3331
+source: HARBOUR
+
+as-set: AS-CHART
+members: AS-TIDE, AS-BREAKWATER
+src-members: LAGOON::AS-TIDE, HARBOUR::AS-DOUBLE, LAGOON::AS-DOUBLE
+source: HARBOUR
+
+aut-num: AS3302
+member-of: AS-PIER
+mnt-by: OTHER-MNT
+source: HARBOUR
+
+aut-num: 977
+source: HARBOUR
+
+route: 172.20.400.0/24
+origin: AS3320
+source: HARBOUR
+
+as-set: WHARF
+no colon here
+source: HARBOUR
 """
+ORDER = ("HARBOUR", "LAGOON")
 
 
 @pytest.fixture(scope="module")
 def objects(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("dump") / "test.db"
+    path = tmp_path_factory.mktemp("dump") / "harbour.db"
     path.write_text(TEXT)
     return rpsl.scan(spark, str(path)).cache()
 
 
 def test_expansion_from_a_dump(spark, objects):
     sets, members = model.sets(objects), model.members(objects)
-    order = ("TEST", "RADB")
     tops = sets.where("class = 'as-set'").select(F.col("set_name").alias("top")).distinct()
-    own = expand.chosen_members(sets, members, order)
-    nodes = expand.expand_sets(tops, sets, members, order)
+    own = expand.chosen_members(sets, members, ORDER)
+    nodes = expand.expand_sets(tops, sets, members, ORDER)
     claims = expand.allowed_claims(sets, model.claims(objects).where("class = 'aut-num'"))
     got = {}
     for r in expand.expand_as(nodes, own, claims).collect():
         got.setdefault(r["top"], set()).add(r["asn"])
-    assert got["AS-EXAMPLE"] == {64500, 64501, 64502} and got["AS-CLAIMED"] == {64500, 64504} and got["AS-PRECEDENCE"] == {64500}
+    assert got["AS-BREAKWATER"] == got["AS-LIGHTSHIP"] == {3320, 3321, 3323}
+    assert got["AS-PIER"] == {3322, 3301} and got["AS-TIDE"] == {3331}
+    # A scoped member is the set of its registry, whatever wins elsewhere.
+    assert got["AS-CHART"] == {3330, 3320, 3321, 3323}
+    assert not expand.missing(nodes, own, sets).count()
 
 
 def test_members(objects):
     rows = {(r["set_name"], r["item"]): r for r in model.members(objects).collect()}
-    assert rows["AS-SCOPED", "RADB::AS-PRECEDENCE"]["child_source"] == "RADB"
-    assert ("AS-SCOPED", "AS-PRECEDENCE") not in rows and not any("TWICE" in k[1] for k in rows)
-    told = rows["RS-RANGES", "198.51.100.0/28^29-30"]
-    assert (told["plen"], told["op"]) == (28, "^29-30") and rows["RS-RANGES", "10/8"]["addr"] == 10 << 24
-    assert (rows["RS-RANGES", "RS-OTHER^24-25"]["child"], rows["RS-RANGES", "RS-OTHER^24-25"]["op"]) == ("RS-OTHER", "^24-25")
+    assert rows["AS-CHART", "LAGOON::AS-TIDE"]["child_source"] == "LAGOON"
+    assert ("AS-CHART", "AS-TIDE") not in rows and not any("DOUBLE" in k[1] for k in rows)
+    told = rows["RS-DOCKS", "172.24.0.0/22^23-24"]
+    assert (told["plen"], told["op"]) == (22, "^23-24") and rows["RS-DOCKS", "100/8"]["addr"] == 100 << 24
+    assert (rows["RS-DOCKS", "RS-SLIPWAY^25-26"]["child"], rows["RS-DOCKS", "RS-SLIPWAY^25-26"]["op"]) == ("RS-SLIPWAY", "^25-26")
 
 
 def test_ranges_from_a_dump(spark, objects):
     members = model.members(objects)
-    got = expand.expand_ranges(spark.createDataFrame([("RS-RANGES",)], "top string"), members).where("addr <> 167772160")
-    assert {(r["plen"], r["lo"], r["hi"]) for r in got.collect()} == {(30, 30, 32), (28, 29, 30), (31, 32, 32)}
+    got = expand.expand_ranges(spark.createDataFrame([("RS-DOCKS",)], "top string"), members).where("plen > 8")
+    assert {(r["plen"], r["lo"], r["hi"]) for r in got.collect()} == {(22, 23, 24), (29, 29, 32), (31, 32, 32)}
 
 
 def test_routes_policies_and_typed(objects):
-    assert [(r["plen"], r["origin"], r["source"]) for r in model.routes(objects).collect()] == [(24, 64500, "TEST")]
-    assert [(r["asn"], r["attr"], r["text"]) for r in model.policies(objects).orderBy("ord").collect()] == [(64504, "import", "from AS1 accept ANY"), (64504, "export", "to AS1 announce AS64504")]
-    row = model.typed(objects, "aut-num").where("aut_num = 'AS64504'").first()
-    assert row["member_of"] == ["AS-CLAIMED"] and row["source"] == "TEST" and row["default"] == []
+    assert [(r["plen"], r["origin"], r["source"]) for r in model.routes(objects).collect()] == [(20, 3320, "HARBOUR")]
+    assert [(r["asn"], r["attr"], r["text"]) for r in model.policies(objects).orderBy("ord").collect()] == [(3301, "import", "from AS21 accept ANY"), (3301, "export", "to AS21 announce AS3301")]
+    row = model.typed(objects, "aut-num").where("aut_num = 'AS3301'").first()
+    assert row["member_of"] == ["AS-PIER"] and row["source"] == "HARBOUR" and row["default"] == []
 
 
 def test_diagnostics_and_report(objects):
@@ -131,8 +136,8 @@ def test_profile(spark, objects):
 def test_texts(objects):
     raw = {r["text"] for r in model.object_text(objects).collect()}
     assert {t.strip() for t in TEXT.split("\n\n")} == {t.strip() for t in raw}
-    neat = [r["text"] for r in model.formatted(objects).collect() if "AS64504\n" in r["text"]]
-    assert "aut-num:        AS64504\n" in neat[0] and "import:         from AS1\n                accept ANY\n" in neat[0]
+    neat = [r["text"] for r in model.formatted(objects).collect() if "AS3301\n" in r["text"]]
+    assert "aut-num:        AS3301\n" in neat[0] and "import:         from AS21\n                accept ANY\n" in neat[0]
 
 
 def test_both_families(spark, tmp_path):

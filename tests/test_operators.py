@@ -123,22 +123,55 @@ def test_cycle_of_lengthening_operators_ends(spark):
     assert {(r["lo"], r["hi"]) for r in got.collect()} == {(28, 28), *((n, 32) for n in range(29, 33))}
 
 
-def test_golden_sets(spark):
-    """Cycles, claims, precedence, reserved and missing names."""
-    sets = spark.createDataFrame([("AS-EXAMPLE", "TEST", ""), ("AS-DOWNSTREAM", "TEST", ""), ("AS-CLAIMED", "TEST", "MNT-OK"), ("AS-ANYREF", "TEST", "ANY"), ("AS-PRECEDENCE", "TEST", ""), ("AS-PRECEDENCE", "RADB", ""), ("AS-WITH-MISSING", "TEST", "")], "set_name string, source string, mbrs_by_ref string")
-    rows = [("AS-EXAMPLE", "TEST", 64500, None), ("AS-EXAMPLE", "TEST", 64501, None), ("AS-EXAMPLE", "TEST", None, "AS-DOWNSTREAM"), ("AS-DOWNSTREAM", "TEST", 64502, None), ("AS-DOWNSTREAM", "TEST", None, "AS-EXAMPLE"), ("AS-CLAIMED", "TEST", 64500, None), ("AS-ANYREF", "TEST", 64500, None), ("AS-PRECEDENCE", "TEST", 64500, None), ("AS-PRECEDENCE", "RADB", 64510, None), ("AS-WITH-MISSING", "TEST", 64501, None), ("AS-WITH-MISSING", "TEST", None, "AS-NOWHERE"), ("AS-WITH-MISSING", "TEST", None, "AS-ANY"), ("AS-WITH-MISSING", "TEST", None, "RS-OTHER")]
+def test_sets_of_a_small_registry(spark):
+    """A cycle of three, claims with and without a right to it, two registries with one name, reserved and missing names."""
+    named = [("AS-OAK", "WOOD", ""), ("AS-ELM", "WOOD", ""), ("AS-ASH", "WOOD", ""), ("AS-GUILD", "WOOD", "SAW-MNT,axe-mnt"), ("AS-OPEN", "WOOD", "ANY"), ("AS-TWIN", "WOOD", ""), ("AS-TWIN", "IRON", ""), ("AS-HOLE", "IRON", "")]
+    sets = spark.createDataFrame(named, "set_name string, source string, mbrs_by_ref string")
+    listed = {"AS-OAK": [11, "AS-ELM"], "AS-ELM": [12, 13, "AS-ASH"], "AS-ASH": ["AS-OAK", 14], "AS-GUILD": [20], "AS-OPEN": [], "AS-HOLE": [30, "AS-VOID", "AS-ANY", "RS-OTHER"]}
+    rows = [(s, "IRON" if s == "AS-HOLE" else "WOOD", m if isinstance(m, int) else None, m if isinstance(m, str) else None) for s, ms in listed.items() for m in ms] + [("AS-TWIN", "IRON", 41, None), ("AS-TWIN", "WOOD", 42, None)]
     members = spark.createDataFrame(rows, "set_name string, source string, asn long, child string")
-    claims = spark.createDataFrame([(64504, "AS-CLAIMED", "mnt-ok", "test"), (64505, "AS-CLAIMED", "MNT-BAD", "TEST"), (64506, "AS-CLAIMED", "MNT-OK", "RADB"), (64507, "AS-ANYREF", "MNT-X", "TEST")], "asn long, member_of string, mnt string, source string")
+    claims = spark.createDataFrame([(21, "AS-GUILD", "AXE-mnt", "wood"), (22, "AS-GUILD", "NAIL-MNT", "WOOD"), (23, "AS-GUILD", "SAW-MNT", "IRON"), (51, "AS-OPEN", "NAIL-MNT", "WOOD")], "asn long, member_of string, mnt string, source string")
     tops = sets.select(F.col("set_name").alias("top")).distinct()
-    own = expand.chosen_members(sets, members, ("TEST", "RADB"))
-    nodes = expand.expand_sets(tops, sets, members, ("TEST", "RADB"))
+    order = ("IRON", "WOOD")
+    own = expand.chosen_members(sets, members, order)
+    nodes = expand.expand_sets(tops, sets, members, order)
     got = {}
     for r in expand.expand_as(nodes, own, expand.allowed_claims(sets, claims)).collect():
         got.setdefault(r["top"], set()).add(r["asn"])
-    assert got == {"AS-EXAMPLE": {64500, 64501, 64502}, "AS-DOWNSTREAM": {64500, 64501, 64502}, "AS-CLAIMED": {64500, 64504}, "AS-ANYREF": {64500, 64507}, "AS-PRECEDENCE": {64500}, "AS-WITH-MISSING": {64501}}
-    assert ("AS-WITH-MISSING", "AS-NOWHERE") in {tuple(r) for r in expand.missing(nodes, own, sets).collect()}
+    ring = {11, 12, 13, 14}
+    assert got == {"AS-OAK": ring, "AS-ELM": ring, "AS-ASH": ring, "AS-GUILD": {20, 21}, "AS-OPEN": {51}, "AS-TWIN": {41}, "AS-HOLE": {30}}
+    assert {r["missing"] for r in expand.missing(nodes, own, sets).collect()} >= {"AS-VOID"}
     with pytest.raises(expand.SetTooLarge):
-        expand.expand_sets(tops, sets, members, ("TEST",), max_depth=0)
+        expand.expand_sets(tops, sets, members, order, max_depth=0)
+
+
+def test_aggregate_equals_plain_joining(spark):
+    rng = random.Random(5)
+    rows = [(f"L{k % 3}", (TEN + (rng.randrange(64) << 8)) >> (32 - n) << (32 - n), n) for k in range(120) for n in [rng.randrange(20, 27)]]
+    got = {}
+    for r in registry.aggregate(spark.createDataFrame(rows, "name string, addr long, plen int")).collect():
+        got.setdefault(r["name"], set()).add((r["addr"], r["plen"]))
+    for name in got:
+        held = {(a, n) for x, a, n in rows if x == name}
+        while True:
+            held = {(a, n) for a, n in held if not any(m < n and b <= a < b + (1 << 32 - m) for b, m in held)}
+            pair = next(((a, n) for a, n in sorted(held) if a % (1 << 33 - n) == 0 and (a + (1 << 32 - n), n) in held), None)
+            if pair is None:
+                break
+            held = held - {pair, (pair[0] + (1 << 32 - pair[1]), pair[1])} | {(pair[0], pair[1] - 1)}
+        assert got[name] == held
+
+
+def test_inside_one_space(spark):
+    rng = random.Random(6)
+    make = lambda s, n: [(s, rng.randrange(1 << p) << (32 - p), p, p, min(p + 2, 8)) for _ in range(n) for p in [rng.randrange(1, 7)]]
+    whole = make("w", 8)
+    rows = [r for k in range(12) for r in make(f"s{k}", 1 + k % 3)] + [("part", *whole[0][1:]), ("part", *whole[3][1:])] + whole
+    held = space.sweep({"a": space.intervals(spark.createDataFrame(rows, ENTRIES.replace("name", "space")))}, F.col("a") > 0)
+    written_whole = held.where("space = 'w'").drop("space")
+    got = {r["space"]: r["inside"] for r in space.inside(held, written_whole).collect()}
+    want = {s: listed([r[1:] for r in rows if r[0] == s]) <= listed([r[1:] for r in whole]) for s in {r[0] for r in rows}}
+    assert got == want and want["part"] and want["w"] and not all(want.values())
 
 
 def test_origin_validation(spark):

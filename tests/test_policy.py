@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from routeloom.functions import policy as p
+from routeloom.operators import policy as tables
 
 LEAVES = st.sampled_from([("any",), ("as", 1, ""), ("as", 2, "^+"), ("set", "AS-FOO", ""), ("set", "RS-BAR", "^24-26"), ("prefixes", (("10.0.0.0/8", ""), ("10.1.0.0/16", "^+"))), ("path", "^AS1 .*$"), ("community", "contains", ("1:2", "3:4")), ("community", "equals", ("5:6",)), ("peeras", "")])
 FILTERS = st.recursive(LEAVES, lambda x: st.one_of(x.filter(lambda f: f[0] != "not").map(lambda f: ("not", f)), st.tuples(st.sampled_from(["and", "or"]), st.lists(x, min_size=2, max_size=3).map(tuple))), max_leaves=7)
@@ -166,3 +167,51 @@ def p_literals():
     from pyspark.sql import functions as F
 
     return F.explode(F.concat("c.positive", "c.negative")).alias("literal")
+
+
+@pytest.mark.parametrize(
+    ("text", "told"),
+    [
+        ("{10.0.0.0/8^+}^24", "{10.0.0.0/8^24}"),
+        ("{10.0.0.0/8^20-24}^22-30", "{10.0.0.0/8^22-30}"),
+        ("{10.0.0.0/8^-}^-", "{10.0.0.0/8^10-32}"),
+        ("{10.0.0.0/8^+, 192.0.2.0/24}^+", "{10.0.0.0/8^+, 192.0.2.0/24^+}"),
+        ("{192.0.2.0/30^+, 192.0.2.0/32^+}^16-20", "{}"),
+        ("{2001:db8::/32^+}^48", "{2001:db8::/32^48}"),
+    ],
+)
+def test_operators_behind_lists(text, told):
+    f, errors = p.parse_filter(text)
+    assert not errors and p.text_of(f) == told
+    again, errors = p.parse_filter(told)
+    assert not errors and again == f
+
+
+def test_deep_nesting():
+    deep = lambda n: "(" * n + "AS1" + ")" * n
+    assert p.parse_filter(deep(990)) == (("as", 1, ""), [])
+    assert p.parse_filter(deep(1001))[1][0][0] == "policy/filter"
+    nots = "NOT (AS1 OR " * 900 + "AS2" + ")" * 900
+    f, errors = p.parse_filter(nots)
+    assert not errors and p.parse_filter(p.text_of(f))[0] == f
+
+
+def test_shadowed_terms_equal_plain_covering(spark):
+    """Terms of two peers with prefix lists; a term is shadowed if the earlier ones hold all of its prefixes."""
+    rng = random.Random(4)
+    rows, want = [], set()
+    for asn in range(6):
+        held = {}
+        for k in range(12):
+            peer, own = rng.randrange(2), set()
+            for _ in range(rng.randrange(1, 4)):
+                n = rng.randrange(1, 6)
+                lo = rng.randrange(1 << n)
+                hi = rng.randrange(lo + 1, min(1 << n, lo + 4) + 1)
+                rows.append((asn, "import", k, 0, peer, n, lo, hi))
+                own |= {(n, i) for i in range(lo, hi)}
+            if own <= held.get(peer, set()):
+                want.add((asn, k))
+            held.setdefault(peer, set()).update(own)
+    spaces = spark.createDataFrame(rows, "asn long, attr string, ord int, term int, peer long, plen int, lo long, hi long")
+    assert {(r["asn"], r["ord"]) for r in tables.shadowed(None, spaces).collect()} == want and len(want) > 3

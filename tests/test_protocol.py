@@ -1,7 +1,9 @@
 """Commands and their framed answers."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from routeloom.functions.prefix import parsed
 from routeloom.operators import cover
 from routeloom.operators.protocol import Session, Tables
 
@@ -58,3 +60,18 @@ def test_inverse(session):
     assert session.do("-i member-of AS-A").startswith("aut-num: AS2\n")
     assert session.do("-K -i mnt-by m") == "aut-num: AS10\n\n"
     assert session.do("-T route AS2") == "% No entries found\n\n" and session.do("-i x y").startswith("%%") and session.do("-Z a").startswith("%%")
+
+
+def test_both_families(spark):
+    """Commands with routes of both families: !6 and !a6 answer with IPv6, !a with both, !r by the prefix."""
+    sets = spark.createDataFrame([("AS-A", "as-set", "RIPE", "")], "set_name string, class string, source string, mbrs_by_ref string")
+    members = spark.createDataFrame([("AS-A", "RIPE", 7, None), ("AS-A", "RIPE", 8, None)], "set_name string, source string, asn long, child string")
+    rows = [("10.2.0.0/16", 7), ("2001:db8:20::/44", 7), ("2001:db8::/32", 8), ("2001:db8:20::/48", 8), ("10.1.0.0/16", 8)]
+    routes = spark.createDataFrame([(p, o, "RIPE") for p, o in rows], "t string, origin long, source string").select(parsed("t").alias("p"), "origin", "source").select("p.af", F.col("p.text").alias("prefix"), "p.plen", "p.key", "origin", "source")
+    none = spark.createDataFrame([], "class string, pk string, source string, text string, name string, value string")
+    s = Session(Tables(sets, members, routes, none, none, {"RIPE": 1}))
+    data = lambda line: s.do(line).split("\n", 1)[1].removesuffix("\nC\n")
+    assert data("!6AS7") == "2001:db8:20::/44" and data("!gAS8") == "10.1.0.0/16" and s.do("!6AS9") == "D\n"
+    assert data("!a6AS-A") == "2001:db8::/32 2001:db8:20::/44 2001:db8:20::/48" and data("!a4AS-A") == "10.1.0.0/16 10.2.0.0/16"
+    assert data("!aAS-A") == data("!a4AS-A") + " " + data("!a6AS-A")
+    assert data("!r2001:db8:20::/48,o") == "AS8" and data("!r2001:db8:20::/48,l") == "route6: 2001:db8:20::/44\norigin: AS7\nsource: RIPE"
