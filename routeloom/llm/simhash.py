@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, named, once, salted_join, slices, table, unused
-from .components import components
+from .components import components, smallest_label
 
 WORD_BITS = 64
 FAN_OUT = 8
@@ -103,20 +103,6 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
     return rank
 
 
-def smallest_label(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Labels after joining the pairs (a, b): each item gets the smallest label it is connected to."""
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        new = np.minimum(new, new[label])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def forest(group: np.ndarray, code: np.ndarray, limit: int, confirm: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (item, smallest item of its component) among the codes of each group that differ in `limit` bits at most.
 

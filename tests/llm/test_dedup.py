@@ -248,18 +248,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("in_one_task", [0, 10_000])
+def test_components_of_chains_and_stars(spark, in_one_task):
     rng = random.Random(9)
     pairs = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 300)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(120)]
     pairs = [p for p in pairs if p[0] != p[1]]
     want = union(pairs, {x for p in pairs for x in p})
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([*pairs, (400, 400)], "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([*pairs, (400, 400)], "a long, b long"), in_one_task).collect()}
     assert got == want
 
 
-def test_components_of_a_hub(spark):
+@pytest.mark.parametrize("in_one_task", [0, 10_000])
+def test_components_of_a_hub(spark, in_one_task):
     pairs = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5000 + k // 2) for k in range(1, 500)] + [(2999, 5499)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long"), in_one_task).collect()}
     assert got == dict.fromkeys({x for p in pairs for x in p}, 0)
 
 
