@@ -1,8 +1,8 @@
 """Recursive expansion of named sets, for any number of top sets at once.
 
 A closure goes level by level: the frontier is joined to the edges, what was reached before is removed, and the rest is the next
-frontier, so a set is met once for each top at its shortest distance, and cycles end. Each level is a written table; nothing but the
-number of new rows comes to the driver.
+frontier, so a set is met once for each top at its shortest distance, and cycles end. Each level is a written table, or, if it has a few
+thousand rows at most, a table that the plan holds; nothing else but the number of new rows comes to the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +26,19 @@ class SetTooLarge(Exception):
     """A closure goes past its limit of depth or of sets."""
 
 
+#: Rows of a level that are kept with the plan instead of a written table.
+FEW = 5_000
+
+
+def level(rows: DataFrame, after_few: bool) -> tuple[DataFrame, int | None]:
+    """A level of a closure, cut from its plan, and its rows if they are FEW at most. A level that comes after few is looked at first; others are written at once."""
+    if after_few:
+        held = rows.limit(FEW + 1).toArrow()
+        if held.num_rows <= FEW:
+            return rows.sparkSession.createDataFrame(held, rows.schema), held.num_rows
+    return written(rows, "level"), None
+
+
 def closure(tops: DataFrame, edges: DataFrame, state: list[str], max_depth: int = MAX_DEPTH, max_visited: int = MAX_VISITED, step=None) -> DataFrame:
     """tops(top, *state) and all states reached through edges, with their depth.
 
@@ -40,15 +53,15 @@ def closure(tops: DataFrame, edges: DataFrame, state: list[str], max_depth: int
 
     key = ["top", *state]
     edges = written(edges, "edges")
-    frontier = written(tops.select(*key).distinct().withColumn("depth", F.lit(0)), "level")
+    frontier, few = level(tops.select(*key).distinct().withColumn("depth", F.lit(0)), True)
     levels, depth = [frontier], 0
     while True:
         joined = frontier.join(edges, F.col(state[0]) == F.col("parent"))
         onward = joined.select("top", *(step(joined) if step else [F.col("child").alias(state[0])])).distinct()
         seen = reduce(DataFrame.unionByName, levels).select(*key)
         fresh = onward.join(seen, [onward[k].eqNullSafe(seen[k]) for k in key], "left_anti")
-        frontier = written(fresh.withColumn("depth", F.lit(depth + 1)), "level")
-        if frontier.isEmpty():
+        frontier, few = level(fresh.withColumn("depth", F.lit(depth + 1)), few is not None)
+        if few == 0 or few is None and frontier.isEmpty():
             break
         depth += 1
         levels.append(frontier)

@@ -39,9 +39,29 @@ CLASSES = {
 }
 
 
+# The routing classes as registries of the IRR software take them; what a class says of itself holds before the common part.
+IRR_COMMON = "descr* admin-c* tech-c* remarks* notify* mnt-by!* changed* source! last-modified*"
+IRR_ROUTE = "origin! holes* member-of* inject* aggr-bndry aggr-mtd export-comps components geoidx* roa-uri"
+IRR = {
+    "as-set": f"{IRR_COMMON} as-set! members* mbrs-by-ref*",
+    "route-set": f"{IRR_COMMON} route-set! members* mp-members* mbrs-by-ref*",
+    "route": f"{IRR_COMMON} route! {IRR_ROUTE}",
+    "route6": f"{IRR_COMMON} route6! {IRR_ROUTE}",
+    "aut-num": f"{IRR_COMMON} aut-num! as-name! member-of* import* mp-import* import-via* export* mp-export* export-via* default* mp-default* admin-c!* tech-c!* mnt-by*",
+}
+#: Profiles by name: all classes merged, the IRR software's, and ARIN's, which adds when an object was made and changed.
+PROFILES = {"merged": CLASSES, "irr": IRR, "arin": {c: f"{line} created last-modified" for c, line in IRR.items()}}
+
+
 def profile(classes: dict[str, str] = CLASSES) -> list[tuple[str, str, bool, bool]]:
-    """(class, attribute, required, single) of each class."""
-    return [(c, a.rstrip("!*"), "!" in a, not a.endswith("*")) for c, line in classes.items() for a in line.split()]
+    """(class, attribute, required, single) of each class; of an attribute that is named twice the later holds."""
+    told = {(c, a.rstrip("!*")): ("!" in a, not a.endswith("*")) for c, line in classes.items() for a in line.split()}
+    return [(c, name, *how) for (c, name), how in told.items()]
+
+
+def with_src_members(classes: dict[str, str]) -> dict[str, str]:
+    """A profile whose as-sets and route-sets may have members of a named registry."""
+    return {c: f"{line} src-members*" if c in ("as-set", "route-set") else line for c, line in classes.items()}
 
 
 def source_of(objects: DataFrame) -> Column:

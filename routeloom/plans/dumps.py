@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import attributes as at
 from ..functions.prefix import prefix_text
-from ..operators import generate, model
+from ..operators import generate, model, registry
 from ..sources import rpsl
 from ..sources.synthetic import OCTETS
 from ..sources.synthetic import registry as load
-from .queries import TEXT, after, entries, query
+from .queries import BROKEN, TEXT, after, entries, query
 from .scratch import folder
 
 
@@ -216,3 +216,9 @@ def refused_aggregation(spark, sf_dir):
     """Which lists can't be aggregated, by the rules of what vendors write."""
     asked = [("junos", "prefix-list"), ("junos", "route-filter"), ("ios", "prefix-list"), ("nokia", "route-filter"), ("bird", "as-set"), ("plain", "as-path"), ("mikrotik6", "as-path"), ("openbgpd", "route-filter")]
     return spark.createDataFrame([(v, k, generate.refused(v, k, aggregate=True) is not None) for v, k in asked], "vendor string, kind string, refused boolean")
+
+
+@query(after(BROKEN, "SELECT obj_id, rule, name FROM broken"), "attributes")
+def arin_violations(spark, sf_dir):
+    """Objects against the profile of one registry."""
+    return registry.violations(*load(spark, sf_dir, "attributes"), model.profile(model.PROFILES["arin"]))

@@ -133,6 +133,24 @@ def test_profile(spark, objects):
     assert {("1", "dict/cardinality", "origin"), ("1", "dict/unknown-attribute", "zzz"), ("2", "dict/unknown-class", "cat"), ("1", "dict/missing-required", "route")} <= found
 
 
+def test_profiles_by_name(spark):
+    rows = [("1", "aut-num", n, "x") for n in ("aut-num", "as-name", "admin-c", "tech-c", "source", "created", "created")] + [("2", "mntner", "mntner", "M"), ("3", "as-set", "src-members", "x"), ("3", "as-set", "as-set", "x"), ("3", "as-set", "mnt-by", "x"), ("3", "as-set", "source", "x")]
+    df = spark.createDataFrame(rows, "obj_id string, class string, name string, value string")
+    told = lambda classes: {(r["obj_id"], r["rule"], r["name"]) for r in registry.violations(df, model.profile(classes)).collect()}
+    irr, arin = told(model.PROFILES["irr"]), told(model.with_src_members(model.PROFILES["arin"]))
+    assert irr == {("1", "dict/unknown-attribute", "created"), ("2", "dict/unknown-class", "mntner"), ("3", "dict/unknown-attribute", "src-members")}
+    assert arin == {("1", "dict/cardinality", "created"), ("2", "dict/unknown-class", "mntner")}
+
+
+def test_gzip_by_its_first_bytes(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "packed.db").write_bytes(gzip.compress(b"route: 10.0.0.0/8\norigin: AS1\nsource: T\n\nas-set: AS-X\nsource: T\n"))
+    (tmp_path / "plain.db").write_text("route: 10.1.0.0/16\norigin: AS2\nsource: T\n")
+    (tmp_path / "named.db.gz").write_bytes(gzip.compress(b"route: 10.2.0.0/16\norigin: AS3\nsource: T\n"))
+    assert {r["key"] for r in rpsl.scan(spark, str(tmp_path)).collect()} == {"10.0.0.0/8", "10.1.0.0/16", "10.2.0.0/16", "AS-X"}
+
+
 def test_texts(objects):
     raw = {r["text"] for r in model.object_text(objects).collect()}
     assert {t.strip() for t in TEXT.split("\n\n")} == {t.strip() for t in raw}
