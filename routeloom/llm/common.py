@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,12 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def map_whole(df: DataFrame, run) -> DataFrame:
+    """The rows that run(batches) leaves of df, with all its columns; in the batches columns have numbers for names, as mapInArrow takes no names with dots or backticks."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from the columns of df (whatever their case)."""
     taken = {c.lower() for c in df.columns}
@@ -61,8 +68,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return set_before.get().rstrip("/")
 
 
-#: The tables written in calls of `once` that go on.
-PASSING: list[list[DataFrame]] = []
+class Passing(threading.local):
+    """The tables written in calls of `once` that go on in this thread."""
+
+    def __init__(self) -> None:
+        self.calls: list[list[DataFrame]] = []
+
+
+PASSING = Passing()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -74,18 +87,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     out._scratch = path
     files, hadoop = file_system(spark, path)
     files.deleteOnExit(hadoop)
-    if PASSING:
-        PASSING[-1].append(out)
+    if PASSING.calls:
+        PASSING.calls[-1].append(out)
     return out
 
 
 def once(build: Callable[[], DataFrame], name: str) -> DataFrame:
     """What build returns as a written table; the tables that were written on the way to it are deleted."""
-    PASSING.append([])
+    PASSING.calls.append([])
     try:
         df = build()
     finally:
-        passing = PASSING.pop()
+        passing = PASSING.calls.pop()
     out = materialize(df, name)
     for old in passing:
         discard(old)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import map_whole, slices, table
 
 Q = 8
 EDIT_RATE = 0.1
@@ -211,12 +211,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, rate: float = EDIT
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = index_of(name, block, rate)
-            for batch in slices(batches, "text"):
-                bad = {n for n, *_ in matches(items, [normal(x) for x in batch.column("text").to_pylist()])}
+            for batch in slices(batches, at):
+                bad = {n for n, *_ in matches(items, [normal(x) for x in batch.column(at).to_pylist()])}
                 yield batch.filter(pa.array([n not in bad for n in range(batch.num_rows)], pa.bool_()))
 
-        return documents.mapInArrow(run, documents.schema)
+        return map_whole(documents, run)
 
+    at = documents.columns.index("text")
     return reduce(clean, item_blocks(benchmark, block_bytes), documents)
 
 

@@ -255,8 +255,8 @@ WIDE = 4
 BAND_ROWS, BANDS = 4, 20
 #: Sets that one task takes as a group; larger groups are split.
 MOST = 50_000
-#: Members of a group that are held against all others of it in a round.
-LEADERS = 64
+#: Members of a group that are held against all others of it in a round, at most.
+LEADERS = 512
 #: Hashed buckets of sets that tell which sets are needed; a table of so many rows is broadcast.
 NEEDED = 1 << 18
 
@@ -381,24 +381,25 @@ def loose_links(banded: DataFrame, similarity: float, most: int) -> tuple[DataFr
 
 
 class Leaders:
-    """Up to LEADERS sets, as the distinct items of all with a bit for each set that has an item, so that one look-up counts for all sets."""
+    """Up to LEADERS sets, as the items of all in order with the set that each is of, so that one look-up counts for all sets."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = np.array([len(x) for x in sets])
-        item, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        item, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(item, kind="stable")
-        item, of = item[order], of[order]
-        first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
-        self.items = item[first]
-        self.bits = np.bitwise_or.reduceat(np.uint64(1) << of.astype(np.uint64), first)
+        item, self.of = item[order], of[order]
+        self.first = np.r_[np.flatnonzero(np.r_[True, item[1:] != item[:-1]]), len(item)]
+        self.items = item[self.first[:-1]]
 
     def similar(self, own: np.ndarray, similarity: float) -> list[int]:
         """The sets whose Jaccard similarity with another is `similarity` or more."""
-        if not len(own):
+        if not len(own) or not len(self.items):
             return []
         at = np.minimum(np.searchsorted(self.items, own), len(self.items) - 1)
-        hits = self.bits[at[self.items[at] == own]]
-        both = np.unpackbits(hits.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[: len(self.sizes)]
+        at = at[self.items[at] == own]
+        count = self.first[at + 1] - self.first[at]
+        place = np.repeat(self.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(self.of[place], minlength=len(self.sizes))
         return np.flatnonzero(both >= similarity * (len(own) + self.sizes - both) - 1e-9).tolist()
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, once, sample_texts, slices, table
+from .common import discard, map_whole, once, sample_texts, slices, table
 from .quality import THRESHOLD, score
 from .words import DIGIT, LETTER, SPACE, UPPER, Texts, hash_of, per_text, pieces
 
@@ -274,13 +274,13 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def without_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """documents without the rows that score `threshold` or more, in one pass."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield batch.filter(pa.array(shared.value.scores(batch.column("text").to_pylist()) < threshold))
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_whole(documents, run)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
