@@ -18,6 +18,7 @@ smallest of its component unless all are null. Empty input gives an empty result
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
@@ -25,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, named, once, salted_join, slices, table, unused
@@ -295,6 +296,18 @@ def nodes_of(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
 
 
+def packed(text: bytes | None, own: np.ndarray) -> bytes:
+    """A set of shingle hashes as the smaller of its hashes (led by 0) and of the words it is made of, deflated (led by 1)."""
+    words = zlib.compress(b" ".join(words_of(text)))
+    return b"\1" + words if len(words) < own.nbytes else b"\0" + own.tobytes()
+
+
+def unpacked(items: bytes, size: int) -> np.ndarray:
+    if items[:1] == b"\0":
+        return np.frombuffer(items, np.uint64, offset=1)
+    return np.unique(hashes(shingles(words_of(zlib.decompress(memoryview(items)[1:])), size)))
+
+
 def set_prints(documents: DataFrame, size: int) -> DataFrame:
     """Of each row doc_id, a hash of its text, and of its set of shingles `node`, a hash, `wide`, its print, and `bands`, the keys of its bands."""
 
@@ -307,8 +320,12 @@ def set_prints(documents: DataFrame, size: int) -> DataFrame:
     return keyed_texts(documents).mapInArrow(run, "doc_id long, text_hash long, node binary, wide binary, bands array<long>")
 
 
+def bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(NEEDED)).alias("bucket")
+
+
 def whole_sets(documents: DataFrame, prints: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, items) of the wanted nodes and of few others: the hashes of all shingles of one row for each node.
+    """(node, items) of the wanted nodes and of few others: the whole set of one row for each node, `packed`.
 
     Which rows are needed is told by a table of NEEDED hashed buckets at most, so texts are filtered where they are read.
     """
@@ -316,9 +333,9 @@ def whole_sets(documents: DataFrame, prints: DataFrame, wanted: DataFrame, size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             sets = item_sets(batch.column(0), size)
-            yield pa.record_batch([nodes_of(sets), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "items"])
+            items = map(packed, batch.column(0).cast(pa.binary()).to_pylist(), sets)
+            yield pa.record_batch([nodes_of(sets), pa.array(list(items), pa.binary())], names=["node", "items"])
 
-    bucket = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(NEEDED)).alias("bucket")
     needed = wanted.select(bucket("node")).distinct()
     one = prints.select("doc_id", "text_hash", "node", bucket("node")).join(F.broadcast(needed), "bucket", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     rows = one.select(bucket("k.doc_id", "k.text_hash")).distinct()
@@ -403,29 +420,55 @@ class Leaders:
         return np.flatnonzero(both >= similarity * (len(own) + self.sizes - both) - 1e-9).tolist()
 
 
-def similar_pairs(members: DataFrame, leaders: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Links (a, b) between the members and the leaders of each group g whose sets have the similarity, by exact counts.
+class Joined:
+    """Components that links join, as a forest over their ids."""
+
+    def __init__(self) -> None:
+        self.above: dict[bytes, bytes] = {}
+
+    def root(self, x: bytes) -> bytes:
+        while (y := self.above.get(x)) is not None:
+            self.above[x] = z = self.above.get(y, y)
+            if z == y:
+                return y
+            x = z
+        return x
+
+    def join(self, x: bytes, y: bytes) -> bool:
+        """Whether x and y were apart; they are one now."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.above[y] = x
+        return True
+
+
+def similar_pairs(members: DataFrame, leaders: DataFrame, sets: DataFrame, similarity: float, most: int, size: int = 5) -> DataFrame:
+    """Links (a, b) that join the members and the leaders of each group g whose sets have the similarity, by exact counts.
 
     members and leaders are (g, node, component); those of one component aren't compared. A task holds the leaders' sets of one group at
-    a time, and the members pass by them; the members of large groups are dealt over parts, each of which has the leaders.
+    a time, and the members pass by them; the members of large groups are dealt over parts, each of which has the leaders. A pair that
+    earlier links of the part join already gives no link of its own, so that there are fewer links than members and leaders.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, index = None, [], None
+        now, held, index, joined = None, [], None, Joined()
         for batch in batches:
             found = []
             for g, part, follows, node, component, items in zip(*(batch.column(c).to_pylist() for c in ("g", "part", "follows", "node", "component", "items")), strict=True):
                 if (g, part) != now:
-                    now, held, index = (g, part), [], None
-                own = np.frombuffer(items, np.uint64)
+                    now, held, index, joined = (g, part), [], None, Joined()
                 if not follows:
-                    held.append((node, component, own))
+                    held.append((node, component, unpacked(items, size)))
+                    continue
+                mine = joined.root(component)
+                if all(joined.root(other) == mine for _, other, _ in held):
                     continue
-                if held and index is None:
+                if index is None:
                     index = Leaders([x for *_, x in held])
-                for k in index.similar(own, similarity) if index else ():
+                for k in index.similar(unpacked(items, size), similarity):
                     leader, other, _ = held[k]
-                    if leader != node and other != component:
+                    if joined.join(other, component):
                         found.append((node, leader))
             yield pa.record_batch([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -455,7 +498,7 @@ def similar_components(documents: DataFrame, prints: DataFrame, size: int, simil
     wanted = loose.select(F.col("a").alias("node")).union(loose.select("b"))
     sets = materialize(whole_sets(documents, prints, wanted if split is None else wanted.union(split.select("node")), size), "sets")
     leaders = loose.select(F.col("b").alias("g"), F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    links = materialize(similar_pairs(loose.select(F.col("b").alias("g"), F.col("a").alias("node"), F.col("a").alias("component")), leaders, sets, similarity, most), "similar")
+    links = materialize(similar_pairs(loose.select(F.col("b").alias("g"), F.col("a").alias("node"), F.col("a").alias("component")), leaders, sets, similarity, most, size), "similar")
     # The first member of a loose group has been held against all others.
     alive = loose.select(F.col("b").alias("g"), F.col("a").alias("node"))
     alive = alive if split is None else alive.union(split)
@@ -469,7 +512,8 @@ def similar_components(documents: DataFrame, prints: DataFrame, size: int, simil
         alive = materialize(salted_join(placed, open_groups, ["g"]), "alive")
         strays = alive.where("component <> main")
         leaders = materialize(strays.groupBy("g", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "component")).alias("x")).select("g", "x.node", "x.component"), "leaders")
-        more = materialize(similar_pairs(alive.select("g", "node", "component"), leaders, sets, similarity, most), "similar")
+        left = sets.join(F.broadcast(alive.select(bucket("node")).distinct()), bucket("node") == F.col("bucket"), "left_semi")
+        more = materialize(similar_pairs(alive.select("g", "node", "component"), leaders, left, similarity, most, size), "similar")
         if not more.isEmpty():
             links = links.union(more)
             components_found = components(links)

@@ -1,6 +1,7 @@
 """Packing, suffix dedup, SimHash, decontamination and line dedup against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from routeloom.llm import decontaminate as dc
 from routeloom.llm import line_dedup, packing, simhash, suffix_dedup
@@ -354,6 +356,31 @@ def test_large_groups_are_split_and_lose_no_link(spark, most):
     assert len({*zip(want.values(), [bytes(got[k]) for k in want], strict=True)}) == len({*want.values()}) == len({bytes(x) for x in got.values()})
 
 
+@pytest.mark.parametrize("most", [70, 50_000])
+def test_links_of_a_group_are_fewer_than_its_members_and_leaders(spark, most):
+    """200 near copies held against 100 of them: a forest in each part, not all pairs."""
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = docs(spark, [(k, " ".join([*base, f"end{k}"])) for k in range(200)] + [(900, "quite another text of some words")])
+    prints = simhash.set_prints(rows, 5)
+    members = prints.select(F.lit(b"g").alias("g"), "node", F.col("node").alias("component"))
+    leaders = members.join(prints.where("doc_id < 100").select("node"), "node").select("g", "node", "component")
+    links = simhash.similar_pairs(members, leaders, simhash.whole_sets(rows, prints, prints.select("node"), 5), 0.8, most).collect()
+    parts = math.ceil(201 / most)
+    assert len(links) <= 201 + 100 * parts
+    near = {bytes(r["node"]) for r in prints.where("doc_id < 900").collect()}
+    want = union([(bytes(a), bytes(b)) for a, b in links], near)
+    assert len(set(want.values())) == 1
+
+
+def test_sets_travel_whole():
+    for text in (None, b"", b"one", b"A b\tC\x0bd e F g", b"x " * 5000, "ß €ö a b c d".encode(), b"\xff a\x00b c d e f " * 3, " ".join(map(str, range(9000))).encode()):
+        own = np.unique(simhash.hashes(simhash.shingles(simhash.words_of(text), 5)))
+        sent = simhash.packed(text, own)
+        assert len(sent) <= own.nbytes + 1
+        assert (simhash.unpacked(sent, 5) == own).all()
+
+
 # ---- decontamination
 
 
