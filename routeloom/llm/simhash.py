@@ -256,8 +256,9 @@ WIDE = 4
 BAND_ROWS, BANDS = 4, 20
 #: Sets that one task takes as a group; larger groups are split.
 MOST = 50_000
-#: Members of a group that are held against all others of it in a round, at most.
-LEADERS = 512
+#: Members of a group that are held against all others of it in a round, at most; the items of their sets, at most, unless one set has more;
+#: and those of them that share an index.
+LEADERS, LEADER_ITEMS, INDEXED = 4096, 4_000_000, 512
 #: Hashed buckets of sets that tell which sets are needed; a table of so many rows is broadcast.
 NEEDED = 1 << 18
 
@@ -325,7 +326,7 @@ def bucket(*columns: str) -> Column:
 
 
 def whole_sets(documents: DataFrame, prints: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, items) of the wanted nodes and of few others: the whole set of one row for each node, `packed`.
+    """(node, items, n) of the wanted nodes and of few others: the whole set of one row for each node, `packed`, and its size.
 
     Which rows are needed is told by a table of NEEDED hashed buckets at most, so texts are filtered where they are read.
     """
@@ -334,13 +335,13 @@ def whole_sets(documents: DataFrame, prints: DataFrame, wanted: DataFrame, size:
         for batch in slices(batches, 0):
             sets = item_sets(batch.column(0), size)
             items = map(packed, batch.column(0).cast(pa.binary()).to_pylist(), sets)
-            yield pa.record_batch([nodes_of(sets), pa.array(list(items), pa.binary())], names=["node", "items"])
+            yield pa.record_batch([nodes_of(sets), pa.array(list(items), pa.binary()), pa.array(map(len, sets), pa.int64())], names=["node", "items", "n"])
 
     needed = wanted.select(bucket("node")).distinct()
     one = prints.select("doc_id", "text_hash", "node", bucket("node")).join(F.broadcast(needed), "bucket", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     rows = one.select(bucket("k.doc_id", "k.text_hash")).distinct()
     texts = keyed_texts(documents).select("text", bucket("doc_id", "text_hash")).join(F.broadcast(rows), "bucket", "left_semi")
-    return texts.select("text").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"])
+    return texts.select("text").mapInArrow(run, "node binary, items binary, n long").dropDuplicates(["node"])
 
 
 def bits_within(similarity: float, bits: int) -> int:
@@ -398,7 +399,7 @@ def loose_links(banded: DataFrame, similarity: float, most: int) -> tuple[DataFr
 
 
 class Leaders:
-    """Up to LEADERS sets, as the items of all in order with the set that each is of, so that one look-up counts for all sets."""
+    """Up to INDEXED sets, as the items of all in order with the set that each is of, so that one look-up counts for all sets."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = np.array([len(x) for x in sets])
@@ -452,24 +453,27 @@ def similar_pairs(members: DataFrame, leaders: DataFrame, sets: DataFrame, simil
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, index, joined = None, [], None, Joined()
+        now, held, indexes, joined = None, [], None, Joined()
         for batch in batches:
             found = []
             for g, part, follows, node, component, items in zip(*(batch.column(c).to_pylist() for c in ("g", "part", "follows", "node", "component", "items")), strict=True):
                 if (g, part) != now:
-                    now, held, index, joined = (g, part), [], None, Joined()
+                    now, held, indexes, joined = (g, part), [], None, Joined()
                 if not follows:
                     held.append((node, component, unpacked(items, size)))
                     continue
                 mine = joined.root(component)
                 if all(joined.root(other) == mine for _, other, _ in held):
                     continue
-                if index is None:
-                    index = Leaders([x for *_, x in held])
-                for k in index.similar(unpacked(items, size), similarity):
-                    leader, other, _ = held[k]
-                    if joined.join(other, component):
-                        found.append((node, leader))
+                if indexes is None:
+                    indexes = [(at, Leaders([x for *_, x in held[at : at + INDEXED]])) for at in range(0, len(held), INDEXED)]
+                    held = [(leader, other, None) for leader, other, _ in held]
+                own = unpacked(items, size)
+                for at, index in indexes:
+                    for k in index.similar(own, similarity):
+                        leader, other, _ = held[at + k]
+                        if joined.join(other, component):
+                            found.append((node, leader))
             yield pa.record_batch([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     hot = counted_keys(members, "g", most)
@@ -488,8 +492,9 @@ def similar_components(documents: DataFrame, prints: DataFrame, size: int, simil
     """(node, component) of the sets that have another of the similarity or more; sets joined by a chain are in one component.
 
     Candidates agree in a band of least hashes and pass the print, which is a loose filter here. Each loose group has a first member, and
-    the others are held against it by exact counts. In groups whose members aren't all in one component then, up to LEADERS members at
-    a time of those outside the group's largest component are held against all others, until every such pair has been compared.
+    the others are held against it by exact counts. In groups whose members aren't all in one component then, those outside the group's
+    largest component are held against all others, up to LEADERS members or LEADER_ITEMS items at a time, until every such pair has been
+    compared.
     """
     nodes = materialize(prints.select("node", "wide", "bands").dropDuplicates(["node"]), "nodes")
     banded = nodes.select(F.explode("bands").alias("key"), F.concat("node", "wide").alias("entry"))
@@ -501,23 +506,28 @@ def similar_components(documents: DataFrame, prints: DataFrame, size: int, simil
     links = materialize(similar_pairs(loose.select(F.col("b").alias("g"), F.col("a").alias("node"), F.col("a").alias("component")), leaders, sets, similarity, most, size), "similar")
     # The first member of a loose group has been held against all others.
     alive = loose.select(F.col("b").alias("g"), F.col("a").alias("node"))
-    alive = alive if split is None else alive.union(split)
+    alive = (alive if split is None else alive.union(split)).join(sets.select("node", "n"), "node")
     components_found = components(links)
     while True:
-        placed = alive.select("g", "node").join(components_found, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
-        counts = placed.groupBy("g", "component").count().groupBy("g").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"))
-        open_groups = materialize(counts.where("kinds > 1").select("g", "main"), "open")
+        placed = alive.join(components_found, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("component"))
+        counts = placed.groupBy("g", "component").agg(F.count("*").alias("count"), F.max("n").alias("n"))
+        slots = F.greatest(F.least(F.lit(LEADER_ITEMS) / F.greatest(F.max("n"), F.lit(1)), F.lit(LEADERS)), F.lit(1)).cast("long")
+        groups = counts.groupBy("g").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds"), (F.sum("count") - F.max("count")).alias("apart"), slots.alias("slots"))
+        open_groups = materialize(groups.where("kinds > 1").select("g", "main", F.when(F.col("apart") > F.col("slots"), F.col("slots")).alias("slots")), "open")
         if open_groups.isEmpty():
             return components_found
         alive = materialize(salted_join(placed, open_groups, ["g"]), "alive")
         strays = alive.where("component <> main")
-        leaders = materialize(strays.groupBy("g", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "component")).alias("x")).select("g", "x.node", "x.component"), "leaders")
+        slot = F.coalesce(F.pmod(F.xxhash64("node"), F.col("slots")), F.xxhash64("node"))
+        leaders = materialize(strays.groupBy("g", slot).agg(F.min(F.struct("node", "component")).alias("x")).select("g", "x.node", "x.component"), "leaders")
         left = sets.join(F.broadcast(alive.select(bucket("node")).distinct()), bucket("node") == F.col("bucket"), "left_semi")
         more = materialize(similar_pairs(alive.select("g", "node", "component"), leaders, left, similarity, most, size), "similar")
         if not more.isEmpty():
             links = links.union(more)
             components_found = components(links)
-        alive = alive.join(leaders.select("g", "node"), ["g", "node"], "left_anti").select("g", "node")
+        if leaders.count() == strays.count():  # what is left of each group is one component
+            return components_found
+        alive = alive.join(leaders.select("g", "node"), ["g", "node"], "left_anti").select("g", "node", "n")
 
 
 def similar_groups(documents: DataFrame, similarity: float = 0.8, size: int = 5, most: int = MOST) -> DataFrame:

@@ -373,6 +373,30 @@ def test_links_of_a_group_are_fewer_than_its_members_and_leaders(spark, most):
     assert len(set(want.values())) == 1
 
 
+def test_leaders_of_a_round_are_bounded_by_their_items(spark, monkeypatch):
+    """Texts alike in part: the leaders that a task holds have few items in all, few strays go in one round, and no link is lost."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    base = fresh(200)
+    rows = [" ".join(base[:168] + fresh(32)) for _ in range(40)] + [" ".join(base[: 186 + k] + fresh(6)) for k in range(6)]
+    sets = [shingle_set(t) for t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    want, calls, held = union(pairs, range(len(rows))), [], simhash.similar_pairs
+    assert 20 < len({*want.values()}) < 46
+
+    def seen(members, leaders, found, *rest):
+        calls.append(leaders.join(found.select("node", F.size(F.udf(lambda x: simhash.unpacked(bytes(x), 5).tolist(), "array<bigint>")("items")).alias("size")), "node").groupBy("g").agg(F.sum("size").alias("items")).agg(F.max("items")).first()[0])
+        return held(members, leaders, found, *rest)
+
+    monkeypatch.setattr(simhash, "similar_pairs", seen)
+    for items, rounds in ((1500, None), (simhash.LEADERS * 1000, 2)):
+        calls.clear()
+        monkeypatch.setattr(simhash, "LEADER_ITEMS", items, raising=False)
+        got = {r["doc_id"]: bytes(r["component"]) for r in simhash.similar_groups(docs(spark, list(enumerate(rows)))).collect()}
+        assert len({*zip(want.values(), [got[k] for k in want], strict=True)}) == len({*want.values()}) == len({*got.values()})
+        assert max(calls) <= items and len(calls) == (rounds or len(calls)) >= 2
+
+
 def test_sets_travel_whole():
     for text in (None, b"", b"one", b"A b\tC\x0bd e F g", b"x " * 5000, "ß €ö a b c d".encode(), b"\xff a\x00b c d e f " * 3, " ".join(map(str, range(9000))).encode()):
         own = np.unique(simhash.hashes(simhash.shingles(simhash.words_of(text), 5)))
